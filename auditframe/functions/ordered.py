@@ -58,10 +58,25 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k).withColumn(name, F.col(name).cast("long"))
 
 
-def carry(df: DataFrame, keys: list[str], order: list[str], column: str, name: str) -> DataFrame:
-    """Last non-null value of ``column`` at or before each row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.last(column, ignorenulls=True).over(w))
+def carry(df: DataFrame, keys: list[str], order: list, columns: dict[str, Column], chunk: Column) -> DataFrame:
+    """Last non-null value of each column at or before the row.
+
+    Works in (keys, chunk) ranges; one summary row per range carries the value
+    across ranges, so a hot key is never sorted in one task.
+    """
+    df = df.withColumn("_chunk", chunk)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = df
+    for name, c in columns.items():
+        local = local.withColumn(f"_src_{name}", c).withColumn(f"_own_{name}", F.last(f"_src_{name}", ignorenulls=True).over(w))
+    pos = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_cols(order))])
+    ends = local.groupBy(*keys, "_chunk").agg(
+        *[F.max_by(F.col(f"_src_{n}"), F.when(F.col(f"_src_{n}").isNotNull(), pos)).alias(f"_end_{n}") for n in columns])
+    run = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_chunk", *[F.last(f"_end_{n}", ignorenulls=True).over(run).alias(f"_before_{n}") for n in columns])
+    out = local.join(ends, [*keys, "_chunk"])
+    return out.select(*[c for c in df.columns if c != "_chunk"],
+                      *[F.coalesce(f"_own_{n}", f"_before_{n}").alias(n) for n in columns])
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str) -> DataFrame:

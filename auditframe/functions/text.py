@@ -3,6 +3,7 @@ the whole chain stays inside generated JVM code and can be pushed next to a scan
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,8 +33,11 @@ def text_of(c) -> Column:
 
 
 def contains_any(c, words) -> Column:
-    """True when any of the words occurs in the text; one boolean expression, no join."""
-    return reduce(lambda a, b: a | b, [col(c).contains(w) for w in words], F.lit(False))
+    """True when any of the words occurs in the text.  A stored column is tested word by word; a computed
+    text is scanned once by one alternation, so that its expression is not repeated per word."""
+    if isinstance(c, str) or len(words) < 3:
+        return reduce(lambda a, b: a | b, [col(c).contains(w) for w in words], F.lit(False))
+    return F.rlike(c, F.lit("|".join(re.escape(w) for w in words)))
 
 
 def contained_words(c, words) -> Column:
@@ -62,9 +66,14 @@ def clean_lines(c) -> Column:
 
 
 def compact_summary(c, limit: int) -> Column:
+    """One line; longer text is cut, loses trailing punctuation and gets an ellipsis.
+
+    The cut is one pattern (shortest head that is followed only by punctuation up
+    to the limit), so the text expression appears once in the plan.
+    """
     one = strip(sub(F.translate(clean_lines(c), "\n", " "), f"[{WS}]+", " "))
-    cut = F.concat(sub(F.substring(one, 1, max(8, limit - 1)), "[，；。,:： ]+$"), F.lit("…"))
-    return F.when(F.length(one) <= limit, one).otherwise(cut)
+    keep = max(8, limit - 1)
+    return sub(one, f"(?s)^(?=.{{{limit + 1}}})(.{{0,{keep}}}?)[，；。,:： ]*(?<=^.{{{keep}}}).*$", "$1…")
 
 
 def normalize_title(c) -> Column:
@@ -92,9 +101,8 @@ def _matches(x: Column, pattern: str) -> Column:
 
 
 def is_heading(c, rules=P.HEADING_RULES) -> Column:
-    x = no_space(c)
-    any_rule = reduce(lambda a, b: a | b, [_matches(x, p) for p, _ in rules])
-    return (F.length(x) > 0) & (F.length(x) <= 42) & any_rule
+    any_rule = "|".join(p.lstrip("^") for p, _ in rules)
+    return _matches(no_space(c), f"(?s)^(?=.{{1,42}}$)(?:{any_rule})")
 
 
 def is_heading_layout(c, tokens=P.LAYOUT_HEADING_TOKENS) -> Column:
@@ -112,8 +120,8 @@ def heading_level(c) -> Column:
 
 
 def section_code(c) -> Column:
-    x = no_space(c)
-    return F.coalesce(*[F.nullif(F.regexp_extract(x, p, 0), F.lit("")) for p, _ in P.HEADING_RULES])
+    any_rule = "|".join(p.lstrip("^") for p, _ in P.HEADING_RULES)
+    return F.nullif(F.regexp_extract(no_space(c), f"^(?:{any_rule})", 0), F.lit(""))
 
 
 def norm_section_code(c) -> Column:
@@ -123,10 +131,8 @@ def norm_section_code(c) -> Column:
 
 def valid_section_title(c, blocklist=P.SECTION_TITLE_BLOCKLIST) -> Column:
     x, code = no_space(c), section_code(c)
-    n = F.length(x)
-    ok = (n > 0) & (n <= 80) & ~contains_any(x, blocklist)
-    ok = ok & ~(_matches(x, "[：:]$") & (n <= 18))
-    return ok & code.isNotNull() & ~F.coalesce(_matches(code, r"^(\d|（|\()"), F.lit(False))
+    ok = _matches(x, "(?s)^.{1,80}$") & ~contains_any(x, blocklist) & ~_matches(x, "(?s)^.{0,17}[：:]$")
+    return ok & F.coalesce(~_matches(code, r"^(\d|（|\()"), F.lit(False))
 
 
 def plausible_number(c) -> Column:
@@ -138,12 +144,8 @@ def plausible_number(c) -> Column:
 def contract_number(c) -> Column:
     """First pattern whose hit looks like a number; an implausible hit falls through."""
     x = clean_lines(c)
-    options = []
-    for p in P.CONTRACT_NUMBER_PATTERNS:
-        hit = F.regexp_extract(x, "(?U)" + p, 1)
-        hit = sub(strip(hit), "^[。；;,，:：]+|[。；;,，:：]+$")
-        options.append(F.when((F.length(hit) > 0) & plausible_number(hit), hit))
-    return F.coalesce(*options)
+    hits = [sub(strip(F.regexp_extract(x, "(?U)" + p, 1)), "^[。；;,，:：]+|[。；;,，:：]+$") for p in P.CONTRACT_NUMBER_PATTERNS]
+    return F.get(F.filter(F.array(*hits), plausible_number), 0)
 
 
 def ordered_distinct(arr: Column, limit: int | None = None) -> Column:
