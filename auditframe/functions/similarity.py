@@ -127,7 +127,10 @@ def best_clauses(template: list, contract: list) -> list[tuple]:
 
 
 def best_runs(targets: list, blocks: list) -> list[tuple]:
-    """Best run of one to four consecutive blocks of a page for each target inside one chunk pair."""
+    """Best run of one to four consecutive blocks of a page for each target inside one chunk pair.
+
+    A target states the score it already has (``floor``); only runs that reach it are looked for.
+    """
     from difflib import SequenceMatcher
 
     import numpy as np
@@ -160,15 +163,16 @@ def best_runs(targets: list, blocks: list) -> list[tuple]:
                 elif r[3]:
                     open_.append(j)
         score = base + hint
-        pick = int(np.argmax(score)) if not open_ else None
+        best, pick = t["floor"], None
+        closed = np.setdiff1d(np.arange(len(runs)), open_) if open_ else np.arange(len(runs))
+        if len(closed):
+            first = int(closed[np.argmax(score[closed])])
+            if score[first] >= best:
+                best, pick = score[first], first
         if open_:
-            closed = np.setdiff1d(np.arange(len(runs)), open_)
-            best, pick = -1.0, -1
-            if len(closed):
-                pick = int(closed[np.argmax(score[closed])])
-                best = score[pick]
-            o, masks = np.array(open_), bit_masks(heads[i])
+            o = np.array(open_)
             bound = upper_bounds(m, n, i, rows[o]) + hint[o]
+            masks = bit_masks(heads[i])
             for x in np.argsort(-bound, kind="stable"):
                 if bound[x] + 1e-9 < best:
                     break
@@ -180,10 +184,10 @@ def best_runs(targets: list, blocks: list) -> list[tuple]:
                     sm = matchers[j] = SequenceMatcher(None, "", heads[k + j])
                 sm.set_seq1(heads[i])
                 v = sm.ratio() + hint[j]
-                if v > best or (v == best and j < pick):
+                if v > best or (v == best and (pick is None or j < pick)):
                     best, pick = v, j
-        else:
-            best = score[pick]
+        if pick is None:
+            continue
         r = runs[pick]
         out.append((t["target_id"], int(r[0]), int(r[1]), int(r[2]), float(best)))
     return out

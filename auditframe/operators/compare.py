@@ -29,6 +29,14 @@ def _packed(df: DataFrame, keys: list[str], ord_col: str, size: int, fields: lis
     return df.groupBy(*keys, chunk.alias("_chunk")).agg(items.alias("items"))
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Even out rows that are each a bounded but heavy unit of Python work; an explicit
+    number keeps the runtime from merging them back because their bytes are few."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(4 * n, *keys)
+
+
 def best_clause_match(contract: DataFrame, template: DataFrame, matched: DataFrame) -> DataFrame:
     """Per template clause of the matched template the best contract clause, when it reaches the threshold.
 
@@ -48,7 +56,7 @@ def best_clause_match(contract: DataFrame, template: DataFrame, matched: DataFra
     c = _packed(c, ["task_id"], "ord", CONTRACT_CHUNK, ["clause_id", "title", X.normalize_title("title").alias("norm"), cut("raw").alias("content"), "core_label", F.length("raw").alias("length")])
     pairs = matched.select("task_id", "template_id").join(t.select("template_id", F.col("_chunk").alias("tc"), F.col("items").alias("ts")), "template_id")
     pairs = pairs.join(c.select("task_id", F.col("_chunk").alias("cc"), F.col("items").alias("cs")), "task_id")
-    pairs = pairs.repartition("task_id", "tc", "cc").select("task_id", "ts", "cs")
+    pairs = spread(pairs, "task_id", "tc", "cc").select("task_id", "ts", "cs")
 
     def run(frames):
         import pandas as pd
@@ -87,14 +95,15 @@ def locate_evidence_text(targets: DataFrame, blocks: DataFrame) -> DataFrame:
 
     targets: task_id, target_id, ord, text, page_hint; blocks: task_id, page, block_no, text, box.
     Target chunks meet page chunks of the same task; each pair returns its best
-    run per target, and the first maximum over all pairs is an aggregate.
+    run per target, and the first maximum over all pairs is an aggregate.  The
+    hinted pages go first; a target found there with certainty is not searched elsewhere.
     """
-    t = targets.select("task_id", "target_id", "ord", "page_hint", X.normalize_match("text").alias("norm"))
-    t = _packed(t, ["task_id"], "ord", TARGET_CHUNK, ["target_id", "page_hint", "norm"]).select("task_id", F.col("_chunk").alias("tc"), F.col("items").alias("ts"))
+    t = targets.select("task_id", "target_id", "ord", F.col("page_hint").cast("long").alias("page_hint"), X.normalize_match("text").alias("norm"))
     b = blocks.select("task_id", "page", "block_no", "text", X.normalize_match("text").alias("norm"))
     arr = F.array_sort(F.collect_list(F.struct("page", "block_no", "text", "norm")))
     b = b.groupBy("task_id", F.floor(F.col("page") / PAGE_CHUNK).alias("pc")).agg(arr.alias("bs"))
-    pairs = t.join(b, "task_id").repartition("task_id", "tc", "pc").select("task_id", "ts", "bs")
+    fields = ["target_id", "page_hint", "norm", "floor"]
+    schema = "task_id string, target_id string, page long, block_no long, size long, score double"
 
     def run(frames):
         import pandas as pd
@@ -102,7 +111,19 @@ def locate_evidence_text(targets: DataFrame, blocks: DataFrame) -> DataFrame:
             rows = [(task, *r) for task, ts, bs in zip(pdf["task_id"], pdf["ts"], pdf["bs"]) for r in M.best_runs(list(ts), list(bs))]
             yield pd.DataFrame(rows, columns=["task_id", "target_id", "page", "block_no", "size", "score"])
 
-    found = pairs.mapInPandas(run, "task_id string, target_id string, page long, block_no long, size long, score double")
+    def search(ts, pairs):
+        p = ts.select("task_id", "tc", "own", "items").join(b, pairs).select("task_id", "tc", "pc", F.col("items").alias("ts"), "bs")
+        return spread(p, "task_id", "tc", "pc").select("task_id", "ts", "bs").mapInPandas(run, schema)
+
+    # 1: the pages around the hint; 2: other pages, only for targets whose score can still be beaten
+    own = F.floor(F.col("page_hint") / PAGE_CHUNK)
+    near = _packed(t.withColumn("own", own).withColumn("floor", F.lit(-1.0)), ["task_id", "own"], "ord", TARGET_CHUNK, fields).withColumnRenamed("_chunk", "tc")
+    b = b.withColumnRenamed("task_id", "btask")
+    found = search(near, (F.col("task_id") == F.col("btask")) & (F.col("own") == F.col("pc")))
+    have = found.groupBy("task_id", "target_id").agg(F.max("score").alias("floor"))
+    rest = t.withColumn("own", own).join(have, ["task_id", "target_id"], "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0))).where(F.col("floor") <= 1.0)
+    far = _packed(rest, ["task_id", "own"], "ord", TARGET_CHUNK, fields).withColumnRenamed("_chunk", "tc")
+    found = found.unionByName(search(far, (F.col("task_id") == F.col("btask")) & (F.col("own") != F.col("pc"))))
     best = found.groupBy("task_id", "target_id").agg(F.min_by(F.struct("page", "block_no", "size", "score"), F.struct((-F.col("score")).alias("s"), "page", "block_no", "size")).alias("r"))
     best = best.select("task_id", "target_id", "r.*")
     # the run's blocks, by position inside the page, give text and box
