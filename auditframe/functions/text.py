@@ -32,21 +32,75 @@ def text_of(c) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
+def sql_lit(v) -> str:
+    """SQL text of a Python literal; a list becomes an array, a dict a named struct.
+
+    Dictionaries are handed to the planner as one expression text: building them
+    value by value costs a driver round trip each.
+    """
+    if v is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v) if abs(v) < 1 << 31 else f"{v}L"
+    if isinstance(v, float):
+        return f"{v!r}D"
+    if isinstance(v, (list, tuple)):
+        return f"array({', '.join(map(sql_lit, v))})" if v else "CAST(array() AS ARRAY<STRING>)"
+    if isinstance(v, dict):
+        return f"named_struct({', '.join(f'{sql_lit(k)}, {sql_lit(x)}' for k, x in v.items())})"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal(v) -> Column:
+    return F.expr(sql_lit(v))
+
+
+def literal_map(mapping: dict) -> Column:
+    return F.expr(f"map({', '.join(f'{sql_lit(k)}, {sql_lit(v)}' for k, v in mapping.items())})")
+
+
 def contains_any(c, words) -> Column:
     """True when any of the words occurs in the text.  A stored column is tested word by word; a computed
     text is scanned once by one alternation, so that its expression is not repeated per word."""
-    if isinstance(c, str) or len(words) < 3:
+    if isinstance(c, str):
+        return F.expr("(" + " OR ".join(f"contains({c}, {sql_lit(w)})" for w in words) + ")")
+    if len(words) < 3:
         return reduce(lambda a, b: a | b, [col(c).contains(w) for w in words], F.lit(False))
     return F.rlike(c, F.lit("|".join(re.escape(w) for w in words)))
 
 
-def contained_words(c, words) -> Column:
-    """Array of the listed words that occur in the text, in list order."""
-    return F.array_compact(F.array(*[F.when(col(c).contains(w), F.lit(w)) for w in words]))
+def contained_words(c: str, words) -> Column:
+    """Array of the listed words that occur in the column, in list order."""
+    return F.expr(f"filter({sql_lit(list(words))}, w -> contains({c}, w))")
+
+
+def count_words(c: str, words) -> Column:
+    return F.expr("(" + " + ".join(f"CAST(contains({c}, {sql_lit(w)}) AS INT)" for w in words) + ")")
+
+
+def word_bits(c: str, words) -> Column:
+    """Bit mask of the listed words that occur in the column."""
+    return F.expr("(" + " | ".join(f"IF(contains({c}, {sql_lit(w)}), {1 << i}L, 0L)" for i, w in enumerate(words)) + ")")
+
+
+def first_words(mask: str, words, n: int, shift: int = 0) -> Column:
+    """The words whose bits are set, in list order, n at most."""
+    tests = ", ".join(f"IF(({mask} & {1 << (i + shift)}L) != 0, {sql_lit(w)}, NULL)" for i, w in enumerate(words))
+    return F.expr(f"slice(array_compact(array({tests})), 1, {n})")
+
+
+def first_key(c: str, table: dict, default: str) -> Column:
+    """Name of the first entry that has a word in the column."""
+    cases = " ".join(f"WHEN {' OR '.join(f'contains({c}, {sql_lit(w)})' for w in ws)} THEN {sql_lit(k)}" for k, ws in table.items())
+    return F.expr(f"CASE {cases} ELSE {sql_lit(default)} END")
 
 
-def count_words(c, words) -> Column:
-    return reduce(lambda a, b: a + b, [col(c).contains(w).cast("int") for w in words])
+def all_keys(c: str, table: dict) -> Column:
+    """Names of all entries that have a word in the column, in table order."""
+    tests = ", ".join(f"IF({' OR '.join(f'contains({c}, {sql_lit(w)})' for w in ws)}, {sql_lit(k)}, NULL)" for k, ws in table.items())
+    return F.expr(f"array_compact(array({tests}))")
 
 
 def clean_text(c) -> Column:
@@ -172,7 +226,7 @@ def block_id_list(c) -> Column:
 
 def lookup(c, mapping: dict, default=None) -> Column:
     """Closed mapping as a literal map; unknown keys give ``default`` (or the key itself)."""
-    lit_map = F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])
+    lit_map = literal_map(mapping)
     return F.coalesce(F.try_element_at(lit_map, col(c)), col(c) if default is None else F.lit(default))
 
 
@@ -240,7 +294,7 @@ def structured_fields(m) -> Column:
 def risk_level(c) -> Column:
     x = F.lower(strip(text_of(c)))
     return F.when(x.isin("low", "medium", "high", "pending_verification"), x).otherwise(
-        F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in P.RISK_ALIASES.items() for v in kv]), x),
+        F.coalesce(F.try_element_at(literal_map(P.RISK_ALIASES), x),
                    F.lit("pending_verification")))
 
 
@@ -260,7 +314,7 @@ def source_of_config(c) -> Column:
 
 
 def tool_labels(arr) -> Column:
-    m = F.create_map(*[F.lit(v) for kv in P.TOOL_LABELS.items() for v in kv])
+    m = literal_map(P.TOOL_LABELS)
     words = F.filter(F.transform(col(arr), strip), lambda x: F.length(x) > 0)
     return F.array_distinct(F.transform(words, lambda x: F.coalesce(F.try_element_at(m, x), x)))
 

@@ -53,8 +53,9 @@ def anchor_clauses(blocks: DataFrame, sections: DataFrame | None = None, words:
     exploded, and the maximum is a combinable aggregate.
     """
     b = blocks.select("task_id", "page", "block_no", "block_id", X.clean_lines("text").alias("text")).where(F.length("text") > 0)
-    scored = [F.struct(F.lit(i).alias("label_no"), F.lit(label).alias("label"), X.count_words("text", keys).alias("hits")) for i, (label, keys) in enumerate(words.items())]
-    b = b.select("*", F.explode(F.filter(F.array(*scored), lambda s: s["hits"] > 0)).alias("s"))
+    count = lambda keys: " + ".join(f"CAST(contains(text, {X.sql_lit(w)}) AS INT)" for w in keys)
+    scored = ", ".join(f"named_struct('label_no', {i}, 'label', {X.sql_lit(label)}, 'hits', {count(keys)})" for i, (label, keys) in enumerate(words.items()))
+    b = b.select("*", F.explode(F.expr(f"filter(array({scored}), s -> s.hits > 0)")).alias("s"))
     weight = F.col("s.hits") * 20 + F.floor(F.least(F.length("text"), F.lit(200)) / 20)
     best = b.groupBy("task_id", "s.label_no", "s.label").agg(F.min_by(F.struct("page", "block_id", "text"), F.struct((-weight).alias("w"), "page", "block_no")).alias("b"))
     c = O.numbered(best, ["task_id"], ["label_no"], "sort_order")
@@ -186,10 +187,6 @@ def fact_map(facts: DataFrame) -> DataFrame:
 
 # --- classification ---------------------------------------------------------
 
-def _word_bits(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [c.contains(w).cast("long") * F.lit(1 << i) for i, w in enumerate(words)])
-
-
 def classify_contract(tasks: DataFrame, sections: DataFrame, facts: DataFrame, clauses: DataFrame, words: dict = P.CATEGORY_KEYWORDS) -> DataFrame:
     """Category whose keywords occur most often in the bounded contract summary.
 
@@ -204,12 +201,11 @@ def classify_contract(tasks: DataFrame, sections: DataFrame, facts: DataFrame, c
     pieces.append(first(clauses, 24, ["title", "summary"], ["sort_order"], order_chunk()).select(
         "task_id", F.concat_ws("\n", "title", F.when(F.col("_p") <= 16, F.col("summary"))).alias("t")))
     allp = reduce(DataFrame.unionByName, pieces)
-    m = allp.select("task_id", _word_bits(F.col("t"), flat).alias("m")).groupBy("task_id").agg(F.bit_or("m").alias("m"))
+    m = allp.select("task_id", X.word_bits("t", flat).alias("m")).groupBy("task_id").agg(F.bit_or("m").alias("m"))
     at, cats = 0, []
     for i, (name, keys) in enumerate(words.items()):
         mask = ((1 << len(keys)) - 1) << at
-        hits = F.array_compact(F.array(*[F.when(F.col("m").bitwiseAND(F.lit(1 << (at + j))) != 0, F.lit(w)) for j, w in enumerate(keys)]))
-        cats.append(F.struct(F.bit_count(F.col("m").bitwiseAND(F.lit(mask))).alias("score"), F.lit(-i).alias("first"), F.lit(name).alias("category"), F.slice(hits, 1, 6).alias("evidence")))
+        cats.append(F.struct(F.expr(f"bit_count(m & {mask}L)").alias("score"), F.lit(-i).alias("first"), F.lit(name).alias("category"), X.first_words("m", keys, 6, at).alias("evidence")))
         at += len(keys)
     r = m.withColumn("b", F.array_max(F.array(*cats)))
     none = F.col("b.score") == 0
@@ -233,15 +229,14 @@ def classify_merge(model: DataFrame, keyword: DataFrame) -> DataFrame:
 
 def contract_schema(facts: DataFrame, clauses: DataFrame, aliases: dict = P.SCHEMA_ALIASES) -> DataFrame:
     """Long table (task_id, field, value): first fact whose label has an alias, else a snippet of the first clause."""
-    def snippet(words):
-        at = F.coalesce(*[F.nullif(F.instr("hay", w), F.lit(0)) for w in words])
-        return X.strip(F.substr("hay", at, F.lit(120)))
     f = facts.withColumn("value", X.strip("value")).where(F.length("value") > 0)
-    from_facts = F.array_compact(F.array(*[F.when(X.contains_any("label", w), F.lit(k)) for k, w in aliases.items()]))
-    f = f.select("task_id", F.explode(from_facts).alias("field"), "value", F.lit(0).alias("tier"), F.col("ord"))
+    f = f.select("task_id", F.explode(X.all_keys("label", aliases)).alias("field"), "value", F.lit(0).alias("tier"), F.col("ord"))
     c = clauses.select("task_id", "sort_order", F.concat_ws("\n", "title", "summary", "raw_text").alias("hay"))
-    from_clauses = F.array_compact(F.array(*[F.when(X.contains_any("hay", w), F.struct(F.lit(k).alias("field"), snippet(w).alias("value"))) for k, w in aliases.items()]))
-    c = c.select("task_id", F.explode(from_clauses).alias("s"), "sort_order").select("task_id", "s.field", "s.value", F.lit(1).alias("tier"), F.col("sort_order").alias("ord"))
+    # position of the first alias (in alias order) that occurs, per field; fields without one drop out
+    at = lambda ws: "coalesce(" + ", ".join(f"nullif(instr(hay, {X.sql_lit(w)}), 0)" for w in ws) + ")"
+    found = ", ".join(f"named_struct('field', {X.sql_lit(k)}, 'pos', {at(w)})" for k, w in aliases.items())
+    c = c.select("task_id", "hay", "sort_order", F.explode(F.expr(f"filter(array({found}), s -> s.pos IS NOT NULL)")).alias("s"))
+    c = c.select("task_id", "s.field", X.strip(F.substr("hay", F.col("s.pos"), F.lit(120))).alias("value"), F.lit(1).alias("tier"), F.col("sort_order").alias("ord"))
     u = f.unionByName(c)
     return u.groupBy("task_id", "field").agg(F.min_by("value", F.struct("tier", "ord")).alias("value"))
 

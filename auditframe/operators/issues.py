@@ -25,9 +25,8 @@ def _none(t="string"):
 def issues_missing(missing: DataFrame, fields: DataFrame, matched: DataFrame) -> DataFrame:
     """Missing template clause -> issue, unless the title starts with a field word whose field is filled."""
     plain = X.strip(F.translate("title", "：:", ""))
-    filled = lambda f: F.coalesce(F.try_element_at("fields", F.lit(f)), F.lit("")) != ""
     j = missing.join(matched.select("task_id", "template_id", "template_name"), "task_id").join(fields.select("task_id", "fields"), "task_id", "left").withColumn("_plain", plain)
-    skip = reduce(lambda a, b: a | b, [F.col("_plain").startswith(w) & filled(f) for w, f in P.FIELD_TITLES])
+    skip = F.expr(" OR ".join(f"(startswith(_plain, {X.sql_lit(w)}) AND coalesce(try_element_at(fields, {X.sql_lit(f)}), '') != '')" for w, f in P.FIELD_TITLES))
     j = j.where(~skip)
     return j.select("task_id", F.lit("template_missing").alias("source"), F.col("template_ord").alias("ord"), F.lit("must_modify").alias("severity"), F.lit("legal").alias("department"),
                     F.concat(F.lit("范本条款: "), "title").alias("clause_location"), F.concat(F.lit("待审合同缺少范本关键条款："), "title").alias("problem"), F.col("title").alias("query"),
@@ -59,6 +58,7 @@ def issues(missing: DataFrame, weakened: DataFrame, hits: DataFrame) -> DataFram
 
 def with_basis(issue_rows: DataFrame, pool: DataFrame, templates: DataFrame) -> DataFrame:
     """Adds policy titles and details and the matched template clause; each distinct lookup is resolved once."""
+    issue_rows = issue_rows.persist()  # read by both lookups and by the result
     q = issue_rows.select(F.col("query").alias("request_id"), "query", F.array().cast("array<string>").alias("clause_ids")).distinct()
     b = V.policy_basis(q, pool)
     details = F.array_sort(F.collect_list(F.struct("pos", "clause_id", "title", "content", "page_start", "page_end", "document_id")))
@@ -199,7 +199,7 @@ def focus_dedupe(focuses: DataFrame) -> DataFrame:
     """Most confident per (title, clause set, source); ordered by source, risk text, confidence, title; renumbered."""
     f = focuses.withColumn("_ids", F.array_join(F.array_sort("clause_ids"), "\x1f"))
     best = O.first_by(f, ["task_id", "title", "_ids", "focus_source"], [-F.col("confidence"), F.col("ord")])
-    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in P.FOCUS_SOURCE_RANK.items() for x in kv]), F.col("focus_source")), F.lit(9))
+    rank = F.coalesce(F.try_element_at(X.literal_map(P.FOCUS_SOURCE_RANK), F.col("focus_source")), F.lit(9))
     # risk is ordered as text; the source rank leads the order, so it also serves as the chunk
     best = best.withColumn("_rank", rank)
     best = O.numbered(best, ["task_id"], ["_rank", "risk_level", -F.col("confidence"), "title", "ord"], "ord2", F.col("_rank"))
@@ -253,7 +253,8 @@ def verify_required(tasks: DataFrame, clauses: DataFrame, labels=P.VERIFY_REQUIR
 
 def verify_keywords(clauses: DataFrame, words: dict = P.VERIFY_KEYWORDS) -> DataFrame:
     c = clauses.where(F.col("core_label").isin(list(words)))
-    hits = F.coalesce(*[F.when(F.col("core_label") == k, X.contained_words("raw_text", w)) for k, w in words.items()])
+    words_of = F.expr(f"map({', '.join(f'{X.sql_lit(k)}, {X.sql_lit(w)}' for k, w in words.items())})")
+    hits = F.filter(F.try_element_at(words_of, F.col("core_label")), lambda w: F.contains("raw_text", w))
     c = c.withColumn("hits", hits)
     text = F.concat(F.lit("命中关键词："), F.when(F.size("hits") > 0, F.array_join("hits", "、")).otherwise("未命中核心关键词"), F.lit("。"))
     return c.select(*_item(F.concat(F.lit("verify_keyword_"), "clause_id"), F.concat("label", F.lit("关键词一致性校验")), "关键词命中 / 语义对照", F.when(F.size("hits") >= 2, "pass").otherwise("warning"), text, F.array("clause_id")))

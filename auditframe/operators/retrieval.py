@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from .. import params as P
 from ..functions import ordered as O
 from ..functions import text as X
-from .clauses import _word_bits, order_chunk
 
 LITERAL_LIMIT = 256
 
@@ -44,7 +43,7 @@ def substring_pairs(texts: DataFrame, id_col: str, text_col: str, needles: DataF
     """
     few = bounded_values(needles, needle_col, literal_limit)
     if few is not None:
-        arr = F.array(*map(F.lit, few)).cast("array<string>")
+        arr = X.literal(few)
         return texts.select(id_col, F.explode(F.filter(arr, lambda n: F.contains(F.col(text_col), n))).alias(needle_col))
     n = needles.select(needle_col).where(F.length(needle_col) > 0).distinct()
     own = F.when(F.length(needle_col) >= 3, _grams(F.col(needle_col), 3)).otherwise(F.array(needle_col))
@@ -146,7 +145,7 @@ def template_candidates(signatures: DataFrame, kb: DataFrame, day: int) -> DataF
     signatures, not with contracts.
     """
     t = effective_on(kb, day).where((F.col("doc_type") == "template") & F.col("template_id").isNotNull())
-    sig = signatures.select("signature", "category", "keywords", "flags").distinct()
+    sig = signatures.select("signature", "category", "keywords", "flags").distinct().persist()  # small and read several times
     words = sig.select("signature", F.explode("keywords").alias("keyword")).groupBy("signature", "keyword").agg(F.count(F.lit(1)).alias("times"))
     hay = t.select(F.struct("template_id", "clause_id").alias("k"), X.joined("title", "content").alias("hay"))
     hits = substring_pairs(hay, "k", "hay", words, "keyword").groupBy(F.col("k.template_id").alias("template_id"), "keyword").agg(F.count(F.lit(1)).alias("n"))
@@ -162,19 +161,19 @@ def template_candidates(signatures: DataFrame, kb: DataFrame, day: int) -> DataF
 
 
 def profile_flags(profiles: DataFrame, words: dict = P.PROFILE_WORDS) -> DataFrame:
-    return profiles.select("task_id", F.array_compact(F.array(*[F.when(X.contains_any("profile", w), F.lit(k)) for k, w in words.items()])).alias("flags"))
+    return profiles.select("task_id", X.all_keys("profile", words).alias("flags"))
 
 
 def template_rescore(candidates: DataFrame, signatures: DataFrame, table=P.TEMPLATE_ADJUSTMENTS) -> DataFrame:
     """Adjust candidate scores by profile words and template names, with reasons."""
     c = candidates.join(signatures.select("signature", "flags").distinct(), "signature")
     tests = []
-    for _, flag, present, column, word, exact, points, reason in table:
-        name = F.coalesce(column, F.lit(""))
-        test = (name == word) if exact else name.contains(word)
-        tests.append((F.array_contains("flags", flag) == F.lit(present)) & test)
-    adjust = reduce(lambda a, b: a + b, [F.when(t, F.lit(r[6])).otherwise(0.0) for t, r in zip(tests, table)])
-    reasons = F.array_compact(F.array(*[F.when(t, F.lit(r[7])) for t, r in zip(tests, table)]))
+    for _, flag, present, column, word, exact, _, _ in table:
+        name = f"coalesce({column}, '')"
+        test = f"{name} = {X.sql_lit(word)}" if exact else f"contains({name}, {X.sql_lit(word)})"
+        tests.append(f"array_contains(flags, {X.sql_lit(flag)}) = {X.sql_lit(present)} AND {test}")
+    adjust = F.expr(" + ".join(f"IF({t}, {r[6]!r}D, 0D)" for t, r in zip(tests, table)))
+    reasons = F.expr("array_compact(array(" + ", ".join(f"IF({t}, {X.sql_lit(r[7])}, NULL)" for t, r in zip(tests, table)) + "))")
     return c.withColumn("base_score", F.col("score")).withColumn("score", F.col("score") + adjust).withColumn("reasons", reasons).drop("flags")
 
 
@@ -221,12 +220,10 @@ def usage_profile(clauses: DataFrame, variant: str = "registry") -> DataFrame:
     pieces = lead.select("template_id", piece.alias("t"), F.col("_p"), F.col("title")).unionByName(head.select("template_id", domain.alias("t"), F.lit(0).cast("long").alias("_p"), F.lit(None).cast("string").alias("title")))
     aggs = []
     for name, words in lists.items():
-        aggs.append(F.bit_or(_word_bits(F.col("t"), words)).alias(f"m_{name}"))
+        aggs.append(F.bit_or(X.word_bits("t", words)).alias(f"m_{name}"))
     titles = F.collect_list(F.when((F.col("_p") > 0) & (F.col("_p") <= 4) & (F.length(X.strip("title")) > 0), F.struct("_p", X.strip("title").alias("v"))))
     u = pieces.groupBy("template_id").agg(*aggs, F.slice(F.transform(F.array_sort(titles), lambda s: s["v"]), 1, 3).alias("fallback")).join(head, "template_id")
-    basis = lambda n: F.slice(F.array_compact(F.array(*[F.when(F.col(f"m_{n}").bitwiseAND(F.lit(1 << i)) != 0, F.lit(w)) for i, w in enumerate(lists[n])])), 1, 4)
-    for n in lists:
-        u = u.withColumn(f"b_{n}", basis(n))
+    u = u.withColumns({f"b_{n}": X.first_words(f"m_{n}", w, 4) for n, w in lists.items()})
     name = F.coalesce("template_name", F.lit(""))
     dom = F.concat_ws("\n", "template_name", "category_lv1", "category_lv2") if reg else name
     u = u.withColumn("_d", dom).withColumn("_n", name)
@@ -257,13 +254,13 @@ def policy_pool_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFra
     so only those queries enter the character join.  There, clauses with the
     same relevant characters score alike and are handled as one group.
     """
-    q = queries.select("query").where(F.col("query") != "").distinct()
+    q = queries.select("query").where(F.col("query") != "").distinct().persist()  # small and read several times
     norm = F.translate("query", "，。/", "   ")
     terms = q.select("query", F.explode(F.filter(F.split(norm, f"[{X.WS}]+", -1), lambda x: x != "")).alias("needle")).groupBy("query", "needle").agg(F.count(F.lit(1)).cast("double").alias("w"))
     needles = terms.unionByName(q.select("query", F.col("query").alias("needle"), F.lit(5.0).alias("w")))
     texts = pool.select("clause_id", X.joined("title", "content").alias("hay"))
     pairs = substring_pairs(texts, "clause_id", "hay", needles, "needle")
-    direct = pairs.join(needles, "needle").groupBy("query", "clause_id").agg(F.sum("w").alias("score"))
+    direct = pairs.join(needles, "needle").groupBy("query", "clause_id").agg(F.sum("w").alias("score")).persist()
     lead = O.top_k(direct, ["query"], [F.desc("score"), F.col("clause_id")], k)
     sure = lead.where((F.col("rank") == k) & (F.col("score") > 1)).select("query")
     open_q = q.join(sure, "query", "left_anti")
@@ -271,7 +268,7 @@ def policy_pool_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFra
     alphabet = bounded_values(chars, "ch", 20000)
     own = F.array_distinct(F.split("hay", ""))
     if alphabet is not None:
-        own = F.array_intersect(own, F.array(*map(F.lit, alphabet)).cast("array<string>"))
+        own = F.array_intersect(own, X.literal(alphabet))
     sig = texts.select("clause_id", F.array_join(F.array_sort(own), "").alias("sig"))
     sigs = sig.groupBy("sig").agg(F.min("clause_id").alias("first_id"))
     shared = sigs.select("sig", "first_id", F.explode(F.split("sig", "")).alias("ch")).join(chars, "ch").groupBy("query", "sig", "first_id", "n").agg(F.count(F.lit(1)).alias("c"))

@@ -22,7 +22,7 @@ def rule_drafts(kb: DataFrame, catalog=P.RULES, limit: int = 5) -> DataFrame:
     top-k, so a rule that matches a huge document never collects all its clauses.
     """
     hay = kb.where(F.col("doc_type") == "policy").withColumn("_h", X.joined("title", "content"))
-    ids = F.array_compact(F.array(*[F.when(X.contains_any("_h", r[4]), F.lit(r[0])) for r in catalog]))
+    ids = X.all_keys("_h", {r[0]: r[4] for r in catalog})
     hit = hay.select("document_id", "clause_id", "page_start", "block_no", F.explode(ids).alias("rule_id"))
     lead = O.top_k(hit, ["document_id", "rule_id"], ["page_start", "block_no", "clause_id"], limit, "_r")
     d = lead.groupBy("document_id", "rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "clause_id"))), lambda s: s["clause_id"]).alias("basis_policy"))
@@ -76,9 +76,9 @@ def run_rules(contracts: DataFrame, rules: DataFrame, max_rules: int = 2000) ->
     if len(rows) > max_rules:
         raise ValueError(f"more than {max_rules} enabled rules; split the rule table into several runs")
     hits = [
-        F.when(rule_condition(r["logic_type"], list(r["fields"] or []), r["min_length"] or 0), F.struct(
-            F.lit(i).alias("rule_no"), F.lit(r["id"]).alias("rule_id"), F.lit(r["name"]).alias("rule_name"), F.lit(r["severity"]).alias("severity"),
-            F.lit(r["department"]).alias("department"), F.lit(r["suggestion"]).alias("suggestion"), F.lit(LOCATIONS.get(r["logic_type"], "")).alias("clause_location")))
+        F.when(rule_condition(r["logic_type"], list(r["fields"] or []), r["min_length"] or 0), X.literal({
+            "rule_no": i, "rule_id": r["id"], "rule_name": r["name"], "severity": r["severity"], "department": r["department"],
+            "suggestion": r["suggestion"], "clause_location": LOCATIONS.get(r["logic_type"], "")}))
         for i, r in enumerate(rows)]
     h = contracts.select("task_id", "template_name", F.explode(F.array_compact(F.array(*hits))).alias("h"))
     return h.select("task_id", "h.*", F.col("h.rule_name").alias("problem"), F.col("template_name").alias("basis_template"), F.lit(P.ISSUE_CONFIDENCE["rule"]).alias("confidence"))
@@ -100,9 +100,8 @@ def condition_sql(text: str) -> str:
 def eval_decision_table(inputs: DataFrame, table=P.DECISION_RULES) -> DataFrame:
     """Every rule whose condition holds, as rows; the conditions become one array expression per contract."""
     outs = [
-        F.when(F.expr(condition_sql(cond)), F.struct(F.lit(i).alias("match_no"), F.lit(cfg).alias("config_id"), F.lit(rid).alias("rule_id"), F.lit(name).alias("rule_name"),
-                                                     F.lit(sev).alias("severity"), F.lit("hit").alias("decision"), F.lit(reason).alias("reason"),
-                                                     F.array(*map(F.lit, deps)).alias("depends_on"), F.array().cast("array<string>").alias("evidence_clause_ids")))
+        F.when(F.expr(condition_sql(cond)), X.literal({
+            "match_no": i, "config_id": cfg, "rule_id": rid, "rule_name": name, "severity": sev, "decision": "hit", "reason": reason, "depends_on": deps, "evidence_clause_ids": []}))
         for i, (_, cond, cfg, rid, name, sev, reason, deps) in enumerate(table)]
     return inputs.select("task_id", F.explode(F.array_compact(F.array(*outs))).alias("m")).select("task_id", "m.*")
 

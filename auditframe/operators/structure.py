@@ -333,10 +333,10 @@ def locate_page(x: DataFrame, blocks: DataFrame, id_col: str, text_col: str) ->
 
 def coerce_page(x: DataFrame, blocks: DataFrame, id_col: str, page_col: str, text_col: str) -> DataFrame:
     """Given page when the task has it, else the page found by text, else the first page."""
-    pages = blocks.select("task_id", F.col("page").alias("_p")).distinct()
+    pages = blocks.select("task_id", F.col("page").alias("_given"), F.col("page").alias("_p")).distinct()
     first = blocks.groupBy("task_id").agg(F.min("page").alias("_first"))
     x = x.withColumn("_given", F.col(page_col).cast("string").try_cast("long"))
-    known = x.join(pages, (x.task_id == pages.task_id) & (F.col("_given") == F.col("_p")), "left").drop(pages.task_id)
+    known = x.join(pages, ["task_id", "_given"], "left")
     missing = known.where(F.col("_p").isNull())
     located = locate_page(missing, blocks, id_col, text_col)
     out = known.join(located, ["task_id", id_col], "left").join(first, "task_id", "left")

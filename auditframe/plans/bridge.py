@@ -9,6 +9,8 @@ never dropped and lines are never cut.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,20 @@ SUFFIXES = [
 ]
 
 
+_PLANS: dict = {}
+
+
+def memo(fn):
+    """Build the plan of a table once per session and folder.  Only the plan is kept, never data."""
+    @functools.wraps(fn)
+    def wrapper(spark, sf_dir):
+        key = (fn.__module__, fn.__name__, id(spark._jsparkSession), spark.sparkContext.applicationId, sf_dir)
+        if key not in _PLANS:
+            _PLANS[key] = fn(spark, sf_dir)
+        return _PLANS[key]
+    return wrapper
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,6 +70,7 @@ def decorated_lines(doc_id: Column, text: Column) -> Column:
     return F.transform(lines, decorate)
 
 
+@memo
 def documents(spark, sf_dir) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     return d.select(
@@ -65,6 +82,7 @@ def documents(spark, sf_dir) -> DataFrame:
     )
 
 
+@memo
 def texts(spark, sf_dir) -> DataFrame:
     """One row per document with its decorated text."""
     d = documents(spark, sf_dir)
@@ -72,6 +90,7 @@ def texts(spark, sf_dir) -> DataFrame:
     return d.withColumn("text", F.array_join(lines, "\n"))
 
 
+@memo
 def blocks(spark, sf_dir) -> DataFrame:
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     b = d.select("doc_id", F.posexplode(decorated_lines(F.col("doc_id"), F.col("text"))).alias("pos", "text"))
@@ -93,6 +112,7 @@ def blocks(spark, sf_dir) -> DataFrame:
     )
 
 
+@memo
 def clauses(spark, sf_dir) -> DataFrame:
     """Tagged clauses: every line that carries clause words."""
     b = blocks(spark, sf_dir).where(F.col("core_label") != P.DEFAULT_LABEL)
@@ -113,6 +133,7 @@ def clauses(spark, sf_dir) -> DataFrame:
     )
 
 
+@memo
 def key_facts(spark, sf_dir) -> DataFrame:
     c = clauses(spark, sf_dir)
     return c.select(
@@ -122,6 +143,7 @@ def key_facts(spark, sf_dir) -> DataFrame:
     )
 
 
+@memo
 def kb_documents(spark, sf_dir) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     i = F.col("doc_id")
@@ -139,6 +161,7 @@ def kb_documents(spark, sf_dir) -> DataFrame:
     )
 
 
+@memo
 def kb_clauses(spark, sf_dir) -> DataFrame:
     """Knowledge-base clauses: one per line, dated by its document."""
     b = blocks(spark, sf_dir)

@@ -14,6 +14,7 @@ from .registry import query
 from .structure import HEAD, HEADS, PTEXT, SECT, blocks, sections
 
 
+@B.memo
 def ordered_facts(spark, sf):
     return B.key_facts(spark, sf).withColumn("ord", F.col("sort_order"))
 
@@ -22,6 +23,7 @@ ITEMS = """it AS (SELECT task_id, sort_order AS ord, CASE WHEN sort_order % 9 =
     CASE WHEN sort_order % 3 = 0 THEN page ELSE page + 1000 END AS given, confidence, need_review FROM clauses)"""
 
 
+@B.memo
 def items(spark, sf):
     c = B.clauses(spark, sf)
     n = F.col("sort_order")
@@ -75,6 +77,7 @@ def _(spark, sf):
     return C.facts_from_pages(B.blocks(spark, sf)).select("task_id", "label", "value", "page", "confidence", "evidence_id")
 
 
+@B.memo
 def fact_clauses(spark, sf):
     """Bridge clauses with two labels renamed and structured fields, so that every branch is used."""
     k = F.col("core_label")
@@ -161,6 +164,7 @@ HAY = f"""{SECT}, pc AS (SELECT task_id, file_name AS t FROM docs UNION ALL SELE
 WORDS = {**P.CATEGORY_KEYWORDS, "验收付款类": ["验收", "付款", "节点"]}
 
 
+@B.memo
 def classified(spark, sf):
     return C.classify_contract(B.documents(spark, sf), sections(spark, sf), ordered_facts(spark, sf), B.clauses(spark, sf), WORDS)
 
@@ -190,6 +194,7 @@ def _schema_sql():
 SCHEMA = _schema_sql()
 
 
+@B.memo
 def schema(spark, sf):
     return C.contract_schema(ordered_facts(spark, sf), B.clauses(spark, sf))
 
@@ -204,6 +209,7 @@ PROFILE = f"""{HAY}, {SCHEMA}, pv AS (SELECT task_id, max(value) FILTER (field =
     prof AS (SELECT task_id, '合同类别：' || category || chr(10) || '合同标的：' || coalesce(subj, '未提取') || chr(10) || '服务内容：' || coalesce(subj, '未提取') || chr(10) || '付款条款：' || coalesce(pay, '未提取') || chr(10) || '关键条款：' || coalesce(chr(10) || ln, '') AS profile FROM cls LEFT JOIN pv USING (task_id) LEFT JOIN pl USING (task_id))"""
 
 
+@B.memo
 def profile(spark, sf):
     return C.contract_profile(classified(spark, sf), C.schema_fields(schema(spark, sf), B.documents(spark, sf)), B.clauses(spark, sf))
 
@@ -233,6 +239,7 @@ RIN = f"""{SECT}, rf AS (SELECT task_id, label, arg_min(value, sort_order) AS v
       {", ".join(f"EXISTS (SELECT 1 FROM clauses c WHERE c.task_id = t.task_id AND core_label = '{v}') AS {k}" for k, v in C.PRESENCE)} FROM docs t)"""
 
 
+@B.memo
 def rule_inputs(spark, sf):
     return C.rule_input(B.documents(spark, sf), sections(spark, sf), B.clauses(spark, sf), ordered_facts(spark, sf))
 

@@ -19,6 +19,7 @@ from .rules import CFG, CON, EXEC, HITS, contracts, bound, engine, exec_rows, hi
 from .structure import SECT, sections
 
 
+@B.memo
 def differences(spark, sf):
     """Missing and weakened template clauses derived from clause positions."""
     c = B.clauses(spark, sf)
@@ -29,6 +30,7 @@ def differences(spark, sf):
     return base.where(n % 3 == 0), weak
 
 
+@B.memo
 def matched(spark, sf):
     return contracts(spark, sf).where(F.col("template_id").isNotNull()).select("task_id", "template_id", "template_name")
 
@@ -44,14 +46,16 @@ ISS = f"""{HITS}, df AS (SELECT c.task_id, sort_order AS ord, {_TITLE} AS title,
 OUT = ["task_id", "source", "severity", "department", "clause_location", "problem", "basis_template", "suggestion", "confidence", "no_direct_evidence"]
 
 
+@B.memo
 def three(spark, sf):
-    con = contracts(spark, sf)
+    con = contracts(spark, sf).persist()  # read by all three kinds of issues
     m = con.where(F.col("template_id").isNotNull()).select("task_id", "template_id", "template_name")
     miss, weak = differences(spark, sf)
     h = R.run_rules(con, G.rule_catalog(spark))
     return I.issues_missing(miss, con, m), I.issues_weakened(weak, m), I.issues_rules(h, m), con
 
 
+@B.memo
 def all_issues(spark, sf):
     a, b, c, con = three(spark, sf)
     return I.issues(a, b, c), con
@@ -116,6 +120,7 @@ def _(spark, sf):
 
 # --- focuses ----------------------------------------------------------------
 
+@B.memo
 def candidate_rows(spark, sf):
     c = B.clauses(spark, sf)
     n = F.col("sort_order")
@@ -142,6 +147,7 @@ def _(spark, sf):
     return I.focus_groups_input(B.clauses(spark, sf))
 
 
+@B.memo
 def relabelled(spark, sf):
     """Clauses with two labels renamed so that the relation words find clauses."""
     k = F.col("core_label")
@@ -165,6 +171,7 @@ FRUL = f"""{EXEC}, ll2 AS (SELECT task_id, core_label, arg_max(clause_id, sort_o
     frx AS (SELECT task_id, position AS ord, name AS title, 'user_rule_check' AS focus_source, config_id AS relation_ids, risk_level, coalesce(ev, xids, '') AS clause_ids, CASE WHEN ev IS NOT NULL THEN '第 ' || evp || ' 页' ELSE coalesce(xloc, '规则引擎返回中未附带具体条款定位') END AS location, confidence FROM fx)"""
 
 
+@B.memo
 def rule_focuses(spark, sf):
     return I.focuses_from_rules(exec_rows(spark, sf), B.clauses(spark, sf))
 
@@ -201,6 +208,7 @@ FGEN = f"""{FRUL}, {FCAND}, {FREL.replace(CFG + ', ', '')}, gu AS (SELECT * FROM
     gen AS (SELECT * REPLACE (row_number() OVER (PARTITION BY task_id ORDER BY {RANK}, risk_level, confidence DESC, title, ord) AS ord) FROM gd)"""
 
 
+@B.memo
 def generated(spark, sf):
     cfg = G.default_configs(spark)
     cand = I.focuses_from_candidates(candidate_rows(spark, sf), B.clauses(spark, sf), cfg)
@@ -271,6 +279,7 @@ VENG = f"""{STATUS}, hc AS (SELECT task_id, count(*) AS n FROM dm GROUP BY task_
     UNION ALL SELECT task_id, 'verify_rule_engine_' || printf('%03d', row_number() OVER (PARTITION BY task_id ORDER BY match_no)), CASE WHEN lower(severity) IN ('low', 'medium') THEN 'warning' ELSE 'fail' END, coalesce(nullif(reason, ''), '规则引擎命中了一个待复核条件。'), coalesce(ev, '') FROM dm)"""
 
 
+@B.memo
 def engine_items(spark, sf):
     s, cfg, b, miss = engine(spark, sf)
     return I.verify_engine(s, b, miss, R.unmatched_returned(b, cfg), B.clauses(spark, sf))

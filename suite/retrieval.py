@@ -20,6 +20,7 @@ QSQL = f"""qw AS (SELECT item_id, w, min(p) AS p FROM (SELECT item_id, unnest(ws
     qt AS (SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(query, '[{S.WS}]+'), lambda x: x <> '')) AS term FROM qs) GROUP BY ALL)"""
 
 
+@B.memo
 def keyword_queries(spark, sf):
     b = B.load(spark, sf, "benchmark")
     words = F.array_distinct(F.filter(F.split("text", f"[{X.WS}]+", -1), lambda x: x != ""))
@@ -90,6 +91,7 @@ SIG = f"""{PROFILE}, kw AS (SELECT task_id, list(title ORDER BY title) AS keywor
     ti AS (SELECT template_id, min(template_name) AS template_name, min(category_lv1) AS category_lv1, min(category_lv2) AS category_lv2 FROM tc GROUP BY template_id)"""
 
 
+@B.memo
 def signatures(spark, sf):
     from auditframe.functions import ordered as O
     from auditframe.operators.clauses import order_chunk
@@ -116,6 +118,7 @@ ADJ, REASONS = _adj()
 RESC = f"{SIG}, rs AS (SELECT signature, template_id, template_name, category_lv1, category_lv2, score AS base_score, score + {ADJ} AS score, {REASONS} AS reasons FROM tcd JOIN ti USING (template_id) JOIN ss USING (signature))"
 
 
+@B.memo
 def rescored(spark, sf):
     s = signatures(spark, sf)
     return s, V.template_rescore(V.template_candidates(s, B.kb_clauses(spark, sf), DAY), s)
@@ -135,6 +138,7 @@ MATCH = f"""{RESC}, t5 AS (SELECT *, row_number() OVER (PARTITION BY signature O
     mt AS (SELECT * EXCLUDE (tier, rank) FROM u QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY tier, rank) = 1)"""
 
 
+@B.memo
 def matches(spark, sf):
     s, r = rescored(spark, sf)
     lab = B.load(spark, sf, "labels")
@@ -189,10 +193,12 @@ POOL = f"""pool AS (SELECT * FROM kb WHERE doc_type = 'policy' AND {LIVE}), ph A
     pk AS (SELECT query, clause_id, round(px.score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY px.score DESC, clause_id) AS rank FROM px WHERE px.score > 0 QUALIFY rank <= 3)"""
 
 
+@B.memo
 def pool(spark, sf):
     return V.effective_on(B.kb_clauses(spark, sf).where(F.col("doc_type") == "policy"), DAY)
 
 
+@B.memo
 def pool_queries(spark, sf):
     titles = B.kb_clauses(spark, sf).where(F.col("doc_type") == "template").select(F.col("title").alias("query"))
     rules = spark.createDataFrame([(r[1],) for r in P.RULES], "query string")

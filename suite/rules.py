@@ -21,7 +21,7 @@ def _(spark, sf):
     from auditframe.functions import text as X
     cat = G.rule_catalog(spark)
     k = B.kb_clauses(spark, sf).withColumn("h", X.joined("title", "content"))
-    ids = F.array_compact(F.array(*[F.when(X.contains_any("h", r[4]), F.lit(r[0])) for r in P.RULES]))
+    ids = X.all_keys("h", {r[0]: r[4] for r in P.RULES})
     n = k.select(F.explode(ids).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return cat.join(n, "id", "left").select("id", "name", "severity", "department", F.coalesce("n", F.lit(0)).alias("n_clauses"))
 
@@ -33,6 +33,7 @@ def _(spark, sf):
     return R.rule_drafts(B.kb_clauses(spark, sf)).select("document_id", "rule_id", "name", "basis_policy")
 
 
+@B.memo
 def contracts(spark, sf):
     """Contracts with fields, category and, for most, a template of varying category."""
     d = B.documents(spark, sf)
@@ -69,6 +70,7 @@ CON = f"""{HAY}, {SCHEMA}, fm AS (SELECT task_id, map_from_entries(list((field,
 HITS = f"{CON}, hits AS (" + " UNION ALL ".join(f"SELECT task_id, {i} AS rule_no, {S.q(r[0])} AS rule_id, {S.q(r[1])} AS problem, {S.q(r[2])} AS severity, {S.q(r[3])} AS department, {S.q(r[8])} AS suggestion, {S.q(R.LOCATIONS.get(r[5], ''))} AS clause_location, template_name AS basis_template FROM con WHERE {_cond(r[5], r[6], r[7])}" for i, r in enumerate(P.RULES)) + ")"
 
 
+@B.memo
 def hits(spark, sf):
     return R.run_rules(contracts(spark, sf), G.rule_catalog(spark))
 
@@ -102,6 +104,7 @@ def _(spark, sf):
     return R.eval_decision_table(rule_inputs(spark, sf)).select("task_id", "match_no", "config_id", "rule_id", "rule_name", "severity", "reason", "depends_on")
 
 
+@B.memo
 def raw_matches(spark, sf):
     """Decision hits as an external engine may return them: some without config id, some unknown, some without texts."""
     e = R.eval_decision_table(rule_inputs(spark, sf)).drop("evidence_clause_ids")
@@ -119,6 +122,7 @@ RAW = f"""{EVAL}, {CFG}, lead AS (SELECT task_id, arg_min(clause_id, sort_order)
       FROM raw r LEFT JOIN cfg i ON r.config_id = i.id LEFT JOIN cfg b ON r.rule_id = b.rule_id)"""
 
 
+@B.memo
 def bound(spark, sf):
     return R.decision_matches(raw_matches(spark, sf), G.default_configs(spark))
 
@@ -137,6 +141,7 @@ def _(spark, sf):
     return c.join(w, "config_id", "left").select("config_id", "name", "rule_id", "severity", "extract_labels", F.coalesce("n_clauses", F.lit(0)).alias("n_clauses"))
 
 
+@B.memo
 def available(spark, sf):
     """Rules an engine shows by having answered with them at least once."""
     return R.eval_decision_table(rule_inputs(spark, sf)).where(F.col("rule_id") != "missing_account_info").select("rule_id").distinct()
@@ -161,6 +166,7 @@ def _(spark, sf):
 STATUS = f"{RAW}, {MISSING}, {UNM}, stt AS (SELECT d.task_id, CASE WHEN doc_id % 10 = 0 THEN 'engine_error' WHEN (SELECT count(*) FROM miss) > 0 OR d.task_id IN (SELECT task_id FROM unm) THEN 'ok_with_warnings' ELSE 'ok' END AS status FROM docs d)"
 
 
+@B.memo
 def engine(spark, sf):
     d, cfg, b = B.documents(spark, sf), G.default_configs(spark), bound(spark, sf)
     miss = R.missing_configured(cfg, available(spark, sf))
@@ -182,6 +188,7 @@ EXEC = f"""{STATUS}, x0 AS (SELECT s.task_id, status, c.*, (SELECT arg_max(struc
       CASE st WHEN 'hit' THEN trim(coalesce(nullif(b.reason, ''), description)) WHEN 'engine_error' THEN '规则引擎执行失败，当前状态为 engine_error。' ELSE {_m(P.EXEC_REASON, '')} END AS reason, {_m(P.EXEC_REVIEW, '')} AS human_review, CASE WHEN coalesce(b.dep, '') <> '' THEN b.dep ELSE array_to_string(labels, '|') END AS depends_on, b.ev AS ev, expected FROM x1)"""
 
 
+@B.memo
 def exec_rows(spark, sf):
     s, cfg, b, miss = engine(spark, sf)
     return R.rule_exec_status(s, cfg, b, miss)

@@ -17,6 +17,7 @@ from .registry import query
 NAMED = "source || '_' || doc_id || CASE lang WHEN 'en' THEN '.PDF' WHEN 'fr' THEN '.png' WHEN 'de' THEN '.jpeg' ELSE '.docx' END"
 
 
+@B.memo
 def named(spark, sf):
     d = B.documents(spark, sf)
     ext = F.when(F.col("lang") == "en", ".PDF").when(F.col("lang") == "fr", ".png").when(F.col("lang") == "de", ".jpeg").otherwise(".docx")
@@ -112,6 +113,7 @@ def _(spark, sf):
     return cfg.join(got, "id", "left").select("id", "name", "config_type", F.coalesce("n", F.lit(0)).alias("n_expected"))
 
 
+@B.memo
 def config_tables(spark, sf):
     d = B.load(spark, sf, "documents").select(F.concat(F.lit("cfg_"), "doc_id").alias("id"), F.col("doc_id").alias("position"), F.col("source").alias("name"))
     lab = B.load(spark, sf, "labels").select("doc_id", F.concat(F.lit("label_"), "quality").alias("name"))
@@ -166,6 +168,7 @@ def _(spark, sf):
 RULE_ROWS = "rr AS (SELECT 'RULE_' || (doc_id % 97) AS rule_id, document_id AS source_document_id, doc_id AS written, doc_id % 2 = 0 AS enabled FROM kb_docs)"
 
 
+@B.memo
 def rule_rows(spark, sf):
     return B.kb_documents(spark, sf).select(F.concat(F.lit("RULE_"), F.col("doc_id") % 97).alias("rule_id"), F.col("document_id").alias("source_document_id"), F.col("doc_id").alias("written"), (F.col("doc_id") % 2 == 0).alias("enabled"))
 

@@ -13,11 +13,13 @@ from .registry import query
 HEAD = f"((length({S.strip('text')}) <= 24 AND regexp_matches({S.strip('text')}, '^[一二三四五六七八九十]、')) OR (length({S.strip('text')}) <= 26 AND {S.has('text', P.LAYOUT_HEADING_TOKENS)}))"
 
 
+@B.memo
 def lines(spark, sf):
     b = B.blocks(spark, sf)
     return b.select("task_id", "page", F.col("block_no").alias("line_no"), F.col("block_id").alias("line_id"), "text", "x", "y", "width", "height", "score")
 
 
+@B.memo
 def blocks(spark, sf):
     return B.blocks(spark, sf).withColumn("emphasis", X.is_heading_layout("text"))
 
@@ -48,6 +50,7 @@ GROUPS = """gr AS (SELECT task_id, page, block_no % 2 AS group_no, list('b_' ||
     UNION ALL SELECT task_id, page, 10 + block_no // 2 AS group_no, list(block_id ORDER BY block_no) AS ids FROM blocks GROUP BY task_id, page, block_no // 2)"""
 
 
+@B.memo
 def groups(spark, sf):
     """Proposals: interleaved lines (never contiguous when there are two) and neighbouring pairs."""
     b = B.blocks(spark, sf)
@@ -222,6 +225,7 @@ def _(spark, sf):
 SECT = f"""sect AS (SELECT task_id, page, block_no AS sort_order, 1 + (length(text) % 4) AS level, {S.compact_summary('text', 80)} AS title FROM blocks WHERE text LIKE '第%')"""
 
 
+@B.memo
 def sections(spark, sf):
     b = B.blocks(spark, sf).where(F.col("text").startswith("第"))
     return b.select("task_id", "page", F.col("block_no").alias("sort_order"), (1 + F.length("text") % 4).alias("level"), X.compact_summary("text", 80).alias("title"))
@@ -294,6 +298,7 @@ def _(spark, sf):
     return D.split_template(t.select("document_id", F.concat(F.lit("tpl_"), "doc_id").alias("template_id"), F.concat(F.lit("name_"), "doc_id").alias("template_name"), "text"))
 
 
+@B.memo
 def contents(spark, sf):
     """Contents lines from the part table: a category line per brand, a sub-category per type, a dotted line per part."""
     p = B.load(spark, sf, "part")
@@ -318,6 +323,7 @@ def _(spark, sf):
     return D.template_catalog(contents(spark, sf))
 
 
+@B.memo
 def heading_catalog(spark, sf):
     """Catalogue made of a document's own chapter lines, last one first."""
     b = B.blocks(spark, sf).where(F.col("text").rlike("^第.章"))
@@ -327,6 +333,7 @@ def heading_catalog(spark, sf):
     return b.select("document_id", "idx", "template_name", F.floor(F.col("page") / 2).alias("catalog_page"), F.concat(F.lit("tpl_"), "block_no").alias("template_id"))
 
 
+@B.memo
 def doc_pages(spark, sf):
     return D.page_texts(B.blocks(spark, sf)).withColumnRenamed("task_id", "document_id")
 
@@ -337,6 +344,7 @@ HC = f"""{PTEXT}, hc AS (SELECT task_id AS document_id, row_number() OVER (PARTI
       FROM hc JOIN off USING (document_id) JOIN (SELECT task_id AS document_id, count(*) AS n FROM pt GROUP BY task_id) USING (document_id))"""
 
 
+@B.memo
 def ranges(spark, sf):
     cat, pages = heading_catalog(spark, sf), doc_pages(spark, sf)
     counts = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("page_count"))
