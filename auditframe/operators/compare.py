@@ -9,6 +9,7 @@ from .. import params as P
 from ..functions import ordered as O
 from ..functions import similarity as M
 from ..functions import text as X
+from ..session import stage
 from .retrieval import substring_pairs
 from .structure import PAGE
 
@@ -244,7 +245,7 @@ def issue_target(issues: DataFrame, clauses: DataFrame, facts: DataFrame, eviden
     substrings over the distinct texts, so issues and clauses are never paired all with all.
     """
     key = ["task_id", "issue_id"]
-    issues = issues.persist()  # read by every lookup below
+    issues = stage(issues)  # read by every lookup below
     live = issues.where(~F.coalesce("no_direct_evidence", F.lit(False)))
     tokens = live.select(*key, F.explode(X.search_tokens("problem", "clause_location", "source_rule_name", "matched_title")).alias("needle"))
     tokens = tokens.withColumn("w", F.least(F.length("needle"), F.lit(8)).cast("double"))

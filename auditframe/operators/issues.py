@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import ordered as O
 from ..functions import text as X
+from ..session import stage
 from . import retrieval as V
 
 # --- issues -----------------------------------------------------------------
@@ -58,7 +59,7 @@ def issues(missing: DataFrame, weakened: DataFrame, hits: DataFrame) -> DataFram
 
 def with_basis(issue_rows: DataFrame, pool: DataFrame, templates: DataFrame) -> DataFrame:
     """Adds policy titles and details and the matched template clause; each distinct lookup is resolved once."""
-    issue_rows = issue_rows.persist()  # read by both lookups and by the result
+    issue_rows = stage(issue_rows)  # read by both lookups and by the result
     q = issue_rows.select(F.col("query").alias("request_id"), "query", F.array().cast("array<string>").alias("clause_ids")).distinct()
     b = V.policy_basis(q, pool)
     details = F.array_sort(F.collect_list(F.struct("pos", "clause_id", "title", "content", "page_start", "page_end", "document_id")))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from .. import params as P
 from ..functions import ordered as O
 from ..functions import text as X
+from ..session import stage
 
 LITERAL_LIMIT = 256
 
@@ -145,7 +146,7 @@ def template_candidates(signatures: DataFrame, kb: DataFrame, day: int) -> DataF
     signatures, not with contracts.
     """
     t = effective_on(kb, day).where((F.col("doc_type") == "template") & F.col("template_id").isNotNull())
-    sig = signatures.select("signature", "category", "keywords", "flags").distinct().persist()  # small and read several times
+    sig = stage(signatures.select("signature", "category", "keywords", "flags").distinct())  # read several times
     words = sig.select("signature", F.explode("keywords").alias("keyword")).groupBy("signature", "keyword").agg(F.count(F.lit(1)).alias("times"))
     hay = t.select(F.struct("template_id", "clause_id").alias("k"), X.joined("title", "content").alias("hay"))
     hits = substring_pairs(hay, "k", "hay", words, "keyword").groupBy(F.col("k.template_id").alias("template_id"), "keyword").agg(F.count(F.lit(1)).alias("n"))
@@ -254,13 +255,13 @@ def policy_pool_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFra
     so only those queries enter the character join.  There, clauses with the
     same relevant characters score alike and are handled as one group.
     """
-    q = queries.select("query").where(F.col("query") != "").distinct().persist()  # small and read several times
+    q = stage(queries.select("query").where(F.col("query") != "").distinct())  # read several times
     norm = F.translate("query", "，。/", "   ")
     terms = q.select("query", F.explode(F.filter(F.split(norm, f"[{X.WS}]+", -1), lambda x: x != "")).alias("needle")).groupBy("query", "needle").agg(F.count(F.lit(1)).cast("double").alias("w"))
     needles = terms.unionByName(q.select("query", F.col("query").alias("needle"), F.lit(5.0).alias("w")))
     texts = pool.select("clause_id", X.joined("title", "content").alias("hay"))
     pairs = substring_pairs(texts, "clause_id", "hay", needles, "needle")
-    direct = pairs.join(needles, "needle").groupBy("query", "clause_id").agg(F.sum("w").alias("score")).persist()
+    direct = stage(pairs.join(needles, "needle").groupBy("query", "clause_id").agg(F.sum("w").alias("score")))
     lead = O.top_k(direct, ["query"], [F.desc("score"), F.col("clause_id")], k)
     sure = lead.where((F.col("rank") == k) & (F.col("score") > 1)).select("query")
     open_q = q.join(sure, "query", "left_anti")

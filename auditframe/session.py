@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, app: str = "auditframe") -> SparkSession:
@@ -24,9 +25,28 @@ def local_session(cores: int = 8, app: str = "auditframe") -> SparkSession:
 
 def checkpoint_ready(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder the cluster names; only a local test gets a folder of its own."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir():
+        return
+    if named:
+        spark.sparkContext.setCheckpointDir(named)
     elif spark.sparkContext.master.startswith("local"):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="auditframe-"))
     else:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table that several later steps read, and cut its lineage there.
+
+    The rows go to the shared checkpoint folder, so they survive lost executors
+    and later plans start from a plain scan.
+    """
+    checkpoint_ready(df.sparkSession)
+    return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a written table, next to the checkpoints."""
+    checkpoint_ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from auditframe.operators import issues as I
 from auditframe.operators import retrieval as V
 from auditframe.operators import rules as R
 from auditframe.plans import bridge as B
+from auditframe.session import stage
 from auditframe.sources import configs as G
 
 from . import sqlkit as S
@@ -48,7 +49,7 @@ OUT = ["task_id", "source", "severity", "department", "clause_location", "proble
 
 @B.memo
 def three(spark, sf):
-    con = contracts(spark, sf).persist()  # read by all three kinds of issues
+    con = stage(contracts(spark, sf))  # read by all three kinds of issues
     m = con.where(F.col("template_id").isNotNull()).select("task_id", "template_id", "template_name")
     miss, weak = differences(spark, sf)
     h = R.run_rules(con, G.rule_catalog(spark))

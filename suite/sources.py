@@ -1,12 +1,11 @@
 """Sources, sinks, table maintenance (survey section 2.1)."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from auditframe import params as P
 from auditframe.functions import text as X
 from auditframe.plans import bridge as B
+from auditframe.session import scratch_path
 from auditframe.sources import configs as G
 from auditframe.sources import tables as R
 
@@ -149,8 +148,7 @@ def _(spark, sf):
 
 @query("kb_clauses_write", "SELECT doc_type, document_id, count(*)::BIGINT AS n FROM kb GROUP BY ALL")
 def _(spark, sf):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{base.rstrip('/')}/kb_clauses_write" if base else tempfile.mkdtemp(prefix="auditframe-kb-") + "/kb"
+    path = scratch_path(spark, "kb_clauses_write")
     R.kb_clauses_write(B.kb_clauses(spark, sf), path)
     return spark.read.parquet(path).groupBy("doc_type", "document_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -225,15 +223,13 @@ def _(spark, sf):
 
 @query("persist_tasks", "SELECT 'task_' || doc_id AS task_id, source || '_' || doc_id || '.' || lang AS file_name, doc_id AS created_at FROM documents")
 def _(spark, sf):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{base.rstrip('/')}/persist_tasks" if base else tempfile.mkdtemp(prefix="auditframe-tasks-") + "/tasks"
+    path = scratch_path(spark, "persist_tasks")
     R.persist_tasks(B.documents(spark, sf).select("task_id", "file_name", F.col("doc_id").alias("created_at")), path)
     return R.load_tasks(spark, path, "task_id string, file_name string, created_at long")
 
 
 @query("write_reports", "SELECT 'contract_task_' || doc_id AS contract_id, source AS summary FROM documents WHERE doc_id = 7")
 def _(spark, sf):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{base.rstrip('/')}/write_reports" if base else tempfile.mkdtemp(prefix="auditframe-reports-") + "/reports"
+    path = scratch_path(spark, "write_reports")
     R.write_reports(B.documents(spark, sf).select(F.concat(F.lit("contract_"), "task_id").alias("contract_id"), F.col("source").alias("summary")), path)
     return R.read_report(spark, path, "contract_task_7")
