@@ -122,12 +122,13 @@ def clean_lines(c) -> Column:
 def compact_summary(c, limit: int) -> Column:
     """One line; longer text is cut, loses trailing punctuation and gets an ellipsis.
 
-    The cut is one pattern (shortest head that is followed only by punctuation up
-    to the limit), so the text expression appears once in the plan.
+    The cut leaves a marker (a code point no text holds) and a second pattern
+    turns it, with the punctuation before it, into the ellipsis; so the text
+    expression appears once in the plan.
     """
     one = strip(sub(F.translate(clean_lines(c), "\n", " "), f"[{WS}]+", " "))
     keep = max(8, limit - 1)
-    return sub(one, f"(?s)^(?=.{{{limit + 1}}})(.{{0,{keep}}}?)[，；。,:： ]*(?<=^.{{{keep}}}).*$", "$1…")
+    return sub(sub(one, f"(?s)^(?=.{{{limit + 1}}})(.{{0,{keep}}}).*$", "$1\uffff"), "[，；。,:： ]*\uffff$", "…")
 
 
 def normalize_title(c) -> Column:
