@@ -186,11 +186,12 @@ def _(spark, sf):
     return e.select("vec_id", total(short).alias("head"), total(long_).alias("padded"), F.size(short).alias("n48"), F.size(long_).alias("n80"))
 
 
-@query("seq_ratio_bound", """SELECT block_id, (CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE *
+@query("seq_ratio_bound", """SELECT block_id, (length(a) + length(b)) * (CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE *
     list_sum(list_transform(list_distinct(string_split(a, '')), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, ''))))) / (length(a) + length(b)) END)::DOUBLE AS out
     FROM (SELECT block_id, text AS a, core_label || title2 AS b FROM (SELECT *, lag(text, 1, '') OVER (PARTITION BY doc_id ORDER BY block_no) AS title2 FROM blocks))""")
 def _(spark, sf):
     from pyspark.sql import Window
     w = Window.partitionBy("doc_id").orderBy("block_no")
     b = B.blocks(spark, sf).withColumn("b", F.concat("core_label", F.lag("text", 1, "").over(w)))
-    return b.select("block_id", X.seq_ratio_bound("text", "b").alias("out"))
+    # scaled by the total length: whole numbers, so rounding cannot differ
+    return b.select("block_id", (X.seq_ratio_bound("text", "b") * (F.length("text") + F.length("b"))).alias("out"))
