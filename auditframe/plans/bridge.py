@@ -48,6 +48,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@memo
+def corpus(spark, sf_dir) -> DataFrame:
+    """The documents, spread over all cores when the scan has fewer splits than cores.
+
+    A small file is one row group and would keep one core busy; a large input has
+    more splits than cores and is read as it is, without a shuffle.
+    """
+    d = load(spark, sf_dir, "documents")
+    n = spark.sparkContext.defaultParallelism
+    return d.repartition(n, "doc_id") if d.rdd.getNumPartitions() < n else d
+
+
 def decorated_lines(doc_id: Column, text: Column) -> Column:
     """Array of decorated lines of one document, in order (position + 1 = block_no)."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
@@ -72,7 +84,7 @@ def decorated_lines(doc_id: Column, text: Column) -> Column:
 
 @memo
 def documents(spark, sf_dir) -> DataFrame:
-    d = load(spark, sf_dir, "documents")
+    d = corpus(spark, sf_dir)
     return d.select(
         "doc_id", "lang", "source", "text",
         F.concat(F.lit("task_"), "doc_id").alias("task_id"),
@@ -92,7 +104,7 @@ def texts(spark, sf_dir) -> DataFrame:
 
 @memo
 def blocks(spark, sf_dir) -> DataFrame:
-    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    d = corpus(spark, sf_dir).select("doc_id", "text")
     b = d.select("doc_id", F.posexplode(decorated_lines(F.col("doc_id"), F.col("text"))).alias("pos", "text"))
     n, length = F.col("block_no"), F.length("text").cast("long")
     b = b.select("doc_id", (F.col("pos") + 1).cast("long").alias("block_no"), "text")
