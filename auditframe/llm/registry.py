@@ -4,7 +4,7 @@ import importlib
 
 from .common import ORACLES, QUERIES
 
-for _m in ("near_dedup", "decontaminate"):
+for _m in ("quality_knn", "near_dedup", "lm_score", "decontaminate"):
     importlib.import_module(f"{__package__}.{_m}")
 
 __all__ = ["ORACLES", "QUERIES"]
