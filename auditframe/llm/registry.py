@@ -4,7 +4,7 @@ import importlib
 
 from .common import ORACLES, QUERIES
 
-for _m in ("quality_knn", "near_dedup", "lm_score", "decontaminate"):
+for _m in ("url_filter", "license_scan", "quality_knn", "near_dedup", "pii", "chat_format", "lm_score", "quality_rules", "decontaminate", "mixing"):
     importlib.import_module(f"{__package__}.{_m}")
 
 __all__ = ["ORACLES", "QUERIES"]
