@@ -119,14 +119,16 @@ def clean_lines(c) -> Column:
     return strip(sub(x, f"[{WS}]*[{BREAKS}][{WS}]*", "\n"))
 
 
-def compact_summary(c, limit: int) -> Column:
-    """One line; longer text is cut, loses trailing punctuation and gets an ellipsis.
+def compact_summary(c, limit: int | None) -> Column:
+    """One line; text longer than a limit is cut, loses trailing punctuation and gets an ellipsis.
 
     The cut leaves a marker (a code point no text holds) and a second pattern
     turns it, with the punctuation before it, into the ellipsis; so the text
     expression appears once in the plan.
     """
     one = strip(sub(F.translate(clean_lines(c), "\n", " "), f"[{WS}]+", " "))
+    if limit is None:
+        return one
     keep = max(8, limit - 1)
     return sub(sub(one, f"(?s)^(?=.{{{limit + 1}}})(.{{0,{keep}}}).*$", "$1\uffff"), "[，；。,:： ]*\uffff$", "…")
 
@@ -208,8 +210,8 @@ def ordered_distinct(arr: Column, limit: int | None = None) -> Column:
     return F.slice(out, 1, limit) if limit else out
 
 
-def cross_references(c) -> Column:
-    return ordered_distinct(F.regexp_extract_all(clean_lines(c), F.lit(P.CROSS_REF_PATTERN), F.lit(1)), 8)
+def cross_references(c, limit: int | None = None) -> Column:
+    return ordered_distinct(F.regexp_extract_all(clean_lines(c), F.lit(P.CROSS_REF_PATTERN), F.lit(1)), limit)
 
 
 def _split_list(c, seps: str, cleaner, limit) -> Column:
@@ -217,8 +219,8 @@ def _split_list(c, seps: str, cleaner, limit) -> Column:
     return ordered_distinct(F.filter(parts, lambda x: F.length(x) > 0), limit)
 
 
-def reference_list(c) -> Column:
-    return _split_list(c, "[，,；;\n]+", clean_lines, 8)
+def reference_list(c, limit: int | None = None) -> Column:
+    return _split_list(c, "[，,；;\n]+", clean_lines, limit)
 
 
 def block_id_list(c) -> Column:
@@ -251,13 +253,13 @@ def overview_label(c) -> Column:
     return lookup(no_space(c), P.OVERVIEW_ALIASES)
 
 
-def fact_value(label, value) -> Column:
-    lab, text = col(label), compact_summary(value, 120)
+def fact_value(label, value, chars: int | None = None, short_chars: int | None = None) -> Column:
+    lab, text = col(label), compact_summary(value, chars)
     return (
         F.when(F.length(text) == 0, "")
         .when(lab == "合同编号", F.coalesce(contract_number(text), F.lit("未提取")))
         .when(lab.isin("主体摘要", "甲乙方信息", "服务内容", "付款条件", "履约期限", "验收标准", "争议解决", "账户信息"),
-              compact_summary(text, 80))
+              text if short_chars is None else compact_summary(text, short_chars))
         .otherwise(text)
     )
 
@@ -358,10 +360,11 @@ def clean_lines_only(c) -> Column:
     return strip(sub(text_of(c), f"[{WS}]*[\r{BREAKS}][{WS}]*", "\n"))
 
 
-def search_tokens(*cs) -> Column:
+def search_tokens(*cs, limit: int | None = None) -> Column:
     def one(c):
         parts = F.split(text_of(c), f"[{WS}:：，。；;（）()【】\\[\\]/\\\\\\-]+", -1)
-        return F.slice(F.filter(parts, lambda x: F.length(x) >= 2), 1, 24)
+        long = F.filter(parts, lambda x: F.length(x) >= 2)
+        return long if limit is None else F.slice(long, 1, limit)
     return F.array_distinct(F.flatten(F.array(*[one(c) for c in cs])))
 
 
@@ -377,18 +380,17 @@ def date_key(c) -> Column:
     return F.date_format(col(c), "yyyyMMdd").cast("int")
 
 
-def hash_embedding(c, dim: int = 1536) -> Column:
-    """Chained sha256 bytes scaled to [-1, 1]; one digest gives 32 numbers."""
-    text = F.substring(strip(text_of(c)), 1, 1800)
+def hash_embedding(c, dim: int = 1536, chars: int | None = None) -> Column:
+    """Chained sha256 bytes of the text (or of its first characters) scaled to [-1, 1]; one digest gives 32 numbers."""
+    text = strip(text_of(c)) if chars is None else F.substring(strip(text_of(c)), 1, chars)
     rounds = (dim + 31) // 32
     hexes = F.aggregate(
         F.sequence(F.lit(2), F.lit(max(2, rounds))),
         F.array(F.sha2(text, 256)),
         lambda acc, _: F.concat(acc, F.array(F.sha2(F.unhex(F.element_at(acc, -1)), 256))),
     )
-    digits = F.array_join(hexes, "")
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2 - 1)
+    number = lambda h: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2 - 1)
+    vec = F.slice(F.flatten(F.transform(hexes, number)), 1, dim)
     return F.when(F.length(text) > 0, vec).otherwise(F.array_repeat(F.lit(0.0), dim))
 
 
@@ -396,10 +398,6 @@ def fit_vector(c, dim: int) -> Column:
     return F.slice(F.concat(col(c), F.array_repeat(F.lit(0.0), dim)), 1, dim)
 
 
-def dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(col(a).cast("array<double>"), col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
 def seq_ratio_bound(a, b) -> Column:
     """Exact upper bound of the sequence ratio: shared characters, counted with multiplicity."""
     la, lb = F.length(a), F.length(b)

@@ -23,7 +23,7 @@ def nonblank(c) -> Column:
 
 # --- clauses ----------------------------------------------------------------
 
-def build_clauses(items: DataFrame, blocks: DataFrame, sections: DataFrame) -> DataFrame:
+def build_clauses(items: DataFrame, blocks: DataFrame, sections: DataFrame, text_chars: int | None = None) -> DataFrame:
     """Candidate rows to clauses.
 
     items: task_id, ord, label, title, core_label, label_source, raw_text, summary, page,
@@ -31,7 +31,7 @@ def build_clauses(items: DataFrame, blocks: DataFrame, sections: DataFrame) -> D
     """
     c = items.withColumn("label", F.coalesce(nonblank("label"), nonblank("title"))).where(F.col("label").isNotNull())
     c = c.withColumn("core_label", X.core_label(F.coalesce(nonblank("core_label"), F.col("label"))))
-    c = c.withColumn("raw_text", X.compact_summary("raw_text", 260))
+    c = c.withColumn("raw_text", X.compact_summary("raw_text", text_chars))
     c = c.withColumn("summary", X.compact_summary(F.coalesce(nonblank("summary"), F.nullif("raw_text", F.lit("")), F.col("label")), 80))
     c = c.withColumn("_probe", F.coalesce(F.nullif("raw_text", F.lit("")), F.col("summary")))
     c = c.withColumn("clause_id", F.format_string("clause_%03d", "ord"))
@@ -46,7 +46,7 @@ def build_clauses(items: DataFrame, blocks: DataFrame, sections: DataFrame) -> D
         refs.alias("references"), X.to_bool("need_review").alias("need_review"))
 
 
-def anchor_clauses(blocks: DataFrame, sections: DataFrame | None = None, words: dict = P.ANCHOR_KEYWORDS) -> DataFrame:
+def anchor_clauses(blocks: DataFrame, sections: DataFrame | None = None, words: dict = P.ANCHOR_KEYWORDS, text_chars: int | None = None) -> DataFrame:
     """Per label the block with most distinct keywords (longer text breaks near ties, first wins).
 
     The dictionary is folded into the row expression; only scoring labels are
@@ -61,7 +61,7 @@ def anchor_clauses(blocks: DataFrame, sections: DataFrame | None = None, words:
     c = O.numbered(best, ["task_id"], ["label_no"], "sort_order")
     core = F.when(F.col("label").isin(P.CLAUSE_LABELS), F.col("label")).otherwise(F.lit(P.DEFAULT_LABEL))
     c = c.select("task_id", F.format_string("clause_%03d", "sort_order").alias("clause_id"), "label", core.alias("core_label"), F.lit("core").alias("label_source"),
-                 F.col("label").alias("title"), X.compact_summary("b.text", 80).alias("summary"), X.compact_summary("b.text", 260).alias("raw_text"),
+                 F.col("label").alias("title"), X.compact_summary("b.text", 80).alias("summary"), X.compact_summary("b.text", text_chars).alias("raw_text"),
                  "b.page", F.lit(0.5).alias("confidence"), "sort_order", X.cross_references("b.text").alias("references"), F.lit(True).alias("need_review"), "b.block_id")
     return c if sections is None else nearest_section(c, sections)
 
@@ -85,10 +85,11 @@ def leading_pages(blocks: DataFrame, n: int) -> DataFrame:
     return O.top_k(pages, ["task_id"], ["page"], n, "page_pos")
 
 
-def facts_from_pages(blocks: DataFrame, n_pages: int = 4, n_blocks: int = 80) -> DataFrame:
-    """Contract numbers found in the leading blocks of the leading pages; first sight of each value."""
-    b = blocks.join(leading_pages(blocks, n_pages), ["task_id", "page"])
-    b = O.top_k(b, ["task_id", "page"], ["block_no"], n_blocks, "_pos").withColumn("value", X.contract_number("text")).where(F.col("value").isNotNull())
+def facts_from_pages(blocks: DataFrame, n_pages: int | None = None, n_blocks: int | None = None) -> DataFrame:
+    """Contract numbers found in the blocks (or the leading ones, of the leading pages); first sight of each value."""
+    b = blocks if n_pages is None else blocks.join(leading_pages(blocks, n_pages), ["task_id", "page"])
+    b = b if n_blocks is None else O.top_k(b, ["task_id", "page"], ["block_no"], n_blocks, "_pos")
+    b = b.withColumn("value", X.contract_number("text")).where(F.col("value").isNotNull())
     f = O.first_by(b.select("task_id", "value", "page", "block_no", "block_id"), ["task_id", "value"], ["page", "block_no"])
     return f.select("task_id", F.lit("合同编号").alias("label"), "value", "page", F.lit(0.88).alias("confidence"), F.col("block_id").alias("evidence_id"),
                     F.lit("基于 OCR 原文块直接提取。").alias("notes"), (F.col("page") * 1000000 + F.col("block_no")).alias("ord"))
@@ -187,19 +188,20 @@ def fact_map(facts: DataFrame) -> DataFrame:
 
 # --- classification ---------------------------------------------------------
 
-def classify_contract(tasks: DataFrame, sections: DataFrame, facts: DataFrame, clauses: DataFrame, words: dict = P.CATEGORY_KEYWORDS) -> DataFrame:
-    """Category whose keywords occur most often in the bounded contract summary.
+def classify_contract(tasks: DataFrame, sections: DataFrame, facts: DataFrame, clauses: DataFrame, words: dict = P.CATEGORY_KEYWORDS,
+                      n_sections: int | None = None, n_facts: int | None = None, n_clauses: int | None = None, n_summaries: int | None = None) -> DataFrame:
+    """Category whose keywords occur most often in titles, facts and clauses (all, or the leading ones).
 
     A keyword is in the joined text when it is in one of its pieces, so each
     piece gives a bit mask and the masks are OR-ed: no text is concatenated.
     """
     flat = [w for keys in words.values() for w in keys]
-    first = lambda df, n, cols, order, chunk: O.numbered(df, ["task_id"], order, "_p", chunk).where(F.col("_p") <= n).select("task_id", "_p", *cols)
+    first = lambda df, n, order, chunk: df.withColumn("_p", F.lit(0)) if n is None else _leading(df, n, order, chunk)
     pieces = [tasks.select("task_id", F.col("file_name").alias("t"))]
-    pieces.append(first(sections, 12, ["title"], ["sort_order"], order_chunk()).select("task_id", F.col("title").alias("t")))
-    pieces.append(first(facts, 12, ["label", "value"], ["ord"], order_chunk("ord")).select("task_id", F.concat_ws("\n", "label", "value").alias("t")))
-    pieces.append(first(clauses, 24, ["title", "summary"], ["sort_order"], order_chunk()).select(
-        "task_id", F.concat_ws("\n", "title", F.when(F.col("_p") <= 16, F.col("summary"))).alias("t")))
+    pieces.append(first(sections, n_sections, ["sort_order"], order_chunk()).select("task_id", F.col("title").alias("t")))
+    pieces.append(first(facts, n_facts, ["ord"], order_chunk("ord")).select("task_id", F.concat_ws("\n", "label", "value").alias("t")))
+    c = first(clauses, n_clauses, ["sort_order"], order_chunk()) if n_summaries is None else _leading(clauses, n_clauses, ["sort_order"], order_chunk())
+    pieces.append(c.select("task_id", F.concat_ws("\n", "title", F.col("summary") if n_summaries is None else F.when(F.col("_p") <= n_summaries, F.col("summary"))).alias("t")))
     allp = reduce(DataFrame.unionByName, pieces)
     m = allp.select("task_id", X.word_bits("t", flat).alias("m")).groupBy("task_id").agg(F.bit_or("m").alias("m"))
     at, cats = 0, []
@@ -227,7 +229,7 @@ def classify_merge(model: DataFrame, keyword: DataFrame) -> DataFrame:
 
 # --- schema -----------------------------------------------------------------
 
-def contract_schema(facts: DataFrame, clauses: DataFrame, aliases: dict = P.SCHEMA_ALIASES) -> DataFrame:
+def contract_schema(facts: DataFrame, clauses: DataFrame, aliases: dict = P.SCHEMA_ALIASES, snippet_chars: int | None = None) -> DataFrame:
     """Long table (task_id, field, value): first fact whose label has an alias, else a snippet of the first clause."""
     f = facts.withColumn("value", X.strip("value")).where(F.length("value") > 0)
     f = f.select("task_id", F.explode(X.all_keys("label", aliases)).alias("field"), "value", F.lit(0).alias("tier"), F.col("ord"))
@@ -236,7 +238,7 @@ def contract_schema(facts: DataFrame, clauses: DataFrame, aliases: dict = P.SCHE
     at = lambda ws: "coalesce(" + ", ".join(f"nullif(instr(hay, {X.sql_lit(w)}), 0)" for w in ws) + ")"
     found = ", ".join(f"named_struct('field', {X.sql_lit(k)}, 'pos', {at(w)})" for k, w in aliases.items())
     c = c.select("task_id", "hay", "sort_order", F.explode(F.expr(f"filter(array({found}), s -> s.pos IS NOT NULL)")).alias("s"))
-    c = c.select("task_id", "s.field", X.strip(F.substr("hay", F.col("s.pos"), F.lit(120))).alias("value"), F.lit(1).alias("tier"), F.col("sort_order").alias("ord"))
+    c = c.select("task_id", "s.field", X.strip(F.substr("hay", F.col("s.pos"), *([] if snippet_chars is None else [F.lit(snippet_chars)]))).alias("value"), F.lit(1).alias("tier"), F.col("sort_order").alias("ord"))
     u = f.unionByName(c)
     return u.groupBy("task_id", "field").agg(F.min_by("value", F.struct("tier", "ord")).alias("value"))
 
@@ -247,14 +249,20 @@ def schema_fields(schema: DataFrame, tasks: DataFrame) -> DataFrame:
     return tasks.select("task_id").distinct().join(m, "task_id", "left").withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
 
 
-def _leading(df: DataFrame, n: int, order: list, chunk: Column) -> DataFrame:
-    return O.numbered(df, ["task_id"], order, "_p", chunk).where(F.col("_p") <= n)
+def _leading(df: DataFrame, n: int | None, order: list, chunk: Column) -> DataFrame:
+    """Rows with their position; the first n only, if there is an n."""
+    out = O.numbered(df, ["task_id"], order, "_p", chunk)
+    return out if n is None else out.where(F.col("_p") <= n)
 
 
-def contract_profile(categories: DataFrame, fields: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Bounded text profile of a contract: category, subject, payment, first eight clauses."""
-    c = _leading(clauses, 8, ["sort_order"], order_chunk())
-    line = F.concat(F.lit("- "), "title", F.lit(": "), F.substring(F.coalesce(F.nullif("summary", F.lit("")), F.col("raw_text")), 1, 100))
+def _cut(c, n: int | None) -> Column:
+    return X.col(c) if n is None else F.substring(X.col(c), 1, n)
+
+
+def contract_profile(categories: DataFrame, fields: DataFrame, clauses: DataFrame, n_clauses: int | None = None, chars: int | None = None) -> DataFrame:
+    """Text profile of a contract: category, subject, payment, clauses (all, or the leading ones)."""
+    c = _leading(clauses, n_clauses, ["sort_order"], order_chunk())
+    line = F.concat(F.lit("- "), "title", F.lit(": "), _cut(F.coalesce(F.nullif("summary", F.lit("")), F.col("raw_text")), chars))
     lines = c.groupBy("task_id").agg(O.joined_list(line, ["_p"], "\n").alias("lines"))
     get = lambda k: F.coalesce(F.nullif(F.try_element_at("fields", F.lit(k)), F.lit("")), F.lit("未提取"))
     j = categories.join(fields, "task_id").join(lines, "task_id", "left")
@@ -263,24 +271,27 @@ def contract_profile(categories: DataFrame, fields: DataFrame, clauses: DataFram
     return j.select("task_id", text.alias("profile"))
 
 
-def candidate_titles(page_titles: DataFrame, sections: DataFrame) -> DataFrame:
-    """Distinct titles of the first three pages and six sections, six at most."""
-    p = O.top_k(page_titles, ["task_id"], ["page"], 3, "_p").select("task_id", F.col("title"), F.col("_p").alias("k"))
-    s = _leading(sections, 6, ["sort_order"], order_chunk()).select("task_id", "title", (F.col("_p") + 10).alias("k"))
+def candidate_titles(page_titles: DataFrame, sections: DataFrame, n_pages: int | None = None, n_sections: int | None = None, n_titles: int | None = None) -> DataFrame:
+    """Distinct titles of the pages, then of the sections, in order (all, or the first ones of each and in all)."""
+    p = _leading(page_titles, n_pages, ["page"], page_chunk()).select("task_id", F.col("title"), F.col("_p").alias("k"))
+    s = _leading(sections, n_sections, ["sort_order"], order_chunk()).select("task_id", "title", (F.col("_p") + (1 << 40)).alias("k"))
     u = p.unionByName(s).where(F.length("title") > 0)
     d = u.groupBy("task_id", "title").agg(F.min("k").alias("k"))
-    return O.top_k(d, ["task_id"], ["k"], 6, "_r").groupBy("task_id").agg(O.joined_list("title", ["_r"], "；").alias("titles"))
+    d = d if n_titles is None else O.top_k(d, ["task_id"], ["k"], n_titles, "_r")
+    return d.groupBy("task_id").agg(O.joined_list("title", ["k"], "；").alias("titles"))
 
 
-def model_context(facts: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Bounded fact and clause lines handed to an external classifier."""
-    f = _leading(facts, 12, ["ord"], order_chunk("ord"))
-    v = F.coalesce(F.nullif(F.substring(X.strip("value"), 1, 80), F.lit("")), F.lit("空"))
+def model_context(facts: DataFrame, clauses: DataFrame, n_facts: int | None = None, n_clauses: int | None = None, n_summaries: int | None = None,
+                  value_chars: int | None = None, summary_chars: int | None = None) -> DataFrame:
+    """Fact and clause lines handed to an external classifier; limits, where it has any, are parameters."""
+    f = _leading(facts, n_facts, ["ord"], order_chunk("ord"))
+    v = F.coalesce(F.nullif(_cut(X.strip("value"), value_chars), F.lit("")), F.lit("空"))
     fl = f.groupBy("task_id").agg(O.joined_list(F.concat(F.lit("- "), "label", F.lit(": "), v), ["_p"], "\n").alias("fact_lines"))
-    c = _leading(clauses, 14, ["sort_order"], order_chunk())
-    summary = F.substring(F.coalesce(F.nullif(X.strip("summary"), F.lit("")), X.strip("raw_text")), 1, 120)
+    c = _leading(clauses, n_clauses, ["sort_order"], order_chunk())
+    summary = _cut(F.coalesce(F.nullif(X.strip("summary"), F.lit("")), X.strip("raw_text")), summary_chars)
+    line = F.concat(F.lit("- "), "title", F.lit(": "), summary)
     cl = c.groupBy("task_id").agg(O.joined_list(F.concat(F.lit("- "), "title"), ["_p"], "\n").alias("title_lines"),
-                                  O.joined_list(F.when(F.col("_p") <= 8, F.concat(F.lit("- "), "title", F.lit(": "), summary)), ["_p"], "\n").alias("summary_lines"))
+                                  O.joined_list(line if n_summaries is None else F.when(F.col("_p") <= n_summaries, line), ["_p"], "\n").alias("summary_lines"))
     return fl.join(cl, "task_id", "full_outer")
 
 

@@ -17,12 +17,6 @@ TEMPLATE_CHUNK, CONTRACT_CHUNK = 32, 128
 TARGET_CHUNK, PAGE_CHUNK = 64, 8
 
 
-def clause_similarity(left_title="left_title", left_content="left_content", right_title="right_title", right_content="right_content"):
-    """0.65 x title ratio + 0.35 x content ratio (first 240 characters)."""
-    cut = lambda c: F.substring(X.text_of(c), 1, P.CONTENT_CHARS)
-    return M.seq_ratio(X.normalize_title(left_title), X.normalize_title(right_title)) * P.TITLE_WEIGHT + M.seq_ratio(cut(left_content), cut(right_content)) * P.CONTENT_WEIGHT
-
-
 def _packed(df: DataFrame, keys: list[str], ord_col: str, size: int, fields: list) -> DataFrame:
     """Rows of a key packed into arrays by order range; a chunk holds at most ``size`` order values."""
     chunk = F.floor(F.col(ord_col) / size)
@@ -50,7 +44,7 @@ def best_clause_match(contract: DataFrame, template: DataFrame, matched: DataFra
     clause pairs themselves are never materialised, and a contract or template
     of any size is many small units of work.
     """
-    cut = lambda c: F.substring(X.text_of(c), 1, P.CONTENT_CHARS)
+    cut = lambda c: X.text_of(c) if P.CONTENT_CHARS is None else F.substring(X.text_of(c), 1, P.CONTENT_CHARS)
     t = template.select("template_id", "clause_id", "ord", X.text_of("title").alias("title"), "clause_type", "content")
     t = _packed(t, ["template_id"], "ord", TEMPLATE_CHUNK, ["clause_id", "title", X.normalize_title("title").alias("norm"), cut("content").alias("content"), "clause_type"])
     c = contract.select("task_id", "clause_id", F.col("sort_order").alias("ord"), X.text_of("title").alias("title"), "core_label", X.text_of("raw_text").alias("raw"))
@@ -136,20 +130,21 @@ def locate_evidence_text(targets: DataFrame, blocks: DataFrame) -> DataFrame:
     out = j.groupBy("task_id", "target_id", "page", "size", "score").agg(
         F.trim(O.joined_list("text", ["_pos"], " ")).alias("evidence_text"), F.min("x").alias("x"), F.min("y").alias("y"),
         (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + h) - F.min("y")).alias("height"))
-    all_t = targets.select("task_id", "target_id", F.substring("text", 1, 120).alias("_t"))
+    all_t = targets.select("task_id", "target_id", F.col("text").alias("_t"))
     first = blocks.groupBy("task_id").agg(F.min("page").alias("_p"))
     r = all_t.join(out, ["task_id", "target_id"], "left").join(first, "task_id", "left")
     return r.select("task_id", "target_id", F.coalesce("page", "_p", F.lit(1)).alias("page"), F.coalesce("evidence_text", "_t").alias("evidence_text"),
                     F.coalesce("x", F.lit(40)).alias("x"), F.coalesce("y", F.lit(40)).alias("y"), F.coalesce("width", F.lit(200)).alias("width"), F.coalesce("height", F.lit(40)).alias("height"), "score")
 
 
-def evidence_segments(targets: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Given block ids, in order, cut where the page changes or the gap is large.
+def evidence_segments(targets: DataFrame, blocks: DataFrame, text_chars: int | None = None) -> DataFrame:
+    """Given block ids, in order, cut where the page changes or the gap is large; an id listed twice counts at its last place.
 
     targets: task_id, target_id, block_ids, page_hint.
     """
     from pyspark.sql import Window
     ids = targets.select("task_id", "target_id", "page_hint", F.posexplode("block_ids").alias("pos", "block_id"))
+    ids = ids.groupBy("task_id", "target_id", "page_hint", "block_id").agg(F.max("pos").alias("pos"))
     j = ids.join(blocks.select("task_id", "block_id", "page", "text", "x", "y", "width", F.coalesce(F.nullif("height", F.lit(0)), F.lit(24)).alias("height")), ["task_id", "block_id"])
     key = ["task_id", "target_id"]
     w = Window.partitionBy(*key).orderBy("pos")
@@ -161,7 +156,7 @@ def evidence_segments(targets: DataFrame, blocks: DataFrame) -> DataFrame:
     stripped = F.nullif(X.strip("text"), F.lit(""))
     g = s.groupBy(*key, "page_hint", (F.col("seg") - 1).alias("segment_index")).agg(
         F.min("page").alias("page"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"),
-        (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"), F.substring(O.joined_list(stripped, ["pos"], "\n"), 1, 1200).alias("text"),
+        (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"), (O.joined_list(stripped, ["pos"], "\n") if text_chars is None else F.substring(O.joined_list(stripped, ["pos"], "\n"), 1, text_chars)).alias("text"),
         F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length(X.strip("text"))).alias("text_len"))
     return g.join(g.groupBy(*key).agg(F.count(F.lit(1)).alias("segment_count")), key)
 
@@ -206,6 +201,13 @@ def evidence_index(evidence: DataFrame) -> DataFrame:
     return e.select("task_id", "evidence_id", F.coalesce("_p", "_f").alias("_b")).select("task_id", "evidence_id", "_b.*")
 
 
+def last_evidence(evidence: DataFrame) -> DataFrame:
+    """One evidence per id: the last one in page order."""
+    rest = [c for c in evidence.columns if c not in ("task_id", "evidence_id")]
+    e = evidence.groupBy("task_id", "evidence_id").agg(F.max_by(F.struct(*rest), F.struct("page", "segment_index")).alias("_b"))
+    return e.select("task_id", "evidence_id", "_b.*")
+
+
 def page_scope(candidates: DataFrame, pages: DataFrame, radius: int) -> DataFrame:
     """Pages within the radius of any candidate page, else the first three pages of the task."""
     p = F.col("page").cast("string").try_cast("long")
@@ -237,8 +239,8 @@ def grounding_merge(replies: DataFrame) -> DataFrame:
 # --- issue targets ----------------------------------------------------------
 
 
-def issue_target(issues: DataFrame, clauses: DataFrame, facts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Clause (best six with evidence), else fact (best four), that an issue speaks about.
+def issue_target(issues: DataFrame, clauses: DataFrame, facts: DataFrame, evidence: DataFrame, n_clauses: int | None = None, n_facts: int | None = None, excerpt_chars: int | None = None) -> DataFrame:
+    """Best clause with evidence, else best fact with evidence, that an issue speaks about (or among the leading ones only).
 
     issues: task_id, issue_id, problem, clause_location, source_rule_name, matched_title, no_direct_evidence.
     Only real containments are joined: tokens, hints and titles are looked up as
@@ -267,15 +269,15 @@ def issue_target(issues: DataFrame, clauses: DataFrame, facts: DataFrame, eviden
     by_title = live.select(*key, F.col("problem").alias("pid")).join(named, "pid").join(clauses.select("task_id", "clause_id", F.col("title").alias("needle")), ["task_id", "needle"])
     by_title = by_title.select(*key, "clause_id", F.lit(4.0).alias("w"))
     cs = scored(clauses, "clause_id", hay, clause_needles, by_title).join(clauses.select("task_id", "clause_id", "sort_order"), ["task_id", "clause_id"])
-    top_c = O.top_k(cs, key, [F.desc("score"), F.col("sort_order")], 6)
-    ev = evidence_index(evidence).select("task_id", "evidence_id", F.col("source_type").alias("_st"), F.col("source_id").alias("_sid"), "page", "text")
-    found_c = top_c.join(ev.where(F.col("_st") == "clause").withColumnRenamed("_sid", "clause_id"), ["task_id", "clause_id"])
+    ev = last_evidence(evidence).select("task_id", "evidence_id", F.col("source_type").alias("_st"), F.col("source_id").alias("_sid"), "page", "text")
+    best_first = lambda s, col, n: s.withColumn("rank", F.struct((-F.col("score")).alias("s"), F.col(col).alias("o"))) if n is None else O.top_k(s, key, [F.desc("score"), F.col(col)], n)
+    found_c = best_first(cs, "sort_order", n_clauses).join(ev.where(F.col("_st") == "clause").withColumnRenamed("_sid", "clause_id"), ["task_id", "clause_id"])
     fact_hay = F.concat_ws("\n", "label", "value", F.coalesce("notes", F.lit("")))
     fs = scored(facts, "fact_id", fact_hay, tokens.unionByName(hints.withColumn("w", F.lit(4.0)))).join(facts.select("task_id", "fact_id", "ord"), ["task_id", "fact_id"])
-    top_f = O.top_k(fs, key, [F.desc("score"), F.col("ord")], 4)
-    found_f = top_f.join(ev.where(F.col("_st") == "fact").withColumnRenamed("_sid", "fact_id"), ["task_id", "fact_id"])
-    cand = found_c.select(*key, F.lit(0).alias("tier"), "rank", "clause_id", F.lit(None).cast("string").alias("fact_id"), "evidence_id", "page", F.substring("text", 1, 260).alias("excerpt")).unionByName(
-        found_f.select(*key, F.lit(1).alias("tier"), "rank", F.lit(None).cast("string").alias("clause_id"), "fact_id", "evidence_id", "page", F.substring("text", 1, 260).alias("excerpt")))
+    found_f = best_first(fs, "ord", n_facts).join(ev.where(F.col("_st") == "fact").withColumnRenamed("_sid", "fact_id"), ["task_id", "fact_id"])
+    excerpt = (F.col("text") if excerpt_chars is None else F.substring("text", 1, excerpt_chars)).alias("excerpt")
+    cand = found_c.select(*key, F.lit(0).alias("tier"), "rank", "clause_id", F.lit(None).cast("string").alias("fact_id"), "evidence_id", "page", excerpt).unionByName(
+        found_f.select(*key, F.lit(1).alias("tier"), "rank", F.lit(None).cast("string").alias("clause_id"), "fact_id", "evidence_id", "page", excerpt))
     best = cand.groupBy(*key).agg(F.min_by(F.struct("clause_id", "fact_id", "evidence_id", "page", "excerpt"), F.struct("tier", "rank")).alias("b"))
     out = issues.select(*key, "no_direct_evidence").join(best, key, "left")
     note = F.when(F.coalesce("no_direct_evidence", F.lit(False)), "这是缺失或规则类问题，待审合同中没有可直接定位的对应原文证据。").when(F.col("b").isNull(), "未能定位到对应原文。")

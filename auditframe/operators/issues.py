@@ -16,13 +16,17 @@ from . import retrieval as V
 # --- issues -----------------------------------------------------------------
 
 ISSUE_COLUMNS = ["task_id", "source", "ord", "severity", "department", "clause_location", "problem", "query", "dedupe_text", "template_id", "basis_template",
-                 "source_rule_id", "source_rule_name", "suggestion", "confidence", "no_direct_evidence"]
+                 "source_rule_id", "source_rule_name", "suggestion", "confidence", "no_direct_evidence", "basis_ids"]
 
 
 def _none(t="string"):
     return F.lit(None).cast(t)
 
 
+def _no_ids():
+    return F.array().cast("array<string>").alias("basis_ids")
+
+
 def issues_missing(missing: DataFrame, fields: DataFrame, matched: DataFrame) -> DataFrame:
     """Missing template clause -> issue, unless the title starts with a field word whose field is filled."""
     plain = X.strip(F.translate("title", "：:", ""))
@@ -32,7 +36,7 @@ def issues_missing(missing: DataFrame, fields: DataFrame, matched: DataFrame) ->
     return j.select("task_id", F.lit("template_missing").alias("source"), F.col("template_ord").alias("ord"), F.lit("must_modify").alias("severity"), F.lit("legal").alias("department"),
                     F.concat(F.lit("范本条款: "), "title").alias("clause_location"), F.concat(F.lit("待审合同缺少范本关键条款："), "title").alias("problem"), F.col("title").alias("query"),
                     X.strip("title").alias("dedupe_text"), "template_id", F.col("template_name").alias("basis_template"), _none().alias("source_rule_id"), _none().alias("source_rule_name"),
-                    F.concat(F.lit("请补充或引用与范本一致的“"), "title", F.lit("”条款。")).alias("suggestion"), F.lit(P.ISSUE_CONFIDENCE["template_missing"]).alias("confidence"), F.lit(True).alias("no_direct_evidence"))
+                    F.concat(F.lit("请补充或引用与范本一致的“"), "title", F.lit("”条款。")).alias("suggestion"), F.lit(P.ISSUE_CONFIDENCE["template_missing"]).alias("confidence"), F.lit(True).alias("no_direct_evidence"), _no_ids())
 
 
 def issues_weakened(weakened: DataFrame, matched: DataFrame) -> DataFrame:
@@ -40,14 +44,16 @@ def issues_weakened(weakened: DataFrame, matched: DataFrame) -> DataFrame:
     return j.select("task_id", F.lit("template_weakened").alias("source"), F.col("template_ord").alias("ord"), F.lit("suggest_modify").alias("severity"), F.lit("business").alias("department"),
                     F.concat(F.lit("条款比对: "), "title").alias("clause_location"), F.concat(F.lit("待审合同对应条款相较范本存在弱化或偏差："), "title").alias("problem"), F.col("title").alias("query"),
                     X.strip("title").alias("dedupe_text"), "template_id", F.col("template_name").alias("basis_template"), _none().alias("source_rule_id"), _none().alias("source_rule_name"),
-                    F.concat(F.lit("请核对“"), "title", F.lit("”条款表述，避免责任或条件被弱化。")).alias("suggestion"), F.lit(P.ISSUE_CONFIDENCE["template_weakened"]).alias("confidence"), F.lit(False).alias("no_direct_evidence"))
+                    F.concat(F.lit("请核对“"), "title", F.lit("”条款表述，避免责任或条件被弱化。")).alias("suggestion"), F.lit(P.ISSUE_CONFIDENCE["template_weakened"]).alias("confidence"), F.lit(False).alias("no_direct_evidence"), _no_ids())
 
 
 def issues_rules(hits: DataFrame, matched: DataFrame) -> DataFrame:
+    """Rule hits as issues; the clause ids a rule names itself travel along as basis_ids."""
+    ids = F.coalesce("basis_ids", F.array().cast("array<string>")).alias("basis_ids") if "basis_ids" in hits.columns else _no_ids()
     j = hits.join(matched.select("task_id", "template_id"), "task_id", "left")
     no_ev = (X.strip("clause_location") == "") & X.contains_any("problem", P.NO_EVIDENCE_WORDS)
     return j.select("task_id", F.lit("rule").alias("source"), F.col("rule_no").cast("long").alias("ord"), "severity", "department", "clause_location", "problem", F.col("problem").alias("query"),
-                    X.strip("problem").alias("dedupe_text"), "template_id", "basis_template", F.col("rule_id").alias("source_rule_id"), F.col("rule_name").alias("source_rule_name"), "suggestion", "confidence", no_ev.alias("no_direct_evidence"))
+                    X.strip("problem").alias("dedupe_text"), "template_id", "basis_template", F.col("rule_id").alias("source_rule_id"), F.col("rule_name").alias("source_rule_name"), "suggestion", "confidence", no_ev.alias("no_direct_evidence"), ids)
 
 
 def issues(missing: DataFrame, weakened: DataFrame, hits: DataFrame) -> DataFrame:
@@ -58,15 +64,16 @@ def issues(missing: DataFrame, weakened: DataFrame, hits: DataFrame) -> DataFram
 
 
 def with_basis(issue_rows: DataFrame, pool: DataFrame, templates: DataFrame) -> DataFrame:
-    """Adds policy titles and details and the matched template clause; each distinct lookup is resolved once."""
-    issue_rows = stage(issue_rows)  # read by both lookups and by the result
-    q = issue_rows.select(F.col("query").alias("request_id"), "query", F.array().cast("array<string>").alias("clause_ids")).distinct()
+    """Adds policy titles and details and the matched template clause; each distinct lookup (query and given ids) is resolved once."""
+    request = F.sha2(F.concat_ws("\x1f", "query", F.array_join("basis_ids", "\x1e")), 256)
+    issue_rows = stage(issue_rows.withColumn("_request", request))  # read by both lookups and by the result
+    q = issue_rows.select(F.col("_request").alias("request_id"), "query", F.col("basis_ids").alias("clause_ids")).distinct()
     b = V.policy_basis(q, pool)
     details = F.array_sort(F.collect_list(F.struct("pos", "clause_id", "title", "content", "page_start", "page_end", "document_id")))
-    b = b.groupBy(F.col("request_id").alias("query")).agg(details.alias("basis_details"))
+    b = b.groupBy(F.col("request_id").alias("_request")).agg(details.alias("basis_details"))
     titles = F.array_distinct(F.filter(F.transform("basis_details", lambda d: X.strip(d["title"])), lambda t: t != ""))
     t = V.template_basis(issue_rows.select("template_id", F.col("query").alias("title")).where(F.col("template_id").isNotNull()).distinct(), templates)
-    j = issue_rows.join(b, "query", "left").join(t.select("template_id", F.col("title").alias("query"), "matched_title", "matched_page"), ["template_id", "query"], "left")
+    j = issue_rows.join(b, "_request", "left").drop("_request").join(t.select("template_id", F.col("title").alias("query"), "matched_title", "matched_page"), ["template_id", "query"], "left")
     return j.withColumn("basis_titles", F.coalesce(titles, F.array().cast("array<string>")))
 
 
@@ -121,13 +128,13 @@ def focuses_from_candidates(items: DataFrame, clauses: DataFrame, configs: DataF
                     _none().alias("config_id"), _none().alias("rule_id"), _none().alias("engine_status"))
 
 
-def focus_groups_input(clauses: DataFrame, n: int = 8) -> DataFrame:
-    """Clauses of the two context groups; a task without any gets its first (or last) eight."""
+def focus_groups_input(clauses: DataFrame, n: int | None = None) -> DataFrame:
+    """Clauses of the two context groups; a task without any gets all its clauses (or its first, or last, n)."""
     perf, rel = P.FOCUS_LABELS["performance"], P.FOCUS_LABELS["relation"]
     def group(name, labels, order):
         hit = clauses.where(F.col("core_label").isin(labels))
         rest = clauses.join(hit.select("task_id").distinct(), "task_id", "left_anti")
-        rest = O.top_k(rest, ["task_id"], [order], n, "_r").drop("_r")
+        rest = rest if n is None else O.top_k(rest, ["task_id"], [order], n, "_r").drop("_r")
         return hit.unionByName(rest).select("task_id", F.lit(name).alias("focus_group"), "clause_id")
     return group("performance", perf, F.col("sort_order")).unionByName(group("relation", rel, F.desc("sort_order")))
 
@@ -186,7 +193,7 @@ def focuses_from_rules(status: DataFrame, clauses: DataFrame, labels=P.CLAUSE_LA
 def focuses_from_issues(issue_rows: DataFrame) -> DataFrame:
     """Issues (with basis) as focuses of the knowledge-base source."""
     titles = F.filter(F.transform("basis_details", lambda d: d["title"]), lambda t: t != "")
-    policy = F.when(F.size(titles) > 0, F.concat(F.lit("制度依据："), F.array_join(F.slice(titles, 1, 3), " / ")))
+    policy = F.when(F.size(titles) > 0, F.concat(F.lit("制度依据："), F.array_join(titles, " / ")))
     template = F.when(F.length("basis_template") > 0, F.concat(F.lit("范本依据："), "basis_template"))
     rule = F.when(F.length("source_rule_name") > 0, F.concat(F.lit("规则："), "source_rule_name"))
     basis = F.coalesce(F.nullif(F.concat_ws("；", policy, template, rule), F.lit("")), F.lit("制度底座综合校验结果"))

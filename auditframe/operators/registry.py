@@ -35,8 +35,9 @@ def document_metadata(docs: DataFrame, kb: DataFrame, rules: DataFrame, catalog:
     return out.na.fill(0, cols)
 
 
-def document_clauses(kb: DataFrame) -> DataFrame:
-    return kb_clause_dedupe(kb).withColumn("content", F.substring("content", 1, 220))
+def document_clauses(kb: DataFrame, chars: int | None = None) -> DataFrame:
+    out = kb_clause_dedupe(kb)
+    return out if chars is None else out.withColumn("content", F.substring("content", 1, chars))
 
 
 def clause_metadata(kb: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def clause_metadata(kb: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFra
     d = docs.select("document_id", F.col("name").alias("document_name"), F.col("status").alias("document_status"))
     j = kb.join(d, "document_id", "left").join(g, "clause_id", "left")
     path = F.concat_ws(" / ", F.nullif("category_lv1", F.lit("")), F.nullif("category_lv2", F.lit("")))
-    return j.withColumn("category_path", path).withColumn("linked_rule_count", F.coalesce("linked_rule_count", F.lit(0))).withColumn("content", F.substring("content", 1, 4000))
+    return j.withColumn("category_path", path).withColumn("linked_rule_count", F.coalesce("linked_rule_count", F.lit(0)))
 
 
 def rule_metadata(rules: DataFrame, docs: DataFrame, kb: DataFrame) -> DataFrame:

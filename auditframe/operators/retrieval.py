@@ -25,7 +25,7 @@ def effective_on(kb: DataFrame, day: int) -> DataFrame:
 
 def bounded_values(df: DataFrame, column: str, limit: int) -> list | None:
     """The distinct values when there are at most ``limit``; None when there are more."""
-    got = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
+    got = df.select(column).where(F.length(column) > 0).distinct().limit(limit + 1).collect()
     return None if len(got) > limit else sorted(r[0] for r in got)
 
 
@@ -35,7 +35,7 @@ def _grams(c: Column, n: int) -> Column:
 
 
 def substring_pairs(texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_col: str, literal_limit: int = LITERAL_LIMIT) -> DataFrame:
-    """(id, needle) for every distinct needle that occurs in the text.
+    """(id, needle) for every distinct needle (empty ones aside) that occurs in the text.
 
     Few needles (checked): one pass over the texts, needles as a literal array.
     More: each needle is keyed by one of its own character grams (up to three
@@ -55,6 +55,15 @@ def substring_pairs(texts: DataFrame, id_col: str, text_col: str, needles: DataF
     return hit.select(id_col, needle_col)
 
 
+PLACE = ["template_id", "page_start", "clause_no"]
+
+
+def _place(kb: DataFrame) -> Column:
+    """Where a clause stands in the list of all clauses, the order of equal scores; its id comes last."""
+    at = [F.coalesce(F.col(c), F.lit(0 if c == "page_start" else "")).alias(c) for c in PLACE if c in kb.columns]
+    return F.struct(*at, "clause_id")
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """Whitespace terms with their multiplicity (a repeated term counts each time)."""
     t = queries.select("query_id", F.explode(F.filter(F.split("query", f"[{X.WS}]+", -1), lambda x: x != "")).alias("term"))
@@ -69,10 +78,10 @@ def lexical_topk(kb: DataFrame, queries: DataFrame, k: int, day: int | None = No
     if day is not None:
         kb = effective_on(kb, day)
     terms = query_terms(queries)
-    texts = kb.select("clause_id", X.joined("title", "content").alias("hay"))
-    pairs = substring_pairs(texts, "clause_id", "hay", terms, "term")
-    scored = pairs.join(terms, "term").groupBy("query_id", "clause_id").agg(F.sum("weight").alias("score"))
-    return O.top_k(scored, ["query_id"], [F.desc("score"), F.col("clause_id")], k)
+    texts = kb.select(_place(kb).alias("k"), X.joined("title", "content").alias("hay"))
+    pairs = substring_pairs(texts, "k", "hay", terms, "term")
+    scored = pairs.join(terms, "term").groupBy("query_id", "k").agg(F.sum("weight").alias("score"))
+    return O.top_k(scored, ["query_id"], [F.desc("score"), F.col("k")], k).select("query_id", "k.clause_id", "score", "rank")
 
 
 def policy_search(kb: DataFrame, queries: DataFrame, day: int, k: int = 5) -> DataFrame:
@@ -94,7 +103,8 @@ def vector_topk(kb: DataFrame, queries: DataFrame, k: int, day: int | None = Non
     n_kb, n_q = kb.count(), queries.count()
     parts, blocks = max(1, -(-n_kb // chunk)), max(1, -(-n_q // query_chunk))
     cells = lambda df, own, n_own, other, n_other, key: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-    a = cells(kb.select("clause_id", "vector"), "_part", parts, "_block", blocks, "clause_id")
+    own = [c for c in PLACE if c in kb.columns]
+    a = cells(kb.select(_place(kb).alias("k"), "vector").select("k.*", "vector"), "_part", parts, "_block", blocks, "clause_id")
     b = cells(queries.select("query_id", "vector"), "_block", blocks, "_part", parts, "query_id").withColumn("_part", F.col("_part").cast("long"))
     a = a.withColumn("_block", F.col("_block").cast("long"))
     ct, qt = kb.schema["clause_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
@@ -103,17 +113,18 @@ def vector_topk(kb: DataFrame, queries: DataFrame, k: int, day: int | None = Non
         import numpy as np
         import pandas as pd
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": right["query_id"][:0], "clause_id": left["clause_id"][:0], "score": pd.Series([], dtype="float64")})
-        m, q = np.stack(left["vector"].to_numpy()).astype("float64"), np.stack(right["vector"].to_numpy()).astype("float64")
+            return pd.DataFrame({"query_id": right["query_id"][:0], **{c: left[c][:0] for c in own}, "clause_id": left["clause_id"][:0], "score": pd.Series([], dtype="float64")})
+        q = np.stack(right["vector"].to_numpy()).astype("float64")
+        left = left.sort_values([*own, "clause_id"], kind="stable")  # equal scores: first in the list of clauses
+        m = np.stack(left["vector"].to_numpy()).astype("float64")
         den = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :]
         s = np.divide(q @ m.T, den, out=np.zeros_like(den), where=den != 0).round(9)
         ids = left["clause_id"].to_numpy()
-        rank = np.argsort(ids, kind="stable")  # equal scores: smallest id first
-        best = rank[np.argsort(-s[:, rank], axis=1, kind="stable")[:, :k]]
-        return pd.DataFrame({"query_id": np.repeat(right["query_id"].to_numpy(), best.shape[1]), "clause_id": ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(right["query_id"].to_numpy(), best.shape[1]), **{c: left[c].to_numpy()[best].ravel() for c in own}, "clause_id": ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
 
-    out = a.groupBy("_part", "_block").cogroup(b.groupBy("_part", "_block")).applyInPandas(cell, f"query_id {qt}, clause_id {ct}, score double")
-    return O.top_k(out, ["query_id"], [F.desc("score"), F.col("clause_id")], k)
+    out = a.groupBy("_part", "_block").cogroup(b.groupBy("_part", "_block")).applyInPandas(cell, f"query_id {qt}, {''.join(f'{c} {dict(a.dtypes)[c]}, ' for c in own)}clause_id {ct}, score double")
+    return O.top_k(out, ["query_id"], [F.desc("score"), *own, F.col("clause_id")], k).select("query_id", "clause_id", "score", "rank")
 
 
 def hybrid_topk(kb: DataFrame, queries: DataFrame, k: int, day: int) -> DataFrame:
@@ -121,7 +132,8 @@ def hybrid_topk(kb: DataFrame, queries: DataFrame, k: int, day: int) -> DataFram
     text = policy_search(kb, queries, day, k).select("query_id", "clause_id", (F.lit(k) + 1 - F.col("rank")).cast("double").alias("score"))
     vec = vector_topk(kb, queries, k, day).select("query_id", "clause_id", "score")
     both = text.unionByName(vec).groupBy("query_id", "clause_id").agg(F.sum("score").alias("score"))
-    return O.top_k(both, ["query_id"], [F.desc("score"), F.col("clause_id")], k)
+    placed = both.join(kb.select("clause_id", _place(kb).alias("k")), "clause_id")
+    return O.top_k(placed, ["query_id"], [F.desc("score"), F.col("k")], k).drop("k")
 
 
 # --- templates --------------------------------------------------------------
@@ -151,7 +163,8 @@ def template_candidates(signatures: DataFrame, kb: DataFrame, day: int) -> DataF
     hay = t.select(F.struct("template_id", "clause_id").alias("k"), X.joined("title", "content").alias("hay"))
     hits = substring_pairs(hay, "k", "hay", words, "keyword").groupBy(F.col("k.template_id").alias("template_id"), "keyword").agg(F.count(F.lit(1)).alias("n"))
     by_word = hits.join(words, "keyword").select("signature", "template_id", (F.col("n") * F.col("times")).cast("double").alias("s"))
-    info = t.groupBy("template_id").agg(*[F.min(c).alias(c) for c in ("template_name", "category_lv1", "category_lv2")])
+    names = F.struct("template_name", "category_lv1", "category_lv2")
+    info = t.groupBy("template_id").agg(F.min_by(names, _place(t)).alias("i")).select("template_id", "i.*")
     cats = t.groupBy("template_id", F.coalesce("category_lv1", F.lit("")).alias("l1"), F.coalesce("category_lv2", F.lit("")).alias("l2")).agg(F.count(F.lit(1)).alias("n"))
     names = sig.select("category").where(F.col("category") != "").distinct()
     pairs = substring_pairs(cats.select(F.struct("l1", "l2").alias("c"), F.concat_ws("\x1f", "l1", "l2").alias("hay")).distinct(), "c", "hay", names, "category")
@@ -200,14 +213,13 @@ def template_match(signatures: DataFrame, rescored: DataFrame, manual: DataFrame
     return O.first_by(t, ["task_id"], ["_tier", "rank"]).drop("_tier", "rank")
 
 
-def usage_profile(clauses: DataFrame, variant: str = "registry") -> DataFrame:
-    """Usage type of each template from its name, categories and leading clauses.
+def usage_profile(clauses: DataFrame, variant: str = "registry", n_title: int | None = None, n_content: int | None = None, content_chars: int | None = None) -> DataFrame:
+    """Usage type of each template from its name, categories and clauses (all, or the leading ones).
 
     The context is never concatenated: each piece gives a bit mask of the
     dictionary words and the masks are OR-ed per template.
     """
     reg = variant == "registry"
-    n_title, n_content, cut = (10, 8, 180) if reg else (8, 6, 160)
     storage = P.USAGE_STORAGE if reg else P.USAGE_STORAGE_RETRIEVAL
     survey, technical = (P.USAGE_SURVEY, P.USAGE_TECHNICAL) if reg else (P.USAGE_SURVEY_RETRIEVAL, P.USAGE_TECHNICAL_RETRIEVAL)
     lists = {"occupancy": storage["occupancy"], "service": storage["service"], "storage": storage["generic"], "survey": survey, "technical": technical, "audit": P.USAGE_AUDIT}
@@ -215,8 +227,11 @@ def usage_profile(clauses: DataFrame, variant: str = "registry") -> DataFrame:
         lists |= {"design": P.USAGE_DESIGN, "lab": P.USAGE_LAB, "legal": P.USAGE_LEGAL}
     c = clauses.where(F.col("template_id").isNotNull())
     head = c.groupBy("template_id").agg(*[F.min(x).alias(x) for x in ("template_name", "category_lv1", "category_lv2")])
-    lead = O.top_k(c.select("template_id", "title", "content", "page_start", "clause_no"), ["template_id"], ["page_start", F.coalesce("clause_no", F.lit("")), "title"], n_title, "_p")
-    piece = F.concat_ws("\n", X.strip(X.text_of("title")), F.when(F.col("_p") <= n_content, F.substring(X.strip(X.text_of("content")), 1, cut)))
+    order = ["page_start", F.coalesce("clause_no", F.lit("")), "title"]
+    lead = O.numbered(c.select("template_id", "title", "content", "page_start", "clause_no"), ["template_id"], order, "_p", F.col("page_start"))
+    lead = lead if n_title is None else lead.where(F.col("_p") <= n_title)
+    content = X.strip(X.text_of("content")) if content_chars is None else F.substring(X.strip(X.text_of("content")), 1, content_chars)
+    piece = F.concat_ws("\n", X.strip(X.text_of("title")), content if n_content is None else F.when(F.col("_p") <= n_content, content))
     domain = F.concat_ws("\n", "template_name", "category_lv1", "category_lv2") if reg else F.col("template_name")
     pieces = lead.select("template_id", piece.alias("t"), F.col("_p"), F.col("title")).unionByName(head.select("template_id", domain.alias("t"), F.lit(0).cast("long").alias("_p"), F.lit(None).cast("string").alias("title")))
     aggs = []
@@ -259,10 +274,10 @@ def policy_pool_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFra
     norm = F.translate("query", "，。/", "   ")
     terms = q.select("query", F.explode(F.filter(F.split(norm, f"[{X.WS}]+", -1), lambda x: x != "")).alias("needle")).groupBy("query", "needle").agg(F.count(F.lit(1)).cast("double").alias("w"))
     needles = terms.unionByName(q.select("query", F.col("query").alias("needle"), F.lit(5.0).alias("w")))
-    texts = pool.select("clause_id", X.joined("title", "content").alias("hay"))
-    pairs = substring_pairs(texts, "clause_id", "hay", needles, "needle")
-    direct = stage(pairs.join(needles, "needle").groupBy("query", "clause_id").agg(F.sum("w").alias("score")))
-    lead = O.top_k(direct, ["query"], [F.desc("score"), F.col("clause_id")], k)
+    texts = pool.select(_place(pool).alias("k"), X.joined("title", "content").alias("hay"))
+    pairs = substring_pairs(texts, "k", "hay", needles, "needle")
+    direct = stage(pairs.join(needles, "needle").groupBy("query", "k").agg(F.sum("w").alias("score")))
+    lead = O.top_k(direct, ["query"], [F.desc("score"), F.col("k")], k)
     sure = lead.where((F.col("rank") == k) & (F.col("score") > 1)).select("query")
     open_q = q.join(sure, "query", "left_anti")
     chars = open_q.select("query", F.length("query").alias("n"), F.explode(F.array_distinct(F.filter(F.split("query", ""), lambda c: ~F.rlike(c, F.lit(f"^[{X.WS}]*$"))))).alias("ch"))
@@ -270,27 +285,27 @@ def policy_pool_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFra
     own = F.array_distinct(F.split("hay", ""))
     if alphabet is not None:
         own = F.array_intersect(own, X.literal(alphabet))
-    sig = texts.select("clause_id", F.array_join(F.array_sort(own), "").alias("sig"))
-    sigs = sig.groupBy("sig").agg(F.min("clause_id").alias("first_id"))
+    sig = texts.select("k", F.array_join(F.array_sort(own), "").alias("sig"))
+    sigs = sig.groupBy("sig").agg(F.min("k").alias("first_id"))
     shared = sigs.select("sig", "first_id", F.explode(F.split("sig", "")).alias("ch")).join(chars, "ch").groupBy("query", "sig", "first_id", "n").agg(F.count(F.lit(1)).alias("c"))
     shared = shared.where(F.col("c") >= 2).select("query", "sig", "first_id", (F.col("c") / F.col("n")).alias("score"))
     # a direct hit scores at least 1 and characters at most 1, so the best 2k clauses by characters are enough
     groups = O.top_k(shared, ["query"], [F.desc("score"), F.col("first_id")], 2 * k, "_g").select("query", "sig", "score")
-    fuzzy = groups.join(O.top_k(sig, ["sig"], ["clause_id"], 2 * k, "_r"), "sig").select("query", "clause_id", "score")
-    allc = lead.select("query", "clause_id", "score").unionByName(fuzzy).groupBy("query", "clause_id").agg(F.max("score").alias("score"))
-    return O.top_k(allc, ["query"], [F.desc("score"), F.col("clause_id")], k)
+    fuzzy = groups.join(O.top_k(sig, ["sig"], ["k"], 2 * k, "_r"), "sig").select("query", "k", "score")
+    allc = lead.select("query", "k", "score").unionByName(fuzzy).groupBy("query", "k").agg(F.max("score").alias("score"))
+    return O.top_k(allc, ["query"], [F.desc("score"), F.col("k")], k).select("query", "k.clause_id", "score", "rank")
 
 
-def policy_basis(requests: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
+def policy_basis(requests: DataFrame, pool: DataFrame, k: int = 3, content_chars: int | None = None) -> DataFrame:
     """Basis clauses per request: the given ids that are live, in order; else the pool lookup.
 
-    requests: request_id, query, clause_ids.  Rows come with position and details (content cut to 240).
+    requests: request_id, query, clause_ids.  Rows come with position and details.
     """
     given = requests.select("request_id", F.posexplode("clause_ids").alias("pos", "clause_id")).join(pool.select("clause_id"), "clause_id", "left_semi")
     given = given.select("request_id", "clause_id", (F.col("pos") + 1).cast("long").alias("pos"))
     rest = requests.join(given.select("request_id").distinct(), "request_id", "left_anti")
     looked = rest.select("request_id", "query").join(policy_pool_topk(rest, pool, k), "query").select("request_id", "clause_id", F.col("rank").alias("pos"))
-    detail = pool.select("clause_id", "title", F.substring("content", 1, 240).alias("content"), "page_start", "page_end", "document_id")
+    detail = pool.select("clause_id", "title", "content" if content_chars is None else F.substring("content", 1, content_chars).alias("content"), "page_start", "page_end", "document_id")
     return given.unionByName(looked).join(detail, "clause_id")
 
 

@@ -15,16 +15,16 @@ from ..functions import text as X
 # --- catalogue rules on the contract schema ---------------------------------
 
 
-def rule_drafts(kb: DataFrame, catalog=P.RULES, limit: int = 5) -> DataFrame:
-    """Draft rule per (document, catalogue rule) whose keywords occur in its policy clauses; first clause ids kept.
+def rule_drafts(kb: DataFrame, catalog=P.RULES, limit: int | None = None) -> DataFrame:
+    """Draft rule per (document, catalogue rule) whose keywords occur in its policy clauses, with the ids of those clauses (or of the first ones).
 
-    Only clauses with a hit are exploded; the first ids come from a per-group
-    top-k, so a rule that matches a huge document never collects all its clauses.
+    Only clauses with a hit are exploded.
     """
     hay = kb.where(F.col("doc_type") == "policy").withColumn("_h", X.joined("title", "content"))
     ids = X.all_keys("_h", {r[0]: r[4] for r in catalog})
     hit = hay.select("document_id", "clause_id", "page_start", "block_no", F.explode(ids).alias("rule_id"))
-    lead = O.top_k(hit, ["document_id", "rule_id"], ["page_start", "block_no", "clause_id"], limit, "_r")
+    place = ["page_start", "block_no", "clause_id"]
+    lead = hit.withColumn("_r", F.struct(*place)) if limit is None else O.top_k(hit, ["document_id", "rule_id"], place, limit, "_r")
     d = lead.groupBy("document_id", "rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "clause_id"))), lambda s: s["clause_id"]).alias("basis_policy"))
     info = lambda i: X.lookup("rule_id", {r[0]: r[i] for r in catalog})
     return d.select("document_id", "rule_id", info(1).alias("name"), info(2).alias("severity"), info(3).alias("department"), info(8).alias("suggestion"), "basis_policy",
@@ -78,7 +78,7 @@ def run_rules(contracts: DataFrame, rules: DataFrame, max_rules: int = 2000) ->
     hits = [
         F.when(rule_condition(r["logic_type"], list(r["fields"] or []), r["min_length"] or 0), X.literal({
             "rule_no": i, "rule_id": r["id"], "rule_name": r["name"], "severity": r["severity"], "department": r["department"],
-            "suggestion": r["suggestion"], "clause_location": LOCATIONS.get(r["logic_type"], "")}))
+            "suggestion": r["suggestion"], "basis_ids": list(r.asDict().get("basis_policy") or []), "clause_location": LOCATIONS.get(r["logic_type"], "")}))
         for i, r in enumerate(rows)]
     h = contracts.select("task_id", "template_name", F.explode(F.array_compact(F.array(*hits))).alias("h"))
     return h.select("task_id", "h.*", F.col("h.rule_name").alias("problem"), F.col("template_name").alias("basis_template"), F.lit(P.ISSUE_CONFIDENCE["rule"]).alias("confidence"))
@@ -107,12 +107,12 @@ def eval_decision_table(inputs: DataFrame, table=P.DECISION_RULES) -> DataFrame:
 
 
 def decision_matches(raw: DataFrame, configs: DataFrame) -> DataFrame:
-    """Bind returned matches to configurations: by id, else to the first one with the rule id; fill defaults.
+    """Bind returned matches to enabled rule checks: by id, else to the first one with the rule id; fill defaults.
 
     raw: task_id, match_no, config_id, rule_id, rule_name, severity, decision, reason, depends_on, evidence_clause_ids.
     Configurations are a small table; the planner broadcasts it when its size allows and shuffles otherwise.
     """
-    c = configs.select("position", F.col("id").alias("c_id"), F.col("name").alias("c_name"), F.col("description").alias("c_desc"), F.col("rule_id").alias("c_rule"), F.col("severity").alias("c_sev"))
+    c = configs.where(F.col("enabled") & (F.col("config_type") == "rule_check")).select("position", F.col("id").alias("c_id"), F.col("name").alias("c_name"), F.col("description").alias("c_desc"), F.col("rule_id").alias("c_rule"), F.col("severity").alias("c_sev"))
     by_id = c.select(*[F.col(x).alias(f"i_{x}") for x in ("c_id", "c_name", "c_desc", "c_rule", "c_sev")])
     lead = O.first_by(c.where(F.col("c_rule").isNotNull()), ["c_rule"], ["position"]).select(*[F.col(x).alias(f"r_{x}") for x in ("c_id", "c_name", "c_desc", "c_rule", "c_sev")])
     j = raw.withColumn("config_id", F.nullif(X.strip(X.text_of("config_id")), F.lit(""))).withColumn("rule_id", F.nullif(X.strip(X.text_of("rule_id")), F.lit("")))

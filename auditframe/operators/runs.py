@@ -22,8 +22,13 @@ def run_summary(tasks: DataFrame, tables: dict[str, DataFrame], reports: DataFra
     return out.na.fill(0, [f"n_{n}" for n in tables] + ["issue_count", "n_must_modify", "n_suggest_modify"])
 
 
-def list_overlap(a: DataFrame, b: DataFrame, value: str, samples: int = 10) -> DataFrame:
-    """Overlap of the normalised distinct values of two runs per task, with one-sided samples."""
+def _kept(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
+    """Rows of each task with their rank; the first n only, if there is an n."""
+    return df.withColumn("_r", F.struct(*order)) if n is None else O.top_k(df, ["task_id"], order, n, "_r")
+
+
+def list_overlap(a: DataFrame, b: DataFrame, value: str, samples: int | None = None) -> DataFrame:
+    """Overlap of the normalised distinct values of two runs per task, with the values (or some) that only one has."""
     def side(df, tag):
         k = df.select("task_id", F.col(value).alias("v"), X.normalize_eval(value).alias("k"))
         return k.groupBy("task_id", "k").agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.min("v").alias(f"v_{tag}"))
@@ -32,7 +37,7 @@ def list_overlap(a: DataFrame, b: DataFrame, value: str, samples: int = 10) -> D
     g = j.groupBy("task_id").agg(F.coalesce(F.sum("n_a"), F.lit(0)).alias("baseline_count"), F.coalesce(F.sum("n_b"), F.lit(0)).alias("candidate_count"), F.count_if(key & ina & inb).alias("overlap_count"),
                                  F.count_if(key & ina).alias("_a"), F.count_if(key & inb).alias("_b"))
     def sample(cond, v, name):
-        s = O.top_k(j.where(key & cond).select("task_id", "k", F.col(v).alias("v")), ["task_id"], ["k"], samples, "_r")
+        s = _kept(j.where(key & cond).select("task_id", "k", F.col(v).alias("v")), ["k"], samples)
         return s.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "v"))), lambda x: x["v"]).alias(name))
     g = g.join(sample(ina & ~inb, "v_a", "baseline_only"), "task_id", "left").join(sample(inb & ~ina, "v_b", "candidate_only"), "task_id", "left")
     none = F.array().cast("array<string>")
@@ -91,7 +96,7 @@ def run_assessment(delta: DataFrame) -> DataFrame:
     return delta.select("task_id", F.when(c("execution_status") == "failed", F.array(F.lit("run_failed"))).otherwise(ok).alias("notes"))
 
 
-def page_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+def page_agreement(a: DataFrame, b: DataFrame, chars: int | None = P.PAGE_CHARS, preview_chars: int | None = None) -> DataFrame:
     """Pages of two runs by position: sizes, matched characters, similarity, unmatched both ways."""
     def side(blocks, t):
         s = F.nullif(X.strip("text"), F.lit(""))
@@ -100,15 +105,19 @@ def page_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
         return g.select("task_id", "position", F.col("t").alias(f"{t}_text"), X.drop_blank("t").alias(f"{t}_flat"), F.col("n").alias(f"{t}_blocks"))
     j = side(a, "a").join(side(b, "b"), ["task_id", "position"], "full_outer")
     flat = lambda t: F.coalesce(f"{t}_flat", F.lit(""))
-    cut = lambda t: F.substring(flat(t), 1, P.PAGE_CHARS)
-    j = j.withColumn("matched_chars", M.matching_chars(cut("a"), cut("b"))).withColumn("similarity", M.seq_ratio(cut("a"), cut("b")))
+    cut = lambda t: flat(t) if chars is None else F.substring(flat(t), 1, chars)
+    total = F.length(cut("a")) + F.length(cut("b"))
+    j = j.withColumn("matched_chars", M.matching_chars(cut("a"), cut("b")))
+    # the ratio is twice the matched characters over all characters
+    j = j.withColumn("similarity", F.when(total == 0, 1.0).otherwise(2.0 * F.col("matched_chars") / total))
     n = lambda t: F.length(flat(t))
+    preview = lambda c: F.coalesce(c, F.lit("")) if preview_chars is None else F.substring(F.coalesce(c, F.lit("")), 1, preview_chars)
     return j.select("task_id", "position", n("a").alias("baseline_chars"), n("b").alias("candidate_chars"), "matched_chars", "similarity", F.greatest(n("a") - F.col("matched_chars"), F.lit(0)).alias("missing_in_candidate"),
                     F.greatest(n("b") - F.col("matched_chars"), F.lit(0)).alias("missing_in_baseline"), F.coalesce("a_blocks", F.lit(0)).alias("baseline_blocks"), F.coalesce("b_blocks", F.lit(0)).alias("candidate_blocks"),
-                    F.substring(F.coalesce("a_text", F.lit("")), 1, 260).alias("baseline_preview"), F.substring(F.coalesce("b_text", F.lit("")), 1, 260).alias("candidate_preview"))
+                    preview("a_text").alias("baseline_preview"), preview("b_text").alias("candidate_preview"))
 
 
-def section_agreement(a: DataFrame, b: DataFrame, samples: int = 20) -> DataFrame:
+def section_agreement(a: DataFrame, b: DataFrame, samples: int | None = None) -> DataFrame:
     """Major and child section counts, and the titles only one run has."""
     def major(df):
         code = F.coalesce("section_code", F.lit(""))
@@ -118,7 +127,7 @@ def section_agreement(a: DataFrame, b: DataFrame, samples: int = 20) -> DataFram
     n = lambda df, t: df.groupBy("task_id").agg(F.count_if("_major").alias(f"{t}_major"), F.count_if(~F.col("_major")).alias(f"{t}_child"))
     def only(x, y, name):
         d = x.where("_major").select("task_id", "_t", "sort_order").join(y.where("_major").select("task_id", "_t"), ["task_id", "_t"], "left_anti")
-        d = O.top_k(d, ["task_id"], ["sort_order", "_t"], samples, "_r")
+        d = _kept(d, ["sort_order", "_t"], samples)
         return d.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_t"))), lambda s: s["_t"]).alias(name))
     g = n(ma, "baseline").join(n(mb, "candidate"), "task_id", "full_outer").na.fill(0)
     g = g.join(only(ma, mb, "missing_in_candidate"), "task_id", "left").join(only(mb, ma, "extra_in_candidate"), "task_id", "left")

@@ -183,24 +183,26 @@ def chunk_rows(df: DataFrame, keys: list[str], order: list, n: int, chunk: Colum
     return d.withColumn("batch_no", F.floor((F.col("_pos") - 1) / max(1, n)) + 1).drop("_pos")
 
 
-def page_payload(blocks: DataFrame, mode: str = "section") -> DataFrame:
-    """Bounded page context: leading blocks, heading candidates, page text."""
-    max_blocks, max_text = (24, 2400) if mode == "section" else (20, 2200)
+def page_payload(blocks: DataFrame, max_blocks: int | None = None, max_text: int | None = None, max_headings: int | None = None, block_chars: int | None = None, heading_chars: int | None = None) -> DataFrame:
+    """Page context for a model: blocks, heading candidates, page text; limits of the model are parameters."""
+    cut = lambda c, n: F.col(c) if n is None else F.substring(c, 1, n)
+    upto = lambda c, n: F.lit(True) if n is None else F.col(c) <= n
     b = blocks.withColumn("text", X.clean_lines("text")).where(F.length("text") > 0)
     b = b.withColumn("_head", X.is_heading("text"))
     b = O.numbered(b, PAGE, ["block_no"], "_pos").withColumn("_kind", F.when(F.col("_head"), 1).otherwise(0))
     b = O.numbered(b, [*PAGE, "_kind"], ["block_no"], "_head_pos")
-    kept = F.when(F.col("_pos") <= max_blocks, F.struct("block_no", F.substring("text", 1, 160).alias("v")))
-    heads = F.when(F.col("_head") & (F.col("_head_pos") <= 12), F.struct("block_no", F.concat("block_id", F.lit(":"), F.substring("text", 1, 120)).alias("v")))
+    kept = F.when(upto("_pos", max_blocks), F.struct("block_no", cut("text", block_chars).alias("v")))
+    heads = F.when(F.col("_head") & upto("_head_pos", max_headings), F.struct("block_no", F.concat("block_id", F.lit(":"), cut("text", heading_chars)).alias("v")))
     values = lambda a: F.transform(F.array_sort(a), lambda s: s["v"])
     out = b.groupBy(*PAGE).agg(F.collect_list(kept).alias("_kept"), F.collect_list(heads).alias("_heads"))
-    return out.select(*PAGE, F.size("_kept").alias("n_blocks"), F.substring(F.array_join(values(F.col("_kept")), " "), 1, max_text).alias("page_text"),
+    whole = F.array_join(values(F.col("_kept")), " ")
+    return out.select(*PAGE, F.size("_kept").alias("n_blocks"), (whole if max_text is None else F.substring(whole, 1, max_text)).alias("page_text"),
                       values(F.col("_heads")).alias("headings"))
 
 
 # --- sections ---------------------------------------------------------------
 
-def section_candidates(blocks: DataFrame, cap: int = 180) -> DataFrame:
+def section_candidates(blocks: DataFrame, cap: int | None = None) -> DataFrame:
     """Article marks inside blocks, unless the eight characters before name a citation."""
     b = blocks.withColumn("text", X.clean_lines("text")).where(F.col("text").contains("第"))
     marks = F.regexp_extract_all("text", F.lit(P.SECTION_MARK_PATTERN), F.lit(0))
@@ -219,7 +221,8 @@ def section_candidates(blocks: DataFrame, cap: int = 180) -> DataFrame:
     from_ = F.greatest(start - 20, F.lit(0))
     evidence = X.compact_summary(F.substr("text", from_ + 1, end + 80 - from_), 120)
     c = c.select("task_id", "page", "block_no", "block_id", "mark_no", code.alias("section_code"), topic.alias("topic"), evidence.alias("evidence_text"))
-    c = O.numbered(c, ["task_id"], ["page", "block_no", "mark_no"], "sort_order", page_chunk()).where(F.col("sort_order") <= cap)
+    c = O.numbered(c, ["task_id"], ["page", "block_no", "mark_no"], "sort_order", page_chunk())
+    c = c if cap is None else c.where(F.col("sort_order") <= cap)
     has_topic = F.length("topic") > 0
     return c.select("task_id", F.when(has_topic, F.concat_ws(" ", "section_code", "topic")).otherwise(F.col("section_code")).alias("title"),
                     F.lit(1).alias("level"), "page", "sort_order", "section_code",
@@ -399,31 +402,32 @@ def split_template(docs: DataFrame) -> DataFrame:
                     F.lit("template").alias("doc_type"))
 
 
-def template_catalog(lines: DataFrame, contents_pages: int = P.CONTENTS_PAGES) -> DataFrame:
+def template_catalog(lines: DataFrame, contents_pages: int | None = None) -> DataFrame:
     """Table-of-contents lines to catalogue rows, carrying the two category levels.
 
-    lines: document_id, page, line_no, text.  Only the leading contents pages are read, so the window is bounded.
+    lines: document_id, page, line_no, text; with contents_pages only pages up to it.  The levels are carried in
+    ranges of lines, so a document that holds most of the table is many tasks.
     """
-    from pyspark.sql import Window
-    x = lines.where(F.col("page") <= contents_pages).withColumn("line", X.clean_text("text")).where(F.length("line") > 0)
+    x = (lines if contents_pages is None else lines.where(F.col("page") <= contents_pages)).withColumn("line", X.clean_text("text")).where(F.length("line") > 0)
     compact = X.drop_blank("line")
     lv1 = F.coalesce(F.nullif(F.regexp_extract("line", P.CATALOG_LV1, 1), F.lit("")), F.nullif(F.regexp_extract(compact, P.CATALOG_LV1, 1), F.lit("")))
     one_dot = F.length("line") - F.length(F.replace("line", F.lit("."), F.lit(""))) == 1
     x = x.withColumn("_lv1", lv1)
     x = x.withColumn("_lv2", F.when(F.col("_lv1").isNull() & one_dot, F.nullif(F.regexp_extract("line", P.CATALOG_LV2, 2), F.lit(""))))
     is_line = F.col("_lv1").isNull() & F.col("_lv2").isNull() & F.rlike("line", F.lit(P.CATALOG_LINE))
-    w = Window.partitionBy("document_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("category_lv1", F.last("_lv1", True).over(w)).withColumn("_grp", F.count("_lv1").over(w))
-    w2 = Window.partitionBy("document_id", "_grp").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("category_lv2", F.last("_lv2", True).over(w2)).where(is_line)
+    at = F.struct("page", "line_no")
+    x = O.carry(x, ["document_id"], ["page", "line_no"], {"_a": F.when(F.col("_lv1").isNotNull(), F.struct(at.alias("at"), F.col("_lv1").alias("v"))),
+                                                          "_b": F.when(F.col("_lv2").isNotNull(), F.struct(at.alias("at"), F.col("_lv2").alias("v")))}, F.col("page") * (1 << 30) + F.floor(F.col("line_no") / O.CHUNK))
+    # a level 2 above the last level 1 belongs to an earlier category
+    x = x.withColumns({"category_lv1": F.col("_a.v"), "category_lv2": F.when(F.col("_a").isNull() | (F.col("_b.at") > F.col("_a.at")), F.col("_b.v"))}).where(is_line)
     get = lambda i: F.regexp_extract("line", P.CATALOG_LINE, i)
     return x.select("document_id", "page", "line_no", F.concat(F.lit("tpl_"), F.replace(get(1), F.lit("."), F.lit("_"))).alias("template_code"),
                     get(2).alias("template_name"), "category_lv1", "category_lv2", get(3).cast("long").alias("catalog_page"))
 
 
-def page_offset(catalog: DataFrame, pages: DataFrame, first: int = 5, contents_pages: int = P.CONTENTS_PAGES) -> DataFrame:
+def page_offset(catalog: DataFrame, pages: DataFrame, first: int | None = None, contents_pages: int = P.CONTENTS_PAGES) -> DataFrame:
     """Shift between printed and real page numbers, from the first leading title found in the body."""
-    lead = catalog.where(F.col("idx") <= first).select("document_id", "idx", "catalog_page", X.clean_text("template_name").alias("_name")).where(F.length("_name") > 0)
+    lead = (catalog if first is None else catalog.where(F.col("idx") <= first)).select("document_id", "idx", "catalog_page", X.clean_text("template_name").alias("_name")).where(F.length("_name") > 0)
     body = pages.where(F.col("page") > contents_pages)
     hit = lead.join(body, "document_id").where(F.col("page_text").contains(F.col("_name")))
     best = hit.groupBy("document_id").agg(F.min_by(F.col("page") - F.col("catalog_page"), F.struct("idx", "page")).alias("offset"))

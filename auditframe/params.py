@@ -270,7 +270,8 @@ USAGE_NAMES = {
 # thresholds
 TITLE_WEIGHT, CONTENT_WEIGHT, MATCH_BONUS = 0.65, 0.35, 0.2
 MISSING_BELOW, WEAK_BELOW, WEAK_LENGTH_RATIO = 0.42, 0.62, 0.35
-CONTENT_CHARS, EVIDENCE_CHARS, PAGE_CHARS = 240, 400, 5000
+# how many characters of a text are compared; None: all
+CONTENT_CHARS = EVIDENCE_CHARS = PAGE_CHARS = None
 CONTAINED_SCORE, HINT_BONUS, MAX_RUN = 0.95, 0.06, 4
 CONFIDENCE_WEIGHTS = (0.32, 0.38, 0.30)
 ISSUE_CONFIDENCE = {"template_missing": 0.84, "template_weakened": 0.76, "rule": 0.86}

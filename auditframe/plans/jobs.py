@@ -33,7 +33,7 @@ def evaluate_rules(tasks: DataFrame, sections: DataFrame, clauses: DataFrame, fa
     return {"matches": matches, "missing": missing, "unmatched": unmatched, "status": status, "exec": R.rule_exec_status(status, configs, matches, missing)}
 
 
-def analyze_corpus(blocks: DataFrame, tasks: DataFrame, configs: DataFrame, available: DataFrame, evidence: bool = True) -> dict[str, DataFrame]:
+def analyze_corpus(blocks: DataFrame, tasks: DataFrame, configs: DataFrame, available: DataFrame) -> dict[str, DataFrame]:
     """Blocks -> sections -> clauses -> facts -> evidence, decision rules, focuses, verification, confidence."""
     sections = stage(S.reconstruct_sections(blocks))
     clauses = stage(C.clause_dedupe(C.anchor_clauses(blocks, sections)).withColumn("structured_fields", F.create_map().cast("map<string,string>")))
@@ -42,18 +42,15 @@ def analyze_corpus(blocks: DataFrame, tasks: DataFrame, configs: DataFrame, avai
     focuses = stage(I.generate_focuses(I.focuses_from_rules(rules["exec"], clauses), None, I.focuses_from_relations(clauses, configs)))
     items = I.verification([I.verify_required(tasks, clauses), I.verify_keywords(clauses), I.verify_confidence(clauses), I.verify_external(focuses), I.verify_structure(sections),
                             I.verify_engine(rules["status"], rules["matches"], rules["missing"], rules["unmatched"], clauses)])
-    out = {"sections": sections, "clauses": clauses, "facts": facts, "focuses": focuses, "verification": items, "clause_links": I.clause_focus_links(clauses, focuses),
-           "confidence": I.confidence_overview(tasks, sections, clauses, focuses), **rules}
-    if evidence:
-        out["evidence"] = K.attach_evidence(K.evidence_targets(sections, clauses, facts), blocks)
-    return out
+    return {"sections": sections, "clauses": clauses, "facts": facts, "focuses": focuses, "verification": items, "clause_links": I.clause_focus_links(clauses, focuses),
+            "confidence": I.confidence_overview(tasks, sections, clauses, focuses), "evidence": K.attach_evidence(K.evidence_targets(sections, clauses, facts), blocks), **rules}
 
 
-def review_corpus(tasks: DataFrame, sections: DataFrame, clauses: DataFrame, facts: DataFrame, kb: DataFrame, rules: DataFrame, day: int) -> dict[str, DataFrame]:
+def review_corpus(tasks: DataFrame, sections: DataFrame, clauses: DataFrame, facts: DataFrame, kb: DataFrame, rules: DataFrame, day: int, dim: int = 1536) -> dict[str, DataFrame]:
     """Classify, extract the schema, match and compare templates, run rules, collect issues with their basis, report."""
     categories = stage(C.classify_contract(tasks, sections, facts, clauses))
     fields = stage(C.schema_fields(C.contract_schema(facts, clauses), tasks))
-    titles = C._leading(clauses, 10, ["sort_order"], C.order_chunk()).groupBy("task_id").agg(F.array_sort(F.collect_list("title")).alias("keywords"))
+    titles = clauses.groupBy("task_id").agg(F.array_sort(F.collect_list("title")).alias("keywords"))
     flags = V.profile_flags(C.contract_profile(categories, fields, clauses))
     sig = stage(V.contract_signatures(categories.select("task_id", "category").join(titles, "task_id", "left").join(flags, "task_id").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))))
     matched = stage(V.template_match(sig, V.template_rescore(V.template_candidates(sig, kb, day), sig)))
@@ -68,16 +65,16 @@ def review_corpus(tasks: DataFrame, sections: DataFrame, clauses: DataFrame, fac
     full = stage(I.with_basis(issues, pool, templates))
     report = I.report_summary(issues, con.select("task_id", "category", "template_id"))
     # suggestions depend only on the category, so each distinct category is searched once
-    queries = categories.select(F.col("category").alias("query_id"), F.col("category").alias("query")).distinct().withColumn("vector", X.hash_embedding("query", 32))
-    vectors = kb.withColumn("vector", X.hash_embedding(X.joined("title", "content"), 32)) if "vector" not in kb.columns else kb
+    queries = categories.select(F.col("category").alias("query_id"), F.col("category").alias("query")).distinct().withColumn("vector", X.hash_embedding("query", dim))
+    vectors = kb.withColumn("vector", X.hash_embedding(X.joined("title", "content"), dim)) if "vector" not in kb.columns else kb
     return {"categories": categories, "matched": matched, "comparison": match, "additional": K.additional_clauses(clauses, match), "issues": full, "report": report,
             "suggestions": V.hybrid_topk(vectors, queries, 5, day)}
 
 
-def audit_corpus(blocks: DataFrame, tasks: DataFrame, kb: DataFrame, configs: DataFrame, available: DataFrame, rules: DataFrame, day: int, evidence: bool = True) -> dict[str, DataFrame]:
+def audit_corpus(blocks: DataFrame, tasks: DataFrame, kb: DataFrame, configs: DataFrame, available: DataFrame, rules: DataFrame, day: int, dim: int = 1536) -> dict[str, DataFrame]:
     """Analysis and review of every contract, with focuses and verification items merged by id."""
-    a = analyze_corpus(blocks, tasks, configs, available, evidence)
-    r = review_corpus(tasks, a["sections"], a["clauses"], a["facts"].withColumn("ord", F.col("ord")), kb, rules, day)
+    a = analyze_corpus(blocks, tasks, configs, available)
+    r = review_corpus(tasks, a["sections"], a["clauses"], a["facts"].withColumn("ord", F.col("ord")), kb, rules, day, dim)
     kb_focus = I.focuses_from_issues(r["issues"])
     cols = ["task_id", "focus_id", "title", "focus_source", "risk_level", "confidence", "location", "review"]
     merged = I.merge_by_id("focus_id", a["focuses"].select(*cols), kb_focus.select(*cols))

@@ -34,7 +34,7 @@ def items(spark, sf):
                     F.when(F.col("need_review"), "yes").otherwise("no").alias("need_review"))
 
 
-@query("build_clauses", f"""WITH {PTEXT}, {SECT}, {ITEMS}, b1 AS (SELECT * REPLACE (CASE WHEN label <> '' THEN label ELSE title END AS label), {S.compact_summary('raw_text', 260)} AS rt FROM it WHERE label <> '' OR title IS NOT NULL),
+@query("build_clauses", f"""WITH {PTEXT}, {SECT}, {ITEMS}, b1 AS (SELECT * REPLACE (CASE WHEN label <> '' THEN label ELSE title END AS label), {S.compact_summary('raw_text', None)} AS rt FROM it WHERE label <> '' OR title IS NOT NULL),
     b2 AS (SELECT *, {S.mapped('label', P.CORE_LABEL_ALIASES)} AS core FROM b1), pg AS (SELECT b2.task_id, ord, min(page) AS fp FROM b2 JOIN pt USING (task_id) WHERE contains(ptext, rt) OR contains(replace(ptext, ' ', ''), replace(rt, ' ', '')) GROUP BY ALL),
     fst AS (SELECT task_id, min(page) AS p1 FROM blocks GROUP BY task_id),
     b3 AS (SELECT b2.*, coalesce(CASE WHEN given < 1000 THEN given END, fp, p1)::BIGINT AS page FROM b2 LEFT JOIN pg USING (task_id, ord) JOIN fst USING (task_id)),
@@ -49,7 +49,7 @@ ANCHOR = "WITH ac AS (" + " UNION ALL ".join(
     f"SELECT task_id, page, block_no, block_id, t, {i} AS label_no, {S.q(k)} AS label, {S.count_words('t', w)} AS hits FROM ab" for i, (k, w) in enumerate(P.ANCHOR_KEYWORDS.items())) + "),"
 ANCHOR = ANCHOR.replace("WITH ac AS", f"ab AS (SELECT task_id, page, block_no, block_id, {S.clean_lines('text')} AS t FROM blocks), ac AS") + f"""
     ar AS (SELECT *, row_number() OVER (PARTITION BY task_id, label_no ORDER BY hits * 20 + least(length(t), 200) // 20 DESC, page, block_no) AS rk FROM ac WHERE hits > 0 AND t <> ''),
-    anc AS (SELECT task_id, label, {S.compact_summary('t', 80)} AS summary, {S.compact_summary('t', 260)} AS raw_text, page, row_number() OVER (PARTITION BY task_id ORDER BY label_no) AS sort_order, t, block_id FROM ar WHERE rk = 1)"""
+    anc AS (SELECT task_id, label, {S.compact_summary('t', 80)} AS summary, {S.compact_summary('t', None)} AS raw_text, page, row_number() OVER (PARTITION BY task_id ORDER BY label_no) AS sort_order, t, block_id FROM ar WHERE rk = 1)"""
 
 
 @query("anchor_clauses", f"WITH {ANCHOR} SELECT task_id, 'clause_' || printf('%03d', sort_order) AS clause_id, label, summary, raw_text, page, sort_order, array_to_string({S.cross_refs('t')}, '|') AS \"references\", block_id FROM anc")
@@ -69,7 +69,7 @@ def _(spark, sf):
 
 
 FPAGES = f"""fp0 AS (SELECT *, dense_rank() OVER (PARTITION BY task_id ORDER BY page) AS pp, row_number() OVER (PARTITION BY task_id, page ORDER BY block_no) AS bp, {S.contract_number('text')} AS num FROM blocks),
-    fpg AS (SELECT task_id, num AS value, arg_min(page, page * 1000000 + block_no) AS page, arg_min(block_id, page * 1000000 + block_no) AS block_id, min(page * 1000000 + block_no) AS ord FROM fp0 WHERE pp <= 4 AND bp <= 80 AND num IS NOT NULL GROUP BY task_id, num)"""
+    fpg AS (SELECT task_id, num AS value, arg_min(page, page * 1000000 + block_no) AS page, arg_min(block_id, page * 1000000 + block_no) AS block_id, min(page * 1000000 + block_no) AS ord FROM fp0 WHERE num IS NOT NULL GROUP BY task_id, num)"""
 
 
 @query("facts_from_pages", f"WITH {FPAGES} SELECT task_id, '合同编号' AS label, value, page, 0.88::DOUBLE AS confidence, block_id AS evidence_id FROM fpg")
@@ -108,7 +108,7 @@ def _(spark, sf):
 
 
 @query("build_facts", f"""WITH v AS (SELECT fact_id, task_id, label, value, page, confidence FROM key_facts),
-    w AS (SELECT *, CASE WHEN label = '账户信息' THEN coalesce({S.contract_number(S.compact_summary('value', 120))}, '未提取') WHEN label IN ('付款条件', '验收标准', '争议解决') THEN {S.compact_summary(S.compact_summary('value', 120), 80)} ELSE {S.compact_summary('value', 120)} END AS out FROM v WHERE value <> '')
+    w AS (SELECT *, CASE WHEN label = '账户信息' THEN coalesce({S.contract_number(S.compact_summary('value', None))}, '未提取') WHEN label IN ('付款条件', '验收标准', '争议解决') THEN {S.compact_summary('value', None)} ELSE {S.compact_summary('value', None)} END AS out FROM v WHERE value <> '')
     SELECT w.task_id, CASE WHEN label = '账户信息' THEN '合同编号' ELSE label END AS label, out AS value, w.page, w.confidence, arg_min(b.block_id, b.block_no) AS evidence_id
     FROM w LEFT JOIN blocks b ON b.task_id = w.task_id AND b.page = w.page AND (contains({S.clean_lines('b.text')}, {S.clean_lines('out')}) OR contains(replace({S.clean_lines('b.text')}, ' ', ''), replace(out, ' ', ''))) GROUP BY fact_id, w.task_id, label, out, w.page, w.confidence""")
 def _(spark, sf):
@@ -154,9 +154,9 @@ def _(spark, sf):
     return C.fact_map(ordered_facts(spark, sf))
 
 
-HAY = f"""{SECT}, pc AS (SELECT task_id, file_name AS t FROM docs UNION ALL SELECT task_id, title FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sort_order) AS p FROM sect) WHERE p <= 12
-      UNION ALL SELECT task_id, label || chr(10) || value FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sort_order) AS p FROM key_facts) WHERE p <= 12
-      UNION ALL SELECT task_id, title || chr(10) || CASE WHEN p <= 16 THEN summary ELSE '' END FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sort_order) AS p FROM clauses) WHERE p <= 24),
+HAY = f"""{SECT}, pc AS (SELECT task_id, file_name AS t FROM docs UNION ALL SELECT task_id, title FROM sect
+      UNION ALL SELECT task_id, label || chr(10) || value FROM key_facts
+      UNION ALL SELECT task_id, title || chr(10) || summary FROM clauses),
     hy AS (SELECT task_id, string_agg(t, chr(10)) AS h FROM pc GROUP BY task_id),
     ch AS ({" UNION ALL ".join(f"SELECT task_id, {i} AS k, {S.q(c)} AS category, {S.words_in('h', w)} AS hits FROM hy" for i, (c, w) in enumerate({**P.CATEGORY_KEYWORDS, "验收付款类": ["验收", "付款", "节点"]}.items()))}),
     cls AS (SELECT task_id, CASE WHEN n = 0 THEN '通用合同类' ELSE category END AS category, CASE WHEN n = 0 THEN 0.3::DOUBLE ELSE 0.55 END AS confidence, CASE WHEN n = 0 THEN '' ELSE array_to_string(hits[1:6], '|') END AS evidence FROM
@@ -186,7 +186,7 @@ def _schema_sql():
     for k, w in P.SCHEMA_ALIASES.items():
         parts.append(f"SELECT task_id, {S.q(k)} AS field, trim(value) AS value, 0 AS tier, sort_order FROM key_facts WHERE value <> '' AND {S.has('label', w)}")
         at = "coalesce(" + ", ".join(f"nullif(strpos(h, {S.q(a)}), 0)" for a in w) + ")"
-        parts.append(f"SELECT task_id, {S.q(k)}, {S.strip(f'substr(h, {at}, 120)')}, 1, sort_order FROM hh WHERE {S.has('h', w)}")
+        parts.append(f"SELECT task_id, {S.q(k)}, {S.strip(f'substr(h, {at})')}, 1, sort_order FROM hh WHERE {S.has('h', w)}")
     return f"""hh AS (SELECT task_id, sort_order, title || chr(10) || summary || chr(10) || raw_text AS h FROM clauses), su AS ({" UNION ALL ".join(parts)}),
     sch AS (SELECT task_id, field, arg_min(value, tier * 1000000 + sort_order) AS value FROM su GROUP BY task_id, field)"""
 
@@ -205,7 +205,7 @@ def _(spark, sf):
 
 
 PROFILE = f"""{HAY}, {SCHEMA}, pv AS (SELECT task_id, max(value) FILTER (field = 'contract_subject') AS subj, max(value) FILTER (field = 'payment_terms') AS pay FROM sch GROUP BY task_id),
-    pl AS (SELECT task_id, string_agg('- ' || title || ': ' || left(summary, 100), chr(10) ORDER BY p) AS ln FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sort_order) AS p FROM clauses) WHERE p <= 8 GROUP BY task_id),
+    pl AS (SELECT task_id, string_agg('- ' || title || ': ' || summary, chr(10) ORDER BY sort_order) AS ln FROM clauses GROUP BY task_id),
     prof AS (SELECT task_id, '合同类别：' || category || chr(10) || '合同标的：' || coalesce(subj, '未提取') || chr(10) || '服务内容：' || coalesce(subj, '未提取') || chr(10) || '付款条款：' || coalesce(pay, '未提取') || chr(10) || '关键条款：' || coalesce(chr(10) || ln, '') AS profile FROM cls LEFT JOIN pv USING (task_id) LEFT JOIN pl USING (task_id))"""
 
 
@@ -220,16 +220,16 @@ def _(spark, sf):
 
 
 @query("candidate_titles", f"""WITH {SECT}, tt AS (SELECT task_id, page, coalesce(arg_min(CASE WHEN {HEAD} AND length(text) <= 32 THEN text ELSE left(text, 32) END, (CASE WHEN {HEAD} AND length(text) <= 32 THEN 0 ELSE 1 END) * 1000000 + block_no), '') AS title FROM blocks GROUP BY task_id, page),
-    u AS (SELECT task_id, title, k FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY page) AS k FROM tt) WHERE k <= 3 UNION ALL SELECT task_id, title, k + 10 FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sort_order) AS k FROM sect) WHERE k <= 6),
+    u AS (SELECT task_id, title, k FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY page) AS k FROM tt) UNION ALL SELECT task_id, title, k + 10000000 FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sort_order) AS k FROM sect)),
     d AS (SELECT task_id, title, min(k) AS k FROM u WHERE title <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY k) AS rk FROM d)
-    SELECT task_id, string_agg(title, '；' ORDER BY rk) AS titles FROM r WHERE rk <= 6 GROUP BY task_id""")
+    SELECT task_id, string_agg(title, '；' ORDER BY rk) AS titles FROM r GROUP BY task_id""")
 def _(spark, sf):
     return C.candidate_titles(D.page_title(blocks(spark, sf)), sections(spark, sf))
 
 
 @query("model_context", """WITH f AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sort_order) AS p FROM key_facts), c AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sort_order) AS p FROM clauses),
-    fl AS (SELECT task_id, string_agg('- ' || label || ': ' || coalesce(nullif(left(value, 80), ''), '空'), chr(10) ORDER BY p) AS fact_lines FROM f WHERE p <= 12 GROUP BY task_id),
-    cl AS (SELECT task_id, string_agg('- ' || title, chr(10) ORDER BY p) AS title_lines, string_agg('- ' || title || ': ' || left(summary, 120), chr(10) ORDER BY p) FILTER (p <= 8) AS summary_lines FROM c WHERE p <= 14 GROUP BY task_id) SELECT * FROM fl FULL JOIN cl USING (task_id)""")
+    fl AS (SELECT task_id, string_agg('- ' || label || ': ' || coalesce(nullif(value, ''), '空'), chr(10) ORDER BY p) AS fact_lines FROM f GROUP BY task_id),
+    cl AS (SELECT task_id, string_agg('- ' || title, chr(10) ORDER BY p) AS title_lines, string_agg('- ' || title || ': ' || summary, chr(10) ORDER BY p) AS summary_lines FROM c GROUP BY task_id) SELECT * FROM fl FULL JOIN cl USING (task_id)""")
 def _(spark, sf):
     return C.model_context(ordered_facts(spark, sf), B.clauses(spark, sf))
 

@@ -15,7 +15,7 @@ from auditframe.sources import configs as G
 from . import sqlkit as S
 from .clauses import ordered_facts
 from .registry import query
-from .retrieval import pool
+from .retrieval import POOL, pool
 from .rules import CFG, CON, EXEC, HITS, contracts, bound, engine, exec_rows, hits
 from .structure import SECT, sections
 
@@ -89,7 +89,13 @@ def _(spark, sf):
     return all_issues(spark, sf)[0].select(*OUT, "issue_id")
 
 
-@query("issues_with_basis")
+BASIS = f"""{ISS}, pq AS (SELECT DISTINCT query FROM iss WHERE query <> ''), {POOL},
+    bo AS (SELECT query, trim(title) AS t, min(rank) AS r FROM pk JOIN pool USING (clause_id) WHERE trim(title) <> '' GROUP BY ALL), bt AS (SELECT query, string_agg(t, '|' ORDER BY r) AS titles FROM bo GROUP BY query),
+    tb AS (SELECT q.template_id, q.query, t.title AS matched_title, t.page_start AS matched_page FROM (SELECT DISTINCT template_id, query FROM iss WHERE template_id IS NOT NULL) q JOIN (SELECT * FROM kb WHERE template_id IS NOT NULL) t USING (template_id)
+      QUALIFY row_number() OVER (PARTITION BY q.template_id, q.query ORDER BY CASE WHEN contains(t.title, q.query) OR contains(q.query, t.title) THEN 0 ELSE 1 END, t.page_start, t.clause_no, t.clause_id) = 1)"""
+
+
+@query("issues_with_basis", f"WITH {BASIS} SELECT task_id, issue_id, coalesce(titles, '') AS basis_titles, matched_title, matched_page FROM iss LEFT JOIN bt USING (query) LEFT JOIN tb USING (template_id, query)")
 def _(spark, sf):
     t = B.kb_clauses(spark, sf).where(F.col("template_id").isNotNull())
     return I.with_basis(all_issues(spark, sf)[0], pool(spark, sf), t).select("task_id", "issue_id", "basis_titles", "matched_title", "matched_page")
@@ -143,7 +149,7 @@ def _(spark, sf):
     return I.focuses_from_candidates(candidate_rows(spark, sf), B.clauses(spark, sf), G.default_configs(spark)).select(*FSEL)
 
 
-@query("focus_groups_input", " UNION ALL ".join(f"""SELECT task_id, '{g}' AS focus_group, clause_id FROM clauses WHERE list_contains({S.lst(l)}, core_label) UNION ALL SELECT task_id, '{g}', clause_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sort_order {o}) AS r FROM clauses WHERE task_id NOT IN (SELECT task_id FROM clauses WHERE list_contains({S.lst(l)}, core_label))) WHERE r <= 8""" for (g, l), o in zip(P.FOCUS_LABELS.items(), ["", "DESC"])))
+@query("focus_groups_input", " UNION ALL ".join(f"""SELECT task_id, '{g}' AS focus_group, clause_id FROM clauses WHERE list_contains({S.lst(l)}, core_label) UNION ALL SELECT task_id, '{g}', clause_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sort_order {o}) AS r FROM clauses WHERE task_id NOT IN (SELECT task_id FROM clauses WHERE list_contains({S.lst(l)}, core_label)))""" for (g, l), o in zip(P.FOCUS_LABELS.items(), ["", "DESC"])))
 def _(spark, sf):
     return I.focus_groups_input(B.clauses(spark, sf))
 

@@ -8,7 +8,7 @@ from auditframe.plans import bridge as B
 from . import sqlkit as S
 from .registry import query
 from .sources import rule_rows
-from .structure import HC, ranges
+from .structure import HC, SPLIT_POLICY, SPLIT_TEMPLATE, ranges
 from .retrieval import usage_sql
 
 TODAY = 20240701
@@ -30,7 +30,7 @@ def _(spark, sf):
     return G.kb_clause_dedupe(B.kb_clauses(spark, sf)).select("clause_id", "title")
 
 
-@query("document_clauses", f"WITH {RULES}, {DEDUP} SELECT document_id, clause_id, left(content, 220) AS content FROM kd")
+@query("document_clauses", f"WITH {RULES}, {DEDUP} SELECT document_id, clause_id, content FROM kd")
 def _(spark, sf):
     return G.document_clauses(B.kb_clauses(spark, sf)).select("document_id", "clause_id", "content")
 
@@ -117,14 +117,17 @@ def _(spark, sf):
     return G.patch_status(B.kb_documents(spark, sf), B.kb_clauses(spark, sf), r, TODAY)[1].select("clause_id", "status", "abolish_ts")
 
 
-@query("ingest_policies")
+@query("ingest_policies", f"SELECT document_id, 'clause_' || left(sha256(document_id || '|' || part_no || '|' || article_no), 16) AS clause_id, title, clause_no, 1536::BIGINT AS dims FROM ({SPLIT_POLICY})")
 def _(spark, sf):
-    c, _ = G.ingest_policies(B.texts(spark, sf).withColumn("effective_ts", F.lit(20240101)), 64)
+    c, _ = G.ingest_policies(B.texts(spark, sf).withColumn("effective_ts", F.lit(20240101)))
     return c.select("document_id", "clause_id", "title", "clause_no", F.size("vector").alias("dims"))
 
 
-@query("ingest_templates")
+_TPL = SPLIT_TEMPLATE.replace("'name_' || doc_id", "(SELECT x.file_name FROM docs x WHERE x.doc_id = f.doc_id)")
+
+
+@query("ingest_templates", f"SELECT document_id, 'clause_' || left(sha256(document_id || '|' || template_id || '|' || clause_no), 16) AS clause_id, title, clause_type, 1536::BIGINT AS dims FROM ({_TPL})")
 def _(spark, sf):
     t = B.texts(spark, sf).select("document_id", F.concat(F.lit("tpl_"), "doc_id").alias("template_id"), F.col("file_name").alias("template_name"), "text", F.lit("服务合同类").alias("category_lv1"), F.lit(None).cast("string").alias("category_lv2"),
                                   F.lit(1).alias("page_start"), F.lit(9).alias("page_end"), F.lit(20240101).alias("effective_ts"))
-    return G.ingest_templates(t, 64).select("document_id", "clause_id", "title", "clause_type", F.size("vector").alias("dims"))
+    return G.ingest_templates(t).select("document_id", "clause_id", "title", "clause_type", F.size("vector").alias("dims"))

@@ -29,9 +29,13 @@ def keyword_queries(spark, sf):
     return b.select(F.col("item_id").alias("query_id"), F.concat(F.array_join(F.transform(ranked, lambda s: s["w"]), " "), F.lit(" "), extra).alias("query"))
 
 
+# the order of equal scores: the place of a clause in the list of all
+PLACE = "coalesce(template_id, '') AS k1, page_start AS k2, clause_no AS k3"
+
+
 def lex(where, k):
-    return f"""lx AS (SELECT query_id, clause_id, sum(weight) AS score FROM qt JOIN (SELECT clause_id, title || chr(10) || content AS h FROM kb WHERE {where}) ON contains(h, term) GROUP BY ALL),
-    lt AS (SELECT query_id, clause_id, score::BIGINT AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clause_id) AS rank FROM lx QUALIFY rank <= {k})"""
+    return f"""lx AS (SELECT query_id, clause_id, k1, k2, k3, sum(weight) AS score FROM qt JOIN (SELECT clause_id, {PLACE}, title || chr(10) || content AS h FROM kb WHERE {where}) ON contains(h, term) GROUP BY ALL),
+    lt AS (SELECT query_id, clause_id, score::BIGINT AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k1, k2, k3, clause_id) AS rank FROM lx QUALIFY rank <= {k})"""
 
 
 @query("effective_on", f"SELECT clause_id, status FROM kb WHERE {LIVE}")
@@ -55,7 +59,7 @@ def _(spark, sf):
 
 
 def hash_vec(x, n=32):
-    return f"list_transform(range({n}), lambda i: ('0x' || substr(sha256(left({S.strip(x)}, 1800)), i * 2 + 1, 2))::INT / 255.0::DOUBLE * 2 - 1)"
+    return f"list_transform(range({n}), lambda i: ('0x' || substr(sha256({S.strip(x)}), i * 2 + 1, 2))::INT / 255.0::DOUBLE * 2 - 1)"
 
 
 COS = "CASE WHEN list_inner_product(a.v, a.v) = 0 OR list_inner_product(b.v, b.v) = 0 THEN 0.0::DOUBLE ELSE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) END"
@@ -69,17 +73,17 @@ def _(spark, sf):
     return V.vector_topk(e, q, 5)
 
 
-@query("hybrid_topk", f"""WITH {QSQL}, {lex(LIVE + " AND doc_type = 'policy'", 5)}, a AS (SELECT query_id, {hash_vec('query')} AS v FROM qs), b AS (SELECT clause_id, {hash_vec("(title || chr(10) || content)")} AS v FROM kb WHERE {LIVE}),
-    sv AS (SELECT query_id, clause_id, round({COS}, 9) AS score FROM a, b), vt AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, clause_id) <= 5),
+@query("hybrid_topk", f"""WITH {QSQL}, {lex(LIVE + " AND doc_type = 'policy'", 5)}, a AS (SELECT query_id, {hash_vec('query')} AS v FROM qs), b AS (SELECT clause_id, {PLACE}, {hash_vec("(title || chr(10) || content)")} AS v FROM kb WHERE {LIVE}),
+    sv AS (SELECT query_id, clause_id, k1, k2, k3, round({COS}, 9) AS score FROM a, b), vt AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k1, k2, k3, clause_id) <= 5),
     u AS (SELECT query_id, clause_id, sum(score) AS score FROM (SELECT query_id, clause_id, (6 - rank)::DOUBLE AS score FROM lt UNION ALL SELECT query_id, clause_id, score FROM vt) GROUP BY ALL)
-    SELECT query_id, clause_id, round(u.score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY u.score DESC, clause_id) AS rank FROM u QUALIFY rank <= 5""")
+    SELECT query_id, clause_id, round(u.score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY u.score DESC, k1, k2, k3, clause_id) AS rank FROM u JOIN (SELECT clause_id, {PLACE} FROM kb) USING (clause_id) QUALIFY rank <= 5""")
 def _(spark, sf):
     kb = B.kb_clauses(spark, sf).withColumn("vector", X.hash_embedding(X.joined("title", "content"), 32))
     q = keyword_queries(spark, sf).withColumn("vector", X.hash_embedding("query", 32))
     return V.hybrid_topk(kb, q, 5, DAY)
 
 
-SIG = f"""{PROFILE}, kw AS (SELECT task_id, list(title ORDER BY title) AS keywords FROM (SELECT task_id, title FROM clauses QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY sort_order) <= 10) GROUP BY task_id),
+SIG = f"""{PROFILE}, kw AS (SELECT task_id, list(title ORDER BY title) AS keywords FROM (SELECT task_id, title FROM clauses) GROUP BY task_id),
     fl AS (SELECT task_id, list_filter([{", ".join(f"CASE WHEN {S.has('profile', w)} THEN '{k}' END" for k, w in P.PROFILE_WORDS.items())}], lambda v: v IS NOT NULL) AS flags FROM prof),
     sg AS (SELECT task_id, category, coalesce(keywords, []) AS keywords, flags FROM cls LEFT JOIN kw USING (task_id) JOIN fl USING (task_id)),
     sd AS (SELECT sha256(category || chr(31) || array_to_string(keywords, chr(30)) || chr(31) || array_to_string(flags, chr(30))) AS signature, * FROM sg),
@@ -93,10 +97,7 @@ SIG = f"""{PROFILE}, kw AS (SELECT task_id, list(title ORDER BY title) AS keywor
 
 @B.memo
 def signatures(spark, sf):
-    from auditframe.functions import ordered as O
-    from auditframe.operators.clauses import order_chunk
-    c = O.numbered(B.clauses(spark, sf), ["task_id"], ["sort_order"], "_p", order_chunk()).where(F.col("_p") <= 10)
-    kw = c.groupBy("task_id").agg(F.array_sort(F.collect_list("title")).alias("keywords"))
+    kw = B.clauses(spark, sf).groupBy("task_id").agg(F.array_sort(F.collect_list("title")).alias("keywords"))
     s = classified(spark, sf).select("task_id", "category").join(kw, "task_id", "left").join(V.profile_flags(profile(spark, sf)), "task_id")
     return V.contract_signatures(s.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))))
 
@@ -171,7 +172,7 @@ def usage_sql(variant):
         case += " ELSE struct_pack(u := NULL::VARCHAR, b := []::VARCHAR[]) END"
     dom = "concat_ws(chr(10), min(template_name), min(category_lv1), min(category_lv2))" if reg else "min(template_name)"
     return f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY page_start, clause_no, title) AS p FROM kb WHERE template_id IS NOT NULL),
-    g AS (SELECT template_id, min(template_name) AS template_name, {dom} AS d, {dom} || chr(10) || string_agg(title, chr(10)) FILTER (p <= {nt}) || chr(10) || string_agg(left({S.strip('content')}, {cut}), chr(10)) FILTER (p <= {nc}) AS h, list(title ORDER BY p) FILTER (p <= 4) AS fl FROM r GROUP BY template_id),
+    g AS (SELECT template_id, min(template_name) AS template_name, {dom} AS d, {dom} || chr(10) || string_agg(title, chr(10)) || chr(10) || string_agg({S.strip('content')}, chr(10)) AS h, list(title ORDER BY p) FILTER (p <= 4) AS fl FROM r GROUP BY template_id),
     f AS (SELECT *, fl[1:3] AS fb FROM g) SELECT template_id, c.u AS usage_profile, array_to_string(c.b, '|') AS usage_basis FROM (SELECT template_id, {case} AS c FROM f)"""
 
 
@@ -190,7 +191,7 @@ POOL = f"""pool AS (SELECT * FROM kb WHERE doc_type = 'policy' AND {LIVE}), ph A
     pt AS (SELECT query, list_filter(regexp_split_to_array(translate(query, '，。/', '   '), '[{S.WS}]+'), lambda x: x <> '') AS ts, list_filter(list_distinct(string_split(query, '')), lambda c: NOT regexp_matches(c, '^[{S.WS}]*$')) AS cs FROM pq),
     pd AS (SELECT query, cs, clause_id, h, CASE WHEN contains(h, query) THEN 5 ELSE 0 END + len(list_filter(ts, lambda t: contains(h, t))) AS s FROM pt, ph),
     px AS (SELECT query, clause_id, CASE WHEN s > 0 THEN s::DOUBLE WHEN len(list_filter(cs, lambda c: contains(h, c))) >= 2 THEN len(list_filter(cs, lambda c: contains(h, c))) / length(query)::DOUBLE ELSE 0 END AS score FROM pd),
-    pk AS (SELECT query, clause_id, round(px.score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY px.score DESC, clause_id) AS rank FROM px WHERE px.score > 0 QUALIFY rank <= 3)"""
+    pk AS (SELECT query, clause_id, round(px.score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY px.score DESC, k1, k2, k3, clause_id) AS rank FROM px JOIN (SELECT clause_id, {PLACE} FROM kb) USING (clause_id) WHERE px.score > 0 QUALIFY rank <= 3)"""
 
 
 @B.memo
@@ -213,7 +214,7 @@ def _(spark, sf):
 @query("policy_basis", f"""WITH pq AS (SELECT DISTINCT title AS query FROM kb WHERE doc_type = 'template'), {POOL}, rq AS (SELECT clause_id AS request_id, title AS query, CASE WHEN doc_id % 2 = 0 THEN ['kc_' || (doc_id + 1) || '_1', 'kc_' || doc_id || '_2', 'kc_' || (doc_id + 3) || '_1'] ELSE []::VARCHAR[] END AS ids FROM kb WHERE doc_type = 'template'),
     gv AS (SELECT request_id, cid AS clause_id, pos FROM (SELECT request_id, unnest(ids) AS cid, unnest(range(1, len(ids) + 1)) AS pos FROM rq) SEMI JOIN pool ON cid = pool.clause_id),
     al AS (SELECT * FROM gv UNION ALL SELECT request_id, clause_id, rank FROM rq JOIN pk USING (query) WHERE request_id NOT IN (SELECT request_id FROM gv))
-    SELECT clause_id, request_id, pos, title, left(content, 240) AS content, page_start, page_end, document_id FROM al JOIN pool USING (clause_id)""")
+    SELECT clause_id, request_id, pos, title, content, page_start, page_end, document_id FROM al JOIN pool USING (clause_id)""")
 def _(spark, sf):
     k = B.kb_clauses(spark, sf).where(F.col("doc_type") == "template")
     i = F.col("doc_id")

@@ -28,7 +28,7 @@ def _(spark, sf):
 
 @query("rule_drafts", f"""WITH c AS (SELECT * FROM {S.values([(r[0], r[1], r[4]) for r in P.RULES])} t(rule_id, name, words)),
     h AS (SELECT document_id, rule_id, name, clause_id, row_number() OVER (PARTITION BY document_id, rule_id ORDER BY page_start, block_no) AS r FROM kb JOIN c ON len(list_filter(words, lambda w: contains(title || chr(10) || content, w))) > 0 WHERE doc_type = 'policy')
-    SELECT document_id, rule_id, name, string_agg(clause_id, '|' ORDER BY r) AS basis_policy FROM h WHERE r <= 5 GROUP BY ALL""")
+    SELECT document_id, rule_id, name, string_agg(clause_id, '|' ORDER BY r) AS basis_policy FROM h GROUP BY ALL""")
 def _(spark, sf):
     return R.rule_drafts(B.kb_clauses(spark, sf)).select("document_id", "rule_id", "name", "basis_policy")
 
@@ -119,7 +119,7 @@ def raw_matches(spark, sf):
 RAW = f"""{EVAL}, {CFG}, lead AS (SELECT task_id, arg_min(clause_id, sort_order) AS c FROM clauses WHERE core_label = '合同金额' GROUP BY task_id),
     raw AS (SELECT task_id, match_no, CASE match_no WHEN 1 THEN 'rule_001' WHEN 3 THEN NULL ELSE config_id END AS config_id, CASE WHEN match_no = 2 THEN 'unknown_rule' ELSE rule_id END AS rule_id, CASE WHEN match_no = 3 THEN NULL ELSE rule_name END AS rule_name, CASE WHEN match_no = 3 THEN NULL ELSE severity END AS severity, CASE WHEN match_no = 3 THEN NULL ELSE reason END AS reason, depends_on, CASE WHEN match_no = 0 THEN c END AS ev FROM ev LEFT JOIN lead USING (task_id)),
     dm AS (SELECT task_id, match_no::BIGINT AS match_no, coalesce(r.config_id, coalesce(i.id, b.id)) AS config_id, coalesce(i.id, b.id) AS bound_config_id, coalesce(r.rule_id, i.rule_id, b.rule_id) AS rule_id, coalesce(r.rule_name, i.name, b.name, '未命名规则') AS rule_name, coalesce(r.severity, i.severity, b.severity, 'medium') AS severity, 'hit' AS decision, coalesce(r.reason, i.description, b.description, '') AS reason, depends_on, ev
-      FROM raw r LEFT JOIN cfg i ON r.config_id = i.id LEFT JOIN cfg b ON r.rule_id = b.rule_id)"""
+      FROM raw r LEFT JOIN (SELECT * FROM cfg WHERE config_type = 'rule_check') i ON r.config_id = i.id LEFT JOIN (SELECT * FROM cfg WHERE config_type = 'rule_check') b ON r.rule_id = b.rule_id)"""
 
 
 @B.memo

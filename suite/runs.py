@@ -38,7 +38,7 @@ def overlap_sql(a, b, col, name):
     {name}j AS (SELECT coalesce(x.task_id, y.task_id) AS task_id, coalesce(x.k, y.k) AS k, x.n AS na, y.n AS nb, x.v AS va, y.v AS vb FROM {name}a x FULL JOIN {name}b y ON x.task_id = y.task_id AND x.k = y.k),
     {name} AS (SELECT task_id, coalesce(sum(na), 0)::BIGINT AS baseline_count, coalesce(sum(nb), 0)::BIGINT AS candidate_count, count_if(k <> '' AND na IS NOT NULL AND nb IS NOT NULL)::BIGINT AS overlap_count,
       round(count_if(k <> '' AND na IS NOT NULL AND nb IS NOT NULL) / greatest(count_if(k <> '' AND na IS NOT NULL), 1)::DOUBLE, 4) AS ratio_vs_baseline, round(count_if(k <> '' AND na IS NOT NULL AND nb IS NOT NULL) / greatest(count_if(k <> '' AND nb IS NOT NULL), 1)::DOUBLE, 4) AS ratio_vs_candidate,
-      coalesce(array_to_string((list(va ORDER BY k) FILTER (k <> '' AND nb IS NULL))[1:10], '|'), '') AS baseline_only, coalesce(array_to_string((list(vb ORDER BY k) FILTER (k <> '' AND na IS NULL))[1:10], '|'), '') AS candidate_only FROM {name}j GROUP BY task_id)"""
+      coalesce(array_to_string((list(va ORDER BY k) FILTER (k <> '' AND nb IS NULL)), '|'), '') AS baseline_only, coalesce(array_to_string((list(vb ORDER BY k) FILTER (k <> '' AND na IS NULL)), '|'), '') AS candidate_only FROM {name}j GROUP BY task_id)"""
 
 
 @query("list_overlap", f"WITH {AB}, {overlap_sql('ca', 'cb', 'title', 'ov')} SELECT * FROM ov")
@@ -123,7 +123,7 @@ def _(spark, sf):
 @query("section_agreement", f"""WITH {AB}, m AS (SELECT 'a' AS r, task_id, title, section_code || ' ' || title AS t, section_code LIKE '第%' AS mj, sort_order FROM sa UNION ALL SELECT 'b', task_id, title, section_code || ' ' || title, section_code LIKE '第%', sort_order FROM sb),
     o AS (SELECT r, task_id, t, sort_order, row_number() OVER (PARTITION BY r, task_id ORDER BY sort_order) AS k FROM m WHERE mj AND NOT EXISTS (SELECT 1 FROM m x WHERE x.r <> m.r AND x.task_id = m.task_id AND x.mj AND x.t = m.t))
     SELECT task_id, count_if(r = 'a' AND mj)::BIGINT AS baseline_major, count_if(r = 'a' AND NOT mj)::BIGINT AS baseline_child, count_if(r = 'b' AND mj)::BIGINT AS candidate_major, count_if(r = 'b' AND NOT mj)::BIGINT AS candidate_child,
-    coalesce((SELECT string_agg(t, '|' ORDER BY k) FROM o WHERE r = 'a' AND k <= 20 AND o.task_id = m.task_id), '') AS missing_in_candidate, coalesce((SELECT string_agg(t, '|' ORDER BY k) FROM o WHERE r = 'b' AND k <= 20 AND o.task_id = m.task_id), '') AS extra_in_candidate FROM m GROUP BY task_id""")
+    coalesce((SELECT string_agg(t, '|' ORDER BY k) FROM o WHERE r = 'a' AND o.task_id = m.task_id), '') AS missing_in_candidate, coalesce((SELECT string_agg(t, '|' ORDER BY k) FROM o WHERE r = 'b' AND o.task_id = m.task_id), '') AS extra_in_candidate FROM m GROUP BY task_id""")
 def _(spark, sf):
     r = runs(spark, sf)
     return N.section_agreement(r[4], r[5])

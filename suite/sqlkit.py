@@ -52,6 +52,8 @@ def one_line(x) -> str:
 
 def compact_summary(x, n) -> str:
     y = one_line(x)
+    if n is None:
+        return y
     return f"(CASE WHEN length({y}) <= {n} THEN {y} ELSE {sub(f'left({y}, {max(8, n - 1)})', '[，；。,:： ]+$')} || '…' END)"
 
 
@@ -112,7 +114,7 @@ def contract_number(x) -> str:
 
 def cross_refs(x) -> str:
     y = f"regexp_extract_all({clean_lines(x)}, {q(P.CROSS_REF_PATTERN)}, 1)"
-    return f"({distinct_list(y)})[1:8]"
+    return f"({distinct_list(y)})"
 
 
 LIVE = "status IN ('effective', 'partially_effective')"

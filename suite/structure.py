@@ -147,14 +147,14 @@ def _(spark, sf):
     return D.chunk_rows(c, ["task_id"], ["sort_order"], 6, D.page_chunk()).select("task_id", "clause_id", "batch_no")
 
 
-def payload_sql(nb, nt):
+def payload_sql():
     return f"""WITH b AS (SELECT task_id, page, block_no, block_id, {S.clean_lines('text')} AS t FROM blocks), h AS (SELECT *, {S.is_heading('t')} AS hd FROM b WHERE t <> ''),
     r AS (SELECT *, row_number() OVER (PARTITION BY task_id, page ORDER BY block_no) AS p, row_number() OVER (PARTITION BY task_id, page, hd ORDER BY block_no) AS hp FROM h)
-    SELECT task_id, page, count(*) FILTER (p <= {nb})::BIGINT AS n_blocks, left(string_agg(left(t, 160), ' ' ORDER BY block_no) FILTER (p <= {nb}), {nt}) AS page_text,
-    coalesce(string_agg(block_id || ':' || left(t, 120), '|' ORDER BY block_no) FILTER (hd AND hp <= 12), '') AS headings FROM r GROUP BY task_id, page"""
+    SELECT task_id, page, count(*)::BIGINT AS n_blocks, string_agg(t, ' ' ORDER BY block_no) AS page_text,
+    coalesce(string_agg(block_id || ':' || t, '|' ORDER BY block_no) FILTER (hd), '') AS headings FROM r GROUP BY task_id, page"""
 
 
-@query("page_payload", payload_sql(24, 2400))
+@query("page_payload", payload_sql())
 def _(spark, sf):
     return D.page_payload(B.blocks(spark, sf))
 
@@ -166,7 +166,7 @@ CAND = f"""cand AS (SELECT task_id, page, block_no, block_id, mark_no, regexp_ex
         FROM (SELECT task_id, page, block_no, block_id, {S.clean_lines('text')} AS text FROM blocks))))),
     kept AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY page, block_no, mark_no) AS sort_order, {S.compact_summary(S.sub("regexp_split_to_array(tail, '[。；;\n]|第[一二三四五六七八九十百零〇\\d]+条')[1]", '^[ ：:，,、]+|[ ：:，,、]+$'), 24)} AS topic FROM cand WHERE NOT {S.has('lft', P.CITATION_MARKERS)}),
     sc AS (SELECT task_id, CASE WHEN topic <> '' THEN code || ' ' || topic ELSE code END AS title, 1::BIGINT AS level, page, sort_order, code AS section_code, CASE WHEN topic <> '' THEN topic ELSE code END AS summary,
-      0.82::DOUBLE AS confidence, {S.compact_summary('ev', 120)} AS evidence_text, block_id AS block_ids, sort_order AS ord FROM kept WHERE sort_order <= 180)"""
+      0.82::DOUBLE AS confidence, {S.compact_summary('ev', 120)} AS evidence_text, block_id AS block_ids, sort_order AS ord FROM kept)"""
 
 DEDUPE = f"""dd AS (SELECT *, row_number() OVER (PARTITION BY task_id, section_code ORDER BY confidence DESC, length(summary) DESC, ord) AS rk, min(ord) OVER (PARTITION BY task_id, section_code) AS seen FROM
       (SELECT * REPLACE ({S.compact_summary('summary', 80)} AS summary) FROM sc)),
@@ -269,12 +269,15 @@ def _(spark, sf):
     return D.locate_block(f, B.blocks(spark, sf), "fact_id", "v")
 
 
-@query("split_policy", f"""WITH t AS (SELECT document_id, {S.clean_text('text')} AS t FROM texts),
+SPLIT_POLICY = f"""WITH t AS (SELECT document_id, {S.clean_text('text')} AS t FROM texts),
     c AS (SELECT document_id, unnest(ps) AS p, unnest(range(len(ps))) AS part_no FROM (SELECT document_id, string_split(regexp_replace(t, '({P.CHAPTER_PATTERN})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM t)),
     cb AS (SELECT document_id, part_no, CASE WHEN contains(p, chr(2)) THEN {S.strip("split_part(p, chr(2), 1)")} ELSE '总则' END AS chapter, {S.strip("CASE WHEN contains(p, chr(2)) THEN split_part(p, chr(2), 2) ELSE p END")} AS body FROM c),
     a AS (SELECT document_id, part_no, chapter, unnest(ps) AS p, unnest(range(len(ps))) AS article_no FROM (SELECT *, string_split(regexp_replace(body, '({P.ARTICLE_PATTERN})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM cb WHERE body <> '')),
     ab AS (SELECT document_id, part_no, article_no, chapter, CASE WHEN contains(p, chr(2)) THEN {S.strip("split_part(p, chr(2), 1)")} END AS article, {S.clean_text("CASE WHEN contains(p, chr(2)) THEN split_part(p, chr(2), 2) ELSE p END")} AS content FROM a)
-    SELECT document_id, part_no::BIGINT AS part_no, article_no::BIGINT AS article_no, chapter AS category_lv1, coalesce(article, chapter) AS title, CASE WHEN article IS NOT NULL THEN split_part(article, '条', 1) ELSE chapter END AS clause_no, content, 'policy' AS doc_type, 'policy_article' AS clause_type FROM ab WHERE content <> ''""")
+    SELECT document_id, part_no::BIGINT AS part_no, article_no::BIGINT AS article_no, chapter AS category_lv1, coalesce(article, chapter) AS title, CASE WHEN article IS NOT NULL THEN split_part(article, '条', 1) ELSE chapter END AS clause_no, content, 'policy' AS doc_type, 'policy_article' AS clause_type FROM ab WHERE content <> ''"""
+
+
+@query("split_policy", SPLIT_POLICY)
 def _(spark, sf):
     return D.split_policy(B.texts(spark, sf))
 
@@ -286,13 +289,16 @@ def _tpl_parts(pattern, passes=1):
     return f"list_filter(list_transform(string_split({x}, chr(1)), lambda v: {S.strip('v')}), lambda v: v <> '')"
 
 
-@query("split_template", f"""WITH t AS (SELECT document_id, doc_id, {S.clean_text('text')} AS t FROM texts),
+SPLIT_TEMPLATE = f"""WITH t AS (SELECT document_id, doc_id, {S.clean_text('text')} AS t FROM texts),
     p AS (SELECT *, {_tpl_parts(P.TEMPLATE_HEADINGS[0])} AS p0, {_tpl_parts(P.TEMPLATE_HEADINGS[1])} AS p1, {_tpl_parts(P.TEMPLATE_HEADINGS[2], 2)} AS p2 FROM t),
     e AS (SELECT document_id, doc_id, unnest(ps) AS part, unnest(range(1, len(ps) + 1)) AS pos FROM (SELECT *, CASE WHEN len(p0) > 1 THEN p0 WHEN len(p1) > 1 THEN p1 WHEN len(p2) > 1 THEN p2 ELSE [t] END AS ps FROM p)),
     l AS (SELECT *, list_filter(list_transform(string_split(part, chr(10)), lambda x: {S.strip('x')}), lambda x: x <> '') AS ls FROM e),
     f AS (SELECT *, left(ls[1], 120) AS title, {S.clean_text("CASE WHEN len(ls) > 1 THEN array_to_string(ls[2:], chr(10)) ELSE ls[1] END")} AS content FROM l)
     SELECT document_id, 'tpl_' || doc_id AS template_id, 'name_' || doc_id AS template_name, pos::VARCHAR AS clause_no, coalesce(title, 'name_' || doc_id || '-' || pos) AS title, {S.clause_type("(title || chr(10) || content)")} AS clause_type, coalesce(content, '') AS content,
-    array_to_string(list_filter([{", ".join(f"CASE WHEN {S.has('(title || chr(10) || content)', w)} THEN {S.q(n)} END" for n, w in P.RISK_TAG_KEYWORDS.items())}], lambda t: t IS NOT NULL), '|') AS risk_tags, 'template' AS doc_type FROM f""")
+    array_to_string(list_filter([{", ".join(f"CASE WHEN {S.has('(title || chr(10) || content)', w)} THEN {S.q(n)} END" for n, w in P.RISK_TAG_KEYWORDS.items())}], lambda t: t IS NOT NULL), '|') AS risk_tags, 'template' AS doc_type FROM f"""
+
+
+@query("split_template", SPLIT_TEMPLATE)
 def _(spark, sf):
     t = B.texts(spark, sf)
     return D.split_template(t.select("document_id", F.concat(F.lit("tpl_"), "doc_id").alias("template_id"), F.concat(F.lit("name_"), "doc_id").alias("template_name"), "text"))
@@ -314,7 +320,7 @@ def contents(spark, sf):
 
 CONT = """cl AS (SELECT 'cat_' || left(right(p_brand, 2), 1) AS document_id, (1 + p_size % 10)::BIGINT AS page, p_partkey * 3 + k AS line_no, CASE k WHEN 0 THEN '一、 ' || p_brand || '类' WHEN 1 THEN '1.' || (p_partkey % 9) || ' ' || p_type
       ELSE '1.1.' || p_partkey || ' ' || p_name || '......' || (p_partkey % 40 + 1) END AS text, k, p_brand, p_type, p_partkey, p_name FROM part, range(3) r(k) WHERE (k > 0 OR p_partkey % 10 = 0) AND (k <> 1 OR p_partkey % 3 = 0)),
-    c2 AS (SELECT *, last_value(CASE WHEN k = 0 THEN p_brand || '类' END IGNORE NULLS) OVER w AS lv1, count(CASE WHEN k = 0 THEN 1 END) OVER w AS grp FROM cl WHERE page <= 8 WINDOW w AS (PARTITION BY document_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING)),
+    c2 AS (SELECT *, last_value(CASE WHEN k = 0 THEN p_brand || '类' END IGNORE NULLS) OVER w AS lv1, count(CASE WHEN k = 0 THEN 1 END) OVER w AS grp FROM cl WINDOW w AS (PARTITION BY document_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING)),
     ct AS (SELECT *, last_value(CASE WHEN k = 1 THEN p_type END IGNORE NULLS) OVER (PARTITION BY document_id, grp ORDER BY page, line_no ROWS UNBOUNDED PRECEDING) AS lv2 FROM c2)"""
 
 
@@ -339,7 +345,7 @@ def doc_pages(spark, sf):
 
 
 HC = f"""{PTEXT}, hc AS (SELECT task_id AS document_id, row_number() OVER (PARTITION BY task_id ORDER BY block_no DESC) AS idx, {S.clean_text('text')} AS name, text AS template_name, (page // 2)::BIGINT AS catalog_page FROM blocks WHERE regexp_matches(text, '^第.章')),
-    off AS (SELECT task_id AS document_id, coalesce(o, 0)::BIGINT AS off FROM (SELECT DISTINCT task_id FROM pt) LEFT JOIN (SELECT document_id, arg_min(page - catalog_page, idx * 100000 + page) AS o FROM hc JOIN pt ON task_id = document_id WHERE idx <= 5 AND page > 8 AND contains(ptext, name) GROUP BY document_id) ON document_id = task_id),
+    off AS (SELECT task_id AS document_id, coalesce(o, 0)::BIGINT AS off FROM (SELECT DISTINCT task_id FROM pt) LEFT JOIN (SELECT document_id, arg_min(page - catalog_page, idx * 100000 + page) AS o FROM hc JOIN pt ON task_id = document_id WHERE page > 8 AND contains(ptext, name) GROUP BY document_id) ON document_id = task_id),
     rg AS (SELECT hc.*, greatest(1, catalog_page + off)::BIGINT AS start_page, greatest(catalog_page + off, coalesce(lead(catalog_page + off) OVER (PARTITION BY document_id ORDER BY idx) - 1, n))::BIGINT AS end_page
       FROM hc JOIN off USING (document_id) JOIN (SELECT task_id AS document_id, count(*) AS n FROM pt GROUP BY task_id) USING (document_id))"""
 

@@ -47,7 +47,7 @@ over_blocks("valid_section_title", lambda: X.valid_section_title("text"), f"""(l
 over_blocks("contract_number", lambda: X.contract_number("text"), S.contract_number("text"))
 over_blocks("cross_references", lambda: X.cross_references("text"), SEP.format(S.cross_refs("text")))
 over_blocks("reference_list", lambda: X.reference_list("text"), SEP.format(
-    "(" + S.distinct_list(f"list_filter(list_transform(regexp_split_to_array(text, '[，,；;\n]+'), lambda p: {S.clean_lines('p')}), lambda p: p <> '')") + ")[1:8]"))
+    "(" + S.distinct_list(f"list_filter(list_transform(regexp_split_to_array(text, '[，,；;\n]+'), lambda p: {S.clean_lines('p')}), lambda p: p <> '')") + ")"))
 over_blocks("block_id_list", lambda: X.block_id_list("text"), SEP.format(
     S.distinct_list(f"list_filter(regexp_split_to_array(text, '[,;{S.WS}]+'), lambda p: p <> '')")))
 over_blocks("core_label", lambda: X.core_label(F.regexp_replace("core_label", "合同金额", "合同价款")),
@@ -58,7 +58,7 @@ over_blocks("null_if_missing", lambda: X.null_if_missing(F.when(F.col("block_no"
 over_blocks("clause_type", lambda: X.clause_type("core_label", "text"), S.clause_type("(core_label || chr(10) || text)"))
 over_blocks("risk_tags", lambda: X.risk_tags("core_label", "text"), SEP.format(
     "list_filter([" + ", ".join(f"CASE WHEN {S.has('(core_label || chr(10) || text)', w)} THEN {S.q(n)} END" for n, w in P.RISK_TAG_KEYWORDS.items()) + "], lambda t: t IS NOT NULL)"))
-_TOK = f"list_filter(regexp_split_to_array({{}}, '[{S.WS}:：，。；;（）()【】\\[\\]/\\\\\\-]+'), lambda t: length(t) >= 2)[1:24]"
+_TOK = f"list_filter(regexp_split_to_array({{}}, '[{S.WS}:：，。；;（）()【】\\[\\]/\\\\\\-]+'), lambda t: length(t) >= 2)"
 over_blocks("search_tokens", lambda: X.search_tokens("text", "core_label"),
             SEP.format(S.distinct_list(f"list_concat({_TOK.format('text')}, {_TOK.format('core_label')})")))
 over_blocks("location_hint", lambda: X.location_hint("text"), f"""CASE WHEN contains(text, ':') THEN {S.strip("substr(text, strpos(text, ':') + 1)")}
@@ -73,9 +73,9 @@ def _(spark, sf):
     return b.select("block_id", X.label_source(F.when(F.col("block_no") % 4 == 0, " Core "), own, F.col("core_label")).alias("out"))
 
 
-@query("fact_value", f"""SELECT block_id, CASE WHEN core_label = '账户信息' THEN coalesce({S.contract_number(S.compact_summary('text', 120))}, '未提取')
-    WHEN core_label IN ('付款条件', '验收标准', '争议解决') THEN {S.compact_summary(S.compact_summary('text', 120), 80)}
-    ELSE {S.compact_summary('text', 120)} END AS out FROM blocks""")
+@query("fact_value", f"""SELECT block_id, CASE WHEN core_label = '账户信息' THEN coalesce({S.contract_number(S.compact_summary('text', None))}, '未提取')
+    WHEN core_label IN ('付款条件', '验收标准', '争议解决') THEN {S.compact_summary('text', None)}
+    ELSE {S.compact_summary('text', None)} END AS out FROM blocks""")
 def _(spark, sf):
     label = F.when(F.col("core_label") == "账户信息", "合同编号").otherwise(F.col("core_label"))
     return B.blocks(spark, sf).select("block_id", X.fact_value(label, F.col("text")).alias("out"))
@@ -167,12 +167,12 @@ def _(spark, sf):
     return normalize_block_ids(b.withColumn("raw_id", old), "raw_id").select("block_id", F.col("raw_id").alias("out"))
 
 
-@query("hash_embedding", """WITH RECURSIVE src AS (SELECT doc_id, left(trim(raw, ' ' || chr(10)), 1800) AS t FROM docs),
-    chain AS (SELECT doc_id, 1 AS step, sha256(t) AS h FROM src WHERE t <> '' UNION ALL SELECT doc_id, step + 1, sha256(unhex(h)) FROM chain WHERE step < 2),
+@query("hash_embedding", """WITH RECURSIVE src AS (SELECT doc_id, trim(raw, ' ' || chr(10)) AS t FROM docs),
+    chain AS (SELECT doc_id, 1 AS step, sha256(t) AS h FROM src WHERE t <> '' UNION ALL SELECT doc_id, step + 1, sha256(unhex(h)) FROM chain WHERE step < 48),
     digits AS (SELECT doc_id, step, i, ('0x' || substr(h, i * 2 + 1, 2))::INT AS b FROM chain, range(32) r(i))
     SELECT doc_id, count(*)::BIGINT AS dims, round(sum(b / 255.0::DOUBLE * 2 - 1), 4) AS total, round(sum((b / 255.0::DOUBLE * 2 - 1) * ((step - 1) * 32 + i)), 4) AS weighted FROM digits GROUP BY doc_id""")
 def _(spark, sf):
-    d = B.documents(spark, sf).where(F.length(X.strip("text")) > 0).select("doc_id", X.hash_embedding("text", 64).alias("v"))
+    d = B.documents(spark, sf).where(F.length(X.strip("text")) > 0).select("doc_id", X.hash_embedding("text").alias("v"))
     add = lambda s, x: s + x
     return d.select("doc_id", F.size("v").alias("dims"), F.round(F.aggregate("v", F.lit(0.0), add), 4).alias("total"),
                     F.round(F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0.0), add), 4).alias("weighted"))
