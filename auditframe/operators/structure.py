@@ -245,6 +245,19 @@ def _best_sections(items: DataFrame) -> DataFrame:
     return best.withColumn("sort_order", F.col("_no")).withColumn("ord", F.col("_no")).drop("_no", "_seen")
 
 
+def coerced_sections(items: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Sections given by a model with their values put right: a page of the task, a level
+    from 1 to 6, an order from 1 on, a confidence, a list of block ids.
+
+    items: the columns of section_candidates, page, level and sort_order of any type; ord is unique in a task.
+    """
+    c = items.withColumn("_probe", F.coalesce(F.nullif(X.clean_lines("evidence_text"), F.lit("")), F.col("title")))
+    c = coerce_page(c, blocks, "ord", "page", "_probe").drop("_probe")
+    if dict(c.dtypes)["block_ids"] == "string":
+        c = c.withColumn("block_ids", X.block_id_list("block_ids"))
+    return c.withColumns({"confidence": X.clamp_confidence("confidence"), "level": X.coerce_level("level"), "sort_order": X.coerce_order("sort_order", "ord").cast("long"), "block_ids": F.coalesce("block_ids", F.array().cast("array<string>"))})
+
+
 def section_candidate_dedupe(candidates: DataFrame) -> DataFrame:
     c = candidates.withColumn("title", X.clean_lines("title")).where(F.length("title") > 0)
     summary = F.coalesce(F.nullif(X.clean_lines("summary"), F.lit("")), F.nullif(X.clean_lines("evidence_text"), F.lit("")), F.col("title"))
@@ -291,12 +304,13 @@ def reconstruct_sections(blocks: DataFrame, window_candidates: DataFrame | None
     """Window and structural candidates, deduped; merged list if it passes the gate; local headings otherwise."""
     c = section_candidates(blocks)
     if window_candidates is not None:
-        head = window_candidates.withColumn("_tier", F.lit(0))
+        head = coerced_sections(window_candidates, blocks).withColumn("_tier", F.lit(0))
         c = head.unionByName(c.withColumn("_tier", F.lit(1)))
         c = c.withColumn("ord", F.col("_tier") * F.lit(1 << 40) + F.col("ord")).drop("_tier")
     c = section_candidate_dedupe(c)
     use = c
     if merged is not None:
+        merged = coerced_sections(merged, blocks)
         good = section_merge_gate(merged, c).where("accepted").select("task_id")
         use = merged.join(good, "task_id", "left_semi").unionByName(c.join(good, "task_id", "left_anti"))
     built = build_sections(use)

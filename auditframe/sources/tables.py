@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import ordered as O
 from ..functions import text as X
 from ..operators.structure import PAGE, page_chunk, page_texts
+from ..session import stage
 
 # --- raw files and ledgers --------------------------------------------------
 
@@ -43,11 +44,6 @@ def skip_processed(inputs: DataFrame, ledger: DataFrame, order: str) -> DataFram
     return j.withColumn("action", action).withColumn("lead_id", F.col("_lead")).drop("_known", "_lead")
 
 
-def append_ledger(ledger: DataFrame, plan: DataFrame) -> DataFrame:
-    fresh = plan.where(F.col("action") == "extract").select("file_hash")
-    return ledger.select("file_hash").unionByName(fresh).distinct()
-
-
 def fingerprint(*cols) -> Column:
     """sha256 of the canonical JSON of a request (keys sorted by name)."""
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(cols)])), 256)
@@ -238,9 +234,15 @@ def persist_tasks(tasks: DataFrame, path: str) -> None:
     tasks.write.mode("overwrite").json(path)
 
 
-def load_tasks(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All persisted tasks; malformed rows are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def load_tasks(spark: SparkSession, path: str, schema: str, indented: bool = False) -> DataFrame:
+    """All persisted tasks, one a line or (indented) one or an array of them a file; malformed ones are skipped, see malformed_tasks."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", indented).json(path)
+
+
+def malformed_tasks(spark: SparkSession, path: str, schema: str, indented: bool = False) -> DataFrame:
+    """The texts that load_tasks skips, for counting or a closer look."""
+    read = spark.read.schema(f"{schema}, _malformed string").option("columnNameOfCorruptRecord", "_malformed").option("multiLine", indented)
+    return stage(read.json(path)).where("_malformed is not null").select(F.col("_malformed").alias("text"))
 
 
 def source_tasks(tasks: DataFrame) -> DataFrame:

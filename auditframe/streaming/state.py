@@ -55,23 +55,28 @@ def task_state_stream(events: DataFrame, sink: Callable[[DataFrame, int], None],
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def stream_ingest(source: DataFrame, audit: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, hash_col: str = "file_hash", available_now: bool = True):
+LEDGER_BUCKETS = 64
+
+
+def stream_ingest(source: DataFrame, audit: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, hash_col: str = "file_hash", available_now: bool = True, ledger: str | None = None):
     """New inputs are audited once each and appended.
 
-    A batch that is retried writes the same batch folder again, and inputs whose
-    hash is already in another batch are left out: together that gives each
-    input exactly one result.
+    Hashes of audited inputs go to a ledger of their own, bucketed by hash, so an
+    input whose audit gives no row is done as well and a batch looks only into
+    the buckets of its hashes.  A batch that is retried writes its folder again
+    and ignores its own ledger rows: each input gets exactly one result.
     """
+    ledger = ledger or f"{out.rstrip('/')}-ledger"
+    rows = "hash string, epoch long, bucket int"
+    source.sparkSession.createDataFrame([], rows).write.mode("ignore").partitionBy("bucket").parquet(ledger)
+
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([hash_col])
-        try:
-            done = spark.read.parquet(out).where(F.col("epoch") != epoch).select(hash_col)
-            fresh = fresh.join(done, hash_col, "left_anti")
-        except Exception as e:  # first batch: nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        audit(fresh).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        fresh = batch.dropDuplicates([hash_col]).withColumn("_bucket", F.pmod(F.xxhash64(hash_col), F.lit(LEDGER_BUCKETS)).cast("int"))
+        done = spark.read.schema(rows).parquet(ledger).where(F.col("epoch") != epoch)
+        fresh = fresh.join(done, (F.col("_bucket") == F.col("bucket")) & (F.col(hash_col) == F.col("hash")), "left_anti")
+        audit(fresh.drop("_bucket")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        fresh.select(F.col(hash_col).alias("hash"), F.lit(epoch).cast("long").alias("epoch"), F.col("_bucket").alias("bucket")).write.mode("append").partitionBy("bucket").parquet(ledger)
 
     w = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()

@@ -209,3 +209,60 @@ def test_focus_dedupe_orders_by_risk_text(spark):
     df = spark.createDataFrame(rows, "task_id string, ord long, title string, focus_source string, risk_level string, clause_ids array<string>, confidence double")
     got = I.focus_dedupe(df).orderBy("ord").collect()
     assert [(r.title, r.confidence) for r in got] == [("z", 0.1), ("a", 0.9), ("b", 0.5)]
+
+
+def test_evidence_of_a_split_finding_is_the_last_in_page_order(spark):
+    ev = [("t", "ev_c", "clause", "c", p, s, s == 0, f"text {p}") for p, s in ((1, 0), (2, 1))]
+    evidence = spark.createDataFrame(ev, "task_id string, evidence_id string, source_type string, source_id string, page int, segment_index int, is_primary boolean, text string")
+    issues = spark.createDataFrame([("t", "i", "付款条件 缺失", "", "", None, False)], "task_id string, issue_id string, problem string, clause_location string, source_rule_name string, matched_title string, no_direct_evidence boolean")
+    clauses = spark.createDataFrame([("t", "c", 1, "付款条件", "付款条件", "付款条件", "付款条件", "付款条件")], "task_id string, clause_id string, sort_order int, title string, summary string, raw_text string, label string, core_label string")
+    facts = spark.createDataFrame([], "task_id string, fact_id string, ord int, label string, value string, notes string")
+    assert K.issue_target(issues, clauses, facts, evidence).first().page == 2
+
+
+def test_an_id_listed_twice_counts_at_its_last_place(spark):
+    blocks = spark.createDataFrame([("t", f"b{i}", 1, f"x{i}", 0, 30 * i, 100, 24) for i in range(3)], "task_id string, block_id string, page int, text string, x int, y int, width int, height int")
+    targets = spark.createDataFrame([("t", "f", ["b0", "b1", "b2", "b0"], 1)], "task_id string, target_id string, block_ids array<string>, page_hint int")
+    assert sum(r.n_blocks for r in K.evidence_segments(targets, blocks).collect()) == 3
+
+
+def test_given_sections_are_put_right(spark):
+    blocks = spark.createDataFrame([("t", p, 1, f"b{p}", f"第{p}条 内容{p}") for p in (1, 2, 3)], "task_id string, page int, block_no int, block_id string, text string")
+    given = spark.createDataFrame([("t", "第二条 内容2", "9", "77", "x", "第二条", "", "0.9", "内容2", "b2;b3", 1), ("t", "第一条", None, "1", "4", "第一条", "", "", "", "b1", 2)],
+                                  "task_id string, title string, level string, page string, sort_order string, section_code string, summary string, confidence string, evidence_text string, block_ids string, ord long")
+    got = {r.ord: r for r in D.coerced_sections(given, blocks).collect()}
+    assert (got[1].page, got[1].level, got[1].sort_order, got[1].block_ids) == (2, 6, 1, ["b2", "b3"])
+    assert (got[2].page, got[2].level, got[2].sort_order) == (1, 1, 4)
+    assert D.reconstruct_sections(blocks, given).count() > 0
+
+
+def test_rule_ids_lead_the_basis(spark):
+    pool = spark.createDataFrame([(f"k{i}", "标题", "内容", i, i, "d") for i in range(4)], "clause_id string, title string, content string, page_start int, page_end int, document_id string")
+    req = spark.createDataFrame([("r", "标题", ["k3", "gone", "k1"]), ("s", "标题", [])], "request_id string, query string, clause_ids array<string>")
+    got = {}
+    for r in V.policy_basis(req, pool).orderBy("pos").collect():
+        got.setdefault(r.request_id, []).append(r.clause_id)
+    assert got["r"] == ["k3", "k1"] and got["s"] == ["k0", "k1", "k2"]
+
+
+def test_matches_bind_to_enabled_rule_checks_only(spark):
+    configs = G.default_configs(spark)
+    raw = spark.createDataFrame([("t", 0, "relation_001", "missing_contract_number", "", "", "", "", [], [])], "task_id string, match_no int, config_id string, rule_id string, rule_name string, severity string, decision string, reason string, depends_on array<string>, evidence_clause_ids array<string>")
+    bound = R.decision_matches(raw, configs).first().bound_config_id
+    kinds = {r.id: r.config_type for r in configs.collect()}
+    assert bound is None or kinds[bound] == "rule_check"
+
+
+def test_empty_needles_match_nothing_on_either_path(spark):
+    texts = spark.createDataFrame([(1, "abc"), (2, "")], "id int, t string")
+    needles = spark.createDataFrame([("",), ("b",), (None,)], "n string")
+    for limit in (256, 0):
+        assert [tuple(r) for r in V.substring_pairs(texts, "id", "t", needles, "n", limit).collect()] == [(1, "b")]
+
+
+def test_indented_task_files_are_read(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n  "task_id": "t1",\n  "n": 1\n}\n')
+    (tmp_path / "b.json").write_text('{\n  "task_id": "t2", "n": \n')
+    schema = "task_id string, n int"
+    assert [r.task_id for r in T.load_tasks(spark, str(tmp_path), schema, indented=True).collect()] == ["t1"]
+    assert T.malformed_tasks(spark, str(tmp_path), schema, indented=True).count() == 1

@@ -42,3 +42,17 @@ def test_reaudit_rewrites_only_edited_tasks(spark, tmp_path):
     S.reaudit_edits(stream, lambda d: d.select("task_id", F.col("e").alias("v")), str(tmp_path / "stage"), out, str(tmp_path / "cp"), 4).awaitTermination()
     got = {r.task_id: r.v for r in spark.read.parquet(out).collect()}
     assert len(got) == 20 and got["t3"] == "x" and got["t9"] == "y" and got["t4"] == "old"
+
+
+def test_an_input_without_rows_is_audited_once(spark, tmp_path):
+    src, seen = tmp_path / "src", []
+    for part in ([("h1", "")], [("h1", "")], [("h1", ""), ("h2", "b")]):
+        spark.createDataFrame(part, "file_hash string, text string").coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema("file_hash string, text string").option("maxFilesPerTrigger", 1).parquet(str(src))
+
+    def audit(d):
+        seen.extend(r.file_hash for r in d.collect())
+        return d.where("text <> ''")
+
+    S.stream_ingest(stream, audit, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(seen) == ["h1", "h2"]
