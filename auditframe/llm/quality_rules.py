@@ -5,7 +5,7 @@ occur again.  Windows are compared by 64-bit hashes: a text whose hashes are all
 sorted and neighbours compared, so that a text of n words costs n log n at most and nothing is shuffled.
 
 Learning.  Sequential covering: at most `sample` labelled rows (a documented bound: the ids of smallest hash outside the held fold) are
-split into growing and pruning rows.  A rule grows threshold by threshold (candidates: quantiles of each statistic, both directions) by
+split into growing and pruning rows.  A rule grows threshold by threshold (candidates: midpoints between quantiles of each statistic, both directions) by
 information gain for label 0, counted by one grouped aggregate a step; then final conditions are dropped while that does not lower its
 worth on the pruning rows.  Rules are added while they are right on most pruning rows; each covers what earlier ones left.
 
@@ -113,7 +113,9 @@ def learn(rows: DataFrame, quantiles: int = QUANTILES, max_rules: int = MAX_RULE
     at = [i / quantiles for i in range(quantiles)] + [0.99, 0.995]
     cut = rows.agg(*[F.array_sort(F.array_distinct(F.percentile(F.col(f), F.array(*map(F.lit, at))))).alias(f) for f in FEATURES], *[
         F.array_sort(F.array_distinct(F.percentile(F.when(F.col("bad"), F.col(f)), F.array(*map(F.lit, at))))).alias(f"bad_{f}") for f in FEATURES]).first()
-    cuts = {f: sorted({*(cut[f] or []), *(cut[f"bad_{f}"] or [])}) for f in FEATURES}
+    values = {f: sorted({*(cut[f] or []), *(cut[f"bad_{f}"] or [])}) for f in FEATURES}
+    # halfway between two values, so that a threshold stands clear of either side
+    cuts = {f: [(a + b) / 2 for a, b in zip(v, v[1:])] for f, v in values.items()}
     if not any(cuts.values()):
         return []
     # a place among the thresholds (how many lie below) for each statistic
