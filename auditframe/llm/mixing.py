@@ -92,23 +92,23 @@ def mixture(docs: DataFrame, domain: Column | None = None, doc_id: str = "doc_id
     plan = plan.withColumns({"full": F.expr("case when tokens > 0 then share div tokens else 0 end")})
     plan = staged(plan.withColumns({"rest": F.expr("share - full * tokens"), "ranges": F.ceil(F.col("rows") / size).cast("long")}), "plan")
 
-    p = plan.select(F.struct(*LEVELS).alias("p_leaf"), "full", "rest", "ranges")
-    placed = ready.withColumn("_leaf", key).join(p, F.col("_leaf").eqNullSafe(F.col("p_leaf"))).drop("p_leaf")
-    placed = placed.withColumn("_order", order_key(F.col("full"), F.col(doc_id), F.col(text), seed))
-    placed = placed.withColumn("_range", F.expr("cast(conv(substr(_order, 1, 8), 16, 10) as bigint) * ranges div 4294967296"))
-    small = staged(placed.select("_leaf", "_range", "_order", F.col("mix_tokens").alias("n"), "rest"), "orders")
-    sums = small.groupBy("_leaf", "_range", "rest").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy("_leaf").orderBy("_range")
-    ends = sums.withColumn("before", F.sum("n").over(by) - F.col("n")).where("before <= rest and before + n > rest").groupBy("_leaf").agg(F.min(F.struct("_range", "before")).alias("e"))
-    ends = staged(ends.select(F.col("_leaf").alias("e_leaf"), F.col("e._range").alias("e_range"), F.col("e.before").alias("e_before")), "ends")
-    inside = small.join(ends, F.col("_leaf").eqNullSafe(F.col("e_leaf")) & (F.col("_range") == F.col("e_range")))
-    running = F.sum("n").over(Window.partitionBy("e_leaf").orderBy("_order").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    cut = inside.withColumn("upto", F.col("e_before") + running).where("upto > rest").groupBy("e_leaf").agg(F.min("_order").alias("c_order"))
-    cut = staged(cut.withColumnRenamed("e_leaf", "c_leaf"), "cuts")
-    out = placed.join(cut, F.col("_leaf").eqNullSafe(F.col("c_leaf")), "left")
+    p = plan.select(F.struct(*LEVELS).alias("_mix_leaf_of_plan"), *[F.col(c).alias(f"_mix_{c}") for c in ("full", "rest", "ranges")])
+    placed = ready.withColumn("_mix_leaf", key).join(p, F.col("_mix_leaf").eqNullSafe(F.col("_mix_leaf_of_plan"))).drop("_mix_leaf_of_plan")
+    placed = placed.withColumn("_mix_order", order_key(F.col("_mix_full"), F.col(doc_id), F.col(text), seed))
+    placed = placed.withColumn("_mix_range", F.expr("cast(conv(substr(_mix_order, 1, 8), 16, 10) as bigint) * _mix_ranges div 4294967296"))
+    small = staged(placed.select(F.col("_mix_leaf").alias("leaf"), F.col("_mix_range").alias("range"), F.col("_mix_order").alias("order"), F.col("mix_tokens").alias("n"), F.col("_mix_rest").alias("rest")), "orders")
+    sums = small.groupBy("leaf", "range", "rest").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("leaf").orderBy("range")
+    ends = sums.withColumn("before", F.sum("n").over(by) - F.col("n")).where("before <= rest and before + n > rest").groupBy("leaf").agg(F.min(F.struct("range", "before")).alias("e"))
+    ends = staged(ends.select(F.col("leaf").alias("e_leaf"), F.col("e.range").alias("e_range"), F.col("e.before").alias("e_before")), "ends")
+    inside = small.join(ends, F.col("leaf").eqNullSafe(F.col("e_leaf")) & (F.col("range") == F.col("e_range")))
+    running = F.sum("n").over(Window.partitionBy("e_leaf").orderBy("order").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = inside.withColumn("upto", F.col("e_before") + running).where("upto > rest").groupBy("e_leaf").agg(F.min("order").alias("_mix_cut"))
+    cut = staged(cut.withColumnRenamed("e_leaf", "_mix_leaf_of_cut"), "cuts")
+    out = placed.join(cut, F.col("_mix_leaf").eqNullSafe(F.col("_mix_leaf_of_cut")), "left")
     # the key starts with the digits that make the range, so a prefix of keys is a prefix of ranges
-    last = F.expr("case when c_order is null or _order < c_order then 1 else 0 end")
-    copies = F.when((F.col("rest") == 0), F.col("full")).otherwise(F.col("full") + last)
+    last = F.expr("case when _mix_cut is null or _mix_order < _mix_cut then 1 else 0 end")
+    copies = F.when(F.col("_mix_rest") == 0, F.col("_mix_full")).otherwise(F.col("_mix_full") + last)
     return out.withColumn("mix_copies", copies.cast("long")).select(*ready.columns, "mix_copies")
 
 

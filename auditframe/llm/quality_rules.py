@@ -100,7 +100,7 @@ def labelled(stats: DataFrame, labels: DataFrame, doc_id: str, label: str, held:
     if held is not None:
         ids = ids.where(fold(doc_id, 3) != held)
     ids = ids.groupBy(F.col(doc_id).alias("k_id")).agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("k_id"), "k_id").limit(sample)
-    rows = stats.withColumnRenamed(doc_id, "k_id").join(F.broadcast(ids), "k_id").groupBy("k_id").agg(F.min("y").alias("y"), F.min(F.struct("base_failed", *FEATURES)).alias("s")).select("k_id", "y", "s.*")
+    rows = stats.select(F.col(doc_id).alias("k_id"), "base_failed", *FEATURES).join(F.broadcast(ids), "k_id").groupBy("k_id").agg(F.min("y").alias("y"), F.min(F.struct("base_failed", *FEATURES)).alias("s")).select("k_id", "y", "s.*")
     return staged(rows.where("not base_failed").select((F.col("y") == 0).alias("bad"), (F.pmod(F.xxhash64(F.lit("prune"), "k_id"), F.lit(3)) == 0).alias("prune"), *FEATURES), "labelled")
 
 

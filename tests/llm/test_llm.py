@@ -310,3 +310,18 @@ def test_queries_return_the_columns_of_their_contracts(spark, folder):
     for name, cols in want.items():
         out = registry.QUERIES[name](spark, folder)
         assert out.columns == cols and out.count() == n
+
+
+def test_columns_of_clashing_names_are_kept(spark, labelled):
+    docs, labels = labelled
+    names = ["rest", "full", "ranges", "leaf", "order", "share", "tokens", "capacity", "domain", "score", "kept", "pii", "hit_words", "component_id", "chunk", "held_out", "k_id", "y", "x", "n", "grp", "parts", "lo", "hi", "bands", "rep", "a", "b", "id", "mix_tokens"]
+    small = docs.where("doc_id < 30 or doc_id between 1000 and 1010")
+    clash = small.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    bench = spark.createDataFrame([(1, "nothing of this is in any document at all, not one single word")], "item_id long, text string")
+    for out in (quality_knn.drop_low_quality(clash, labels), near_dedup.drop_near_duplicates(clash), decontaminate.drop_contaminated(clash, bench), pii.masked(clash)):
+        assert out.columns == clash.columns and {r.rest for r in out.select("rest").collect()} == {"own rest"} and out.where("score <> 'own score'").count() == 0
+    used = mixing.mixed(clash)
+    assert {r.full for r in used.select("full").collect()} == {"own full"}
+    plain = {(r.doc_id, r.mix_copies) for r in mixing.mixed(small).collect()}
+    assert {(r.doc_id, r.mix_copies) for r in used.collect()} == plain
+    assert near_dedup.near_duplicates(clash).count() == lm_score.scored(clash).count() == quality_rules.judged(clash, labels).count() == small.count()
