@@ -94,13 +94,15 @@ def fits(rule: list[Condition]) -> Column:
     return out
 
 
-def labelled(stats: DataFrame, labels: DataFrame, doc_id: str, label: str, held: int | None, sample: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, held: int | None, sample: int) -> DataFrame:
     """Statistics and label (bad) of the sampled labelled rows, and whether a row is for pruning; a table of at most `sample` rows."""
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     if held is not None:
         ids = ids.where(fold(doc_id, 3) != held)
     ids = ids.groupBy(F.col(doc_id).alias("k_id")).agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("k_id"), "k_id").limit(sample)
-    rows = stats.select(F.col(doc_id).alias("k_id"), "base_failed", *FEATURES).join(F.broadcast(ids), "k_id").groupBy("k_id").agg(F.min("y").alias("y"), F.min(F.struct("base_failed", *FEATURES)).alias("s")).select("k_id", "y", "s.*")
+    # at most `sample` ids: a broadcast of known size, and statistics of their documents alone
+    own = docs.select(F.col(doc_id).alias("k_id"), F.col(text).alias("text")).join(F.broadcast(ids), "k_id")
+    rows = statistics(own).groupBy("k_id").agg(F.min("y").alias("y"), F.min(F.struct("base_failed", *FEATURES)).alias("s")).select("k_id", "y", "s.*")
     return staged(rows.where("not base_failed").select((F.col("y") == 0).alias("bad"), (F.pmod(F.xxhash64(F.lit("prune"), "k_id"), F.lit(3)) == 0).alias("prune"), *FEATURES), "labelled")
 
 
@@ -166,8 +168,8 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", held: int | None = 1, sample: int = SAMPLE) -> DataFrame:
     """docs with their statistics and kept."""
-    stats = statistics(docs, text)
-    return stats.withColumn("kept", verdict(learn(labelled(stats, labels, doc_id, label, held, sample))))
+    rules = learn(labelled(docs, labels, doc_id, text, label, held, sample))
+    return statistics(docs, text).withColumn("kept", verdict(rules))
 
 
 @query("op8_quality_rules")
