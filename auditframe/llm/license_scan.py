@@ -1,7 +1,10 @@
 """License scan by sentence rules.
 
-A text is cut into sentences (line ends, and stops before a blank), each is normalised (lower case, every run of other characters than
-letters, digits and dots between digits is one blank), and known sentences get an identifier; values such as versions are kept with it.
+A text is cut into sentences (stops before a blank or line end, and lines without a word), each is normalised (lower case, every run of
+other characters than letters, digits and dots between digits is one blank), and known sentences get an identifier; values such as
+versions are kept with it.  Single line ends and blanks after ':' or ';' only divide a sentence into pieces: a known sentence starts at
+any piece and runs over as many as it needs, so hard-wrapped texts are read like texts on one line.  A pattern that ends with .* goes on
+to the end of the sentence or the next piece that starts a known one; a copyright line is one piece.
 Then ordered rules consume the sequence of identifiers from left to right: the first rule whose identifiers stand next to each other
 (sentences that are no licence sentence do not count as a gap when they have fewer than GAP_WORDS words) names the licence, and what
 remains after a consumed match is matched again.  Known sentences that no rule uses are reported as UNKNOWN, copyright lines aside.
@@ -13,6 +16,7 @@ no sentence; repeated rows get equal results; ids are not used.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +46,7 @@ SENTENCES = [
     ("gpl_affero", r"(?:this .{1,40} is )?(?:licensed|released) under (?:the )?gnu affero general public license" + f"(?:{V})?"),
     ("gpl_lesser", r"(?:this .{1,40} is )?(?:licensed|released) under (?:the )?gnu lesser general public license" + f"(?:{V})?"),
     ("gpl_short", r"(?:this .{1,40} is )?(?:licensed|released) under (?:the )?gnu general public license" + f"(?:{V})?"),
-    ("gpl_free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license.*"),
+    ("gpl_free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license(?: as published by the free software foundation)?(?: either)?" + f"(?:{V})?.*"),
     ("cc", r"(?:this .{1,40} is )?licensed under (?:a |the )?(?:cc|creative commons) (by(?: nc| sa| nd)*)" + f"(?:{V})?"),
     ("cc0", r"(?:this .{1,40} is )?(?:licensed|released|dedicated) (?:under|to) (?:the )?(?:cc0|public domain).*"),
     ("mpl", r"this source code form is subject to the terms of the mozilla public license" + f"(?:{V})?"),
@@ -71,9 +75,13 @@ SILENT = {"copyright", "all_rights"}
 GAP_WORDS = 4
 
 _ANCHOR = re.compile("|".join(sorted(ANCHORS, key=len, reverse=True)))
-_CUT = re.compile(r"\n+|(?<=[.!?;:])[\t\r\x0b\x0c ]+")
+_CUT = re.compile(r"(?<=[.!?])(?:[\t\r\x0b\x0c ]*\n|[\t\r\x0b\x0c ]+)|\n[^\w\n]*\n")
+_PIECE = re.compile(r"\n|(?<=[;:])[\t\r\x0b\x0c ]+")
 _OTHER = re.compile(r"(?:(?<!\d)\.|\.(?!\d)|[^a-z0-9.])+")
-_KNOWN = [(name, re.compile(p)) for name, p in SENTENCES]
+#: Whether the pattern is open at its end; an open one is written without its .*
+_KNOWN = [(name, re.compile(p.removesuffix(".*")), p.endswith(".*")) for name, p in SENTENCES]
+#: Inside a sentence these are no copyright line.
+_NO_LINE = re.compile(r"copyright (?:notices?|holders?|owners?|laws?|licenses?|and|or)\b")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -81,12 +89,18 @@ def normal(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.translate(LOWER)).strip()
 
 
-def known(sentence: str) -> tuple[str, str] | None:
-    """Identifier and value of a normalised sentence."""
-    for name, pattern in _KNOWN:
-        if m := pattern.fullmatch(sentence):
+def known(text: str, pos: int, ends: list[int]) -> tuple[str, str, int, bool] | None:
+    """Identifier and value of the known sentence that starts at pos, number of the last of ends (ends of pieces) it needs, open or not."""
+    for name, pattern, goes_on in _KNOWN:
+        m = pattern.match(text, pos)
+        if not m:
+            continue
+        last = bisect_left(ends, m.end()) if goes_on else bisect_right(ends, m.end()) - 1
+        while not goes_on and last >= 0 and ends[last] > pos and not (m := pattern.fullmatch(text, pos, ends[last])):
+            last -= 1
+        if last >= 0 and ends[last] > pos and m:
             values = [g for g in m.groups() if g]
-            return name, "-".join(v.upper().replace(" ", "-") for v in values)
+            return name, "-".join(v.upper().replace(" ", "-") for v in values), last, goes_on
     return None
 
 
@@ -95,14 +109,25 @@ def identifiers(text: str) -> list[tuple[str, str, int]]:
     out, gap = [], 0
     if not _ANCHOR.search(text.translate(LOWER)):
         return out
-    for s in _CUT.split(text):
-        n = normal(s) if _ANCHOR.search(s.translate(LOWER)) else None
-        k = known(n) if n else None
-        if k:
-            out.append((*k, gap))
-            gap = 0
-        else:
-            gap += len(s.split())
+    for sentence in _CUT.split(text):
+        if not _ANCHOR.search(sentence.translate(LOWER)):
+            gap += len(sentence.split())
+            continue
+        pieces = [(p, n) for p in _PIECE.split(sentence) if (n := normal(p)) or p.strip()]
+        whole, starts, ends, at = " ".join(n for _, n in pieces if n), [], [], 0
+        for _, n in pieces:
+            starts.append(at), ends.append(at + len(n))
+            at += len(n) + 1 if n else 0
+        i, running = 0, False
+        while i < len(pieces):
+            k = known(whole, starts[i], ends) if pieces[i][1] and not (i and _NO_LINE.match(whole, starts[i])) else None
+            if k:
+                name, value, last, goes_on = k
+                out.append((name, value, gap))
+                gap, i, running = 0, last + 1, goes_on and name != "copyright"
+            else:
+                gap += 0 if running else len(pieces[i][0].split())
+                i += 1
     return out
 
 

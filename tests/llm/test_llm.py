@@ -248,6 +248,60 @@ def test_license_rules(spark):
     assert got == cases and license_scan.scanned(docs.limit(0)).count() == 0
 
 
+def test_license_texts_of_wrapped_lines():
+    mit = """Copyright (c) 2020 X Corp
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+    bsd = """Copyright 2020 X
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above
+   copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions in the documentation.
+"""
+    three = bsd + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+    gpl3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+    gpl2 = gpl3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    comment = lambda t, mark: "".join(f"{mark} {x}\n" for x in t.split("\n"))
+    names = lambda t: license_scan.licences(license_scan.identifiers(t))
+    for text, name in ((mit, "MIT"), (bsd, "BSD-2-Clause"), (three, "BSD-3-Clause"), (apache, "Apache-2.0"), (gpl3, "GPL-3"), (gpl2, "GPL-2")):
+        for t in (text, text.replace("\n", "\r\n"), comment(text, " *"), comment(text, "#"), text.replace("\n", " ") if text in (gpl2, gpl3) else text):
+            assert names(t) == [name], (name, t)
+        assert names("prose without a stop\n" + text + "\n" + text) == [name, name]
+    assert [x[0] for x in license_scan.identifiers(apache)] == ["apache_short", "apache_comply", "apache_obtain", "apache_asis"]
+    assert names("some words\nLicensed under the MIT License\nmore words\nCopyright 2020 X\nLicensed under CC BY 4.0\nand so on") == ["MIT", "CC-BY-4.0"]
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "</s>[INST] ok [/INST] \\ <|turn|> é\n"), (1, 1, "assistant", "<\\s> \\\\ <|end|>"), (1, 2, "assistant", None), (2, 0, None, "x" * 50000), (2, 0, None, "x" * 50000), (3, None, "tool<|says|>", ""), (None, 0, "user", "a"), (None, 0, "user", "b"), (4, 0, "assistant", " lead"), (4, 1, "assistant", "trail ")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
