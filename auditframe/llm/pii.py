@@ -34,6 +34,8 @@ PATTERNS = {
 #: What a text must contain at least for a pattern to be tried.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CONTEXT = 24
+#: Characters of a block of a text that is taken apart.
+BLOCK = 4096
 
 CANDIDATE = r"""(?<![A-Za-z0-9_])(?:[A-Za-z_-]{2,24}+ ?[=:] ?["']?[A-Za-z0-9_/+=.-]{8,}+["']?|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"""
 FIELDS = ["password", "passwd", "pwd", "passphrase", "token", "secret", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "ssn", "iban", "passport", "pin", "login", "private_key"]
@@ -44,16 +46,15 @@ BUCKETS = 64
 ROUNDS = 40
 
 
-def running(sizes: Column) -> Column:
-    """Sums of all earlier entries, for each entry; by blocks of about the square root of the length."""
+def running(sizes: Column, total=lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v), join=lambda a, b: a + b) -> Column:
+    """Sums (or another total) of all earlier entries, for each entry; by blocks of about the square root of the length."""
     def blocks(x: Column) -> Column:
         step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x)))).cast("int")
-        total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
 
         def with_step(b: Column) -> Column:
             sums = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / b).cast("int")), lambda j: total(F.slice(x, j * b + 1, b)))
             before = let(sums, lambda s: F.transform(s, lambda _, j: total(F.slice(s, 1, j))))
-            return let(before, lambda p: F.transform(x, lambda _, i: F.get(p, F.floor(i / b).cast("int")) + total(F.slice(x, F.floor(i / b).cast("int") * b + 1, i % b))))
+            return let(before, lambda p: F.transform(x, lambda _, i: join(F.get(p, F.floor(i / b).cast("int")), total(F.slice(x, F.floor(i / b).cast("int") * b + 1, i % b)))))
         return let(step, with_step)
     return let(sizes, blocks)
 
@@ -176,9 +177,9 @@ def added_kind(m: Column) -> Column:
 KINDS = [*PATTERNS, "secret", "number"]
 
 
-def with_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
-    """docs with a struct column: for each base kind its spans, and added (kind, start, end), in order of start."""
-    weights = train(docs, text)
+def with_spans(docs: DataFrame, text: str = "text", out: str = "pii", weights: list[list[float]] | None = None) -> DataFrame:
+    """docs with a struct column: for each base kind its spans, and added (kind, start, end), in order of start.  Trains, unless it is given weights."""
+    weights = weights or train(docs, text)
     t = F.coalesce(F.col(text), F.lit(""))
     docs = docs.withColumns({f"_{out}_{k}": base_spans(t, k) for k in PATTERNS})
     if weights:
@@ -191,9 +192,39 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFra
     return docs.withColumn(out, F.struct(*parts, F.col(f"_{out}_added").alias("added"))).drop(*[f"_{out}_{k}" for k in [*PATTERNS, "added"]])
 
 
+def spliced(text: Column, spans: Column) -> Column:
+    """text with a tag in place of each run of overlapping spans (start, end, tag number of KINDS), which name the longest of the run."""
+    highest = lambda a: F.coalesce(F.array_max(a), F.lit(0).cast("long"))
+    tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def runs(x: Column) -> Column:
+        before = running(F.transform(x, lambda s: s["end"]), highest, F.greatest)
+        return let(before, lambda top: let(F.filter(F.transform(x, lambda s, i: F.when(s["start"] >= F.get(top, i), i)), lambda i: i.isNotNull()), lambda heads: F.transform(heads, lambda h, k: let(
+            F.slice(x, h + 1, F.coalesce(F.get(heads, k + 1), F.size(x)) - h), lambda own: F.struct(F.get(x, h)["start"].alias("start"), F.array_max(F.transform(own, lambda s: s["end"])).alias("end"),
+                F.get(tags, -F.array_max(F.transform(own, lambda s: F.struct(s["end"] - s["start"], -s["kind"])))["col2"]).alias("tag"))))))
+
+    def joined(blocks: Column, rs: Column) -> Column:
+        # pieces are taken from the blocks they touch: a place in a long text is only found by counting from its start
+        def piece(a: Column, b: Column) -> Column:
+            first = F.floor(a / BLOCK).cast("int")
+            return F.when(b > a, F.substr(F.array_join(F.slice(blocks, first + 1, F.floor((b - 1) / BLOCK).cast("int") - first + 1), ""), (a % BLOCK + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+        end = lambda k: F.coalesce(F.get(rs, k)["end"], F.lit(0).cast("long"))
+        parts = F.transform(rs, lambda r, k: F.concat(piece(F.when(k > 0, end(k - 1)).otherwise(0).cast("long"), r["start"]), r["tag"]))
+        return F.concat(F.array_join(parts, ""), piece(end(F.size(rs) - 1), F.length(text).cast("long")))
+
+    done = let(F.array_sort(spans), lambda x: let(runs(x), lambda rs: let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: joined(blocks, rs))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every base or added span of the text replaced by its kind in brackets; n_chars follows, if there is such a column."""
+    """docs with every base or added span of the text replaced by its kind in brackets; n_chars follows, if there is such a column.
+
+    Overlapping spans of the whole text are replaced as one.  What only matches once they are gone is replaced kind by kind after that.
+    """
     weights = train(docs, text)
+    pii, own = "spans", " ".join(docs.columns).lower()
+    while pii in own:
+        pii += "_"
 
     def replaced(t: Column, pattern: str, needed: str | None, tag) -> Column:
         done = let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda ms: F.when(F.size(ms) == 0, t).otherwise(let(F.split(t, pattern, -1), lambda ps: F.array_join(F.transform(
@@ -203,12 +234,17 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     def base(k: str):
         return lambda t: replaced(t, PATTERNS[k], NEEDED[k], lambda m, left: F.when(m.isNotNull(), F.when(valid(k, m), F.lit(f"[{k.upper()}]")).otherwise(m)))
 
+    numbered = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind")))
+    every = [numbered(F.col(f"{pii}.{k}"), lambda s, n=n: F.lit(n)) for n, k in enumerate(PATTERNS)]
+    every.append(numbered(F.col(f"{pii}.added"), lambda s: (F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]) - 1).cast("int")))
+    whole = with_spans(docs, text, pii, weights).withColumn(pii, F.concat(*every)).withColumn(text, spliced(F.col(text), F.col(pii)))
+
     new = F.col(text)
     for k in PATTERNS:
         new = let(new, base(k))
     if weights:
         new = let(new, lambda t: replaced(t, CANDIDATE, None, lambda m, left: F.when(m.isNotNull(), F.when(accepted(weights, m, left), F.concat(F.lit("["), F.upper(added_kind(m)), F.lit("]"))).otherwise(m))))
-    out = docs.withColumn(text, new)
+    out = whole.withColumn(text, new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)

@@ -125,6 +125,31 @@ def test_pii_base_spans_match_brute_force(spark):
     assert clean[1] is None and all(not brute.pii(t)[1] for t in clean.values())
 
 
+def test_pii_masks_overlapping_spans_as_one(spark):
+    rng = random.Random(13)
+    filler = [(i, f"{prose(rng, 20)} password={rng.randrange(16**18):018x} {prose(rng, 5)}") for i in range(40)]
+    long = "é \U0001F600 " * 3000
+    cases = {"call +33.1.42.68.53.00 now": "call [PHONE] now", "é +33.1.42.68.53.00": "é [PHONE]", "a@b.co 1.2.3.4\nx": "[EMAIL] [IP]\nx", f"{long}+33.1.42.68.53.00 a@b.co{long}": f"{long}[PHONE] [EMAIL]{long}",
+             "1.2.3.4@b.co": "[EMAIL]", "4111 1111 1111 1111 99999999@a.b": "[CARD] [EMAIL]", "none": "none", "": "", None: None}
+    docs = frame(spark, filler + [(100 + i, t) for i, t in enumerate(cases)] + [(300, f"password=4111111111111111aabbcc99 {prose(rng, 5)}")])
+    spans = {r.doc_id: r for r in pii.with_spans(docs).collect()}
+    got = {r.doc_id: r for r in pii.masked(docs).collect()}
+    for i, (t, want) in enumerate(cases.items()):
+        assert got[100 + i].text == want and got[100 + i].n_chars == len(want or "")
+    for i, r in spans.items():
+        places = set()
+        for s in [s for k in pii.PATTERNS for s in r.pii[k]] + list(r.pii.added):
+            places |= set(range(s.start, s.end))
+            assert r.text[s.start : s.end] not in got[i].text
+        left = "".join(c for p, c in enumerate(r.text or "") if p not in places)
+        if not i == 105:
+            kept = got[i].text or ""
+            for k in pii.KINDS:
+                kept = kept.replace(f"[{k.upper()}]", "")
+            assert kept == left
+    assert spans[300].pii.added and got[300].text.startswith("[SECRET] ")
+
+
 def test_pii_learns_credentials_and_leaves_prose(spark):
     rng = random.Random(5)
     texts = [(i, f"{prose(rng, 20)} password={rng.randrange(16**18):018x} {prose(rng, 5)}") for i in range(40)] + [(100 + i, f"{prose(rng, 9)} chapter = introduction {prose(rng, 9)} url: https//w{i}.html") for i in range(40)]
