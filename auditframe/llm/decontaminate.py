@@ -6,10 +6,11 @@ least one fingerprint at the same place in both.  Fingerprints of documents meet
 word by word in both directions; what reaches `window` words is a hit.  Items shorter than `window` are one window of their own length
 and are compared by the hash of their whole length.
 
-The benchmark is taken in blocks of at most `block_words` words (a documented bound: about 100 bytes a word in a Python worker); each
-block is one pass over the documents inside the same stage, so a larger benchmark costs more time but neither memory nor a shuffle, and
-no document is shuffled at all.  Null or empty texts have no words and no hits; an empty benchmark hits nothing; repeated items and
-rows are each reported; ids may be null; further columns are kept as they are.
+The benchmark is taken in blocks of at most `block_words` words (about 100 bytes a word in a Python worker); each block passes through
+the driver and is one pass over the documents inside the same stage, so no document is shuffled, but the driver's and the workers' memory
+grow with the number of blocks.  Null or empty texts have no words and no hits; an empty benchmark hits nothing; repeated items and rows
+are each reported; further columns are kept as they are.  Items without id are searched like any other: their words count, together they
+count as one item, which is a null at the end of the list of ids and has no part in the hash of the ids.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class Block:
 
     words: np.ndarray
     item: np.ndarray
-    names: list[str]
+    names: list[str | None]
     prints: np.ndarray
     places: np.ndarray
     short: dict[int, tuple[np.ndarray, np.ndarray]]
@@ -80,7 +81,7 @@ def build(ids: list, texts: list[str], window: int, k: int) -> Block:
         mine = np.isin(w.doc[a], own)
         o = np.argsort(g[mine], kind="stable")
         short[n] = (g[mine][o], w.doc[a[mine]][o])
-    return Block(w.hash, w.doc, [str(x) for x in ids], h[kept][order], at[kept][order], short)
+    return Block(w.hash, w.doc, [None if x is None else str(x) for x in ids], h[kept][order], at[kept][order], short)
 
 
 def meetings(sought: np.ndarray, there: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,11 +150,11 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                   window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS, prefix: str = "hit_") -> DataFrame:
-    """Append to each document hit_words (its number of words), hit_spans (array of start and end word) and hit_items (sorted ids as text)."""
+    """Append to each document hit_words (its number of words), hit_spans (array of start and end word) and hit_items (sorted ids as text, a null at the end for items without id)."""
     spans_of, items_of, words_of = f"{prefix}spans", f"{prefix}items", f"{prefix}words"
     docs = docs.drop(spans_of, items_of, words_of).withColumns({
         words_of: F.lit(0).cast("long"), spans_of: F.array().cast("array<struct<start:long,end:long>>"), items_of: F.array().cast("array<string>")})
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(item_text, F.lit("")).alias("text")).where("id is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(item_text, F.lit("")).alias("text"))
     schema = docs.schema
     first = True
     for block in [*blocks(items, window, k, block_words)] or [build([], [], window, k)]:
@@ -202,7 +203,7 @@ def _pass(packed, text: str, words_of: str, spans_of: str, items_of: str, window
                     sp = np.concatenate([sp, np.array([[x["start"], x["end"]] for x in old_spans[r]], np.int64).reshape(-1, 2)])
                     it = it | set(old_items[r])
                 spans.append([{"start": int(a), "end": int(b)} for a, b in merged(sp)] if len(sp) else [])
-                items.append(sorted(it))
+                items.append(sorted(it, key=lambda x: (x is None, x or "")))
             new = {words_of: pa.array(counts), spans_of: pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), items_of: pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
     return run

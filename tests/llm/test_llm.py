@@ -102,6 +102,17 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.contamination(frame(spark, texts), bench.limit(0)).where("size(hit_spans) > 0").count() == 0
 
 
+def test_decontamination_by_items_without_id(spark):
+    rng = random.Random(14)
+    a, b, c = prose(rng, 20, 10**6), prose(rng, 20, 10**6), prose(rng, 20, 10**6)
+    bench = spark.createDataFrame([(None, a), (None, b), (7, c), (8, c)], "item_id long, text string")
+    docs = frame(spark, [(1, f"x {a} y"), (2, f"{a} {b} {c}"), (3, c), (4, "clean words"), (None, a)])
+    for block in (10**6, 30):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.hit_items, r.contaminated) for r in decontaminate.verdicts(decontaminate.contamination(docs, bench, block_words=block)).collect()}
+        assert got == {1: (20, 1, [None], True), 2: (60, 3, ["7", "8", None], True), 3: (20, 2, ["7", "8"], True), 4: (0, 0, [], False), None: (20, 1, [None], True)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [4]
+
+
 def test_winnowing_keeps_a_fingerprint_of_every_span():
     import numpy as np
     rng = np.random.default_rng(1)
