@@ -10,8 +10,10 @@ band in less than one per cent of the cases.
 
 Verification.  Documents with equal sets form one class and only the smallest id goes on.  Documents that share a band are chained to
 the smallest id of the band, and the connected groups of that chain are compared exactly on their full sets inside tasks: counts of
-common shingles are products of incidence matrices.  Groups of more than CHUNK sets are split by hash into chunks, and each pair of
-chunks is a task of its own; a task returns a spanning forest of its links, never its pairs.  No band, group or partner is capped.
+common shingles are products of incidence matrices.  Groups of more than CHUNK sets or CHUNK_SHINGLES shingles are split by hash into
+chunks, and each pair of chunks that share a band is a task of its own; a task goes through its shingles RANGE at a time and returns a
+spanning forest of its links, never its pairs.  No band, group or partner is capped.  One set is never split: a task holds its two chunks
+packed (8 bytes a shingle), which are about CHUNK_SHINGLES each, or two single sets where these are larger.
 
 Null or empty texts have the empty set, have no links and are kept; rows without id are not linked and are kept; rows that repeat an id
 are one node; an empty table gives an empty table.
@@ -35,6 +37,9 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 36, 7
 CHUNK = 256
+CHUNK_SHINGLES = 4_000_000
+#: Shingles of a task that are unpacked at a time, about.
+RANGE = 1 << 20
 #: Columns of an incidence matrix at a time.
 WIDTH = 4096
 
@@ -105,24 +110,29 @@ def sketched(docs: DataFrame, text: str, doc_id: str, bands: int, rows: int, siz
 def forest(ids: np.ndarray, side: np.ndarray, packed: list[bytes], percent: int) -> tuple[list, list]:
     """A spanning forest of the links among sets (packed 64-bit hashes); if side has two values, only of links across."""
     m = len(ids)
-    size = np.array([len(x) // 8 for x in packed], np.int64)
-    h = np.frombuffer(b"".join(packed), U)
-    row = np.repeat(np.arange(m), size)
-    _, col, times = np.unique(h, return_inverse=True, return_counts=True)
-    shared = times > 1
-    number = np.cumsum(shared) - 1
-    use = shared[col]
-    row, col = row[use], number[col[use]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    common = np.zeros((m, m), np.float32)
-    width = int(shared.sum())
-    for a in range(0, width, WIDTH):
-        lo, hi = np.searchsorted(col, [a, a + WIDTH])
-        x = np.zeros((m, min(WIDTH, width - a)), np.float32)
-        x[row[lo:hi], col[lo:hi] - a] = 1
-        common += x @ x.T
-    link = 100 * common.astype(np.int64) >= percent * (size[:, None] + size[None, :] - common.astype(np.int64))
+    each = [np.frombuffer(x, U) for x in packed]
+    size = np.array([len(x) for x in each], np.int64)
+    common = np.zeros((m, m), np.int64)
+    parts = max(1, -(-int(size.sum()) // RANGE))
+    cuts = np.array([(k << 64) // parts for k in range(1, parts)], U)
+    bounds = np.array([np.r_[0, np.searchsorted(x, cuts), len(x)] for x in each], np.int64)
+    for k in range(parts):
+        h = np.concatenate([x[lo:hi] for x, lo, hi in zip(each, bounds[:, k], bounds[:, k + 1])])
+        row = np.repeat(np.arange(m), bounds[:, k + 1] - bounds[:, k])
+        _, col, times = np.unique(h, return_inverse=True, return_counts=True)
+        shared = times > 1
+        number = np.cumsum(shared) - 1
+        use = shared[col]
+        row, col = row[use], number[col[use]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        width = int(shared.sum())
+        for a in range(0, width, WIDTH):
+            lo, hi = np.searchsorted(col, [a, a + WIDTH])
+            x = np.zeros((m, min(WIDTH, width - a)), np.float32)
+            x[row[lo:hi], col[lo:hi] - a] = 1
+            common += (x @ x.T).astype(np.int64)
+    link = 100 * common >= percent * (size[:, None] + size[None, :] - common)
     np.fill_diagonal(link, False)
     if side.min() != side.max():
         link &= side[:, None] != side[None, :]
@@ -140,14 +150,14 @@ def forest(ids: np.ndarray, side: np.ndarray, packed: list[bytes], percent: int)
 
 
 def links(docs: DataFrame, groups: DataFrame, text: str, doc_id: str, size: int, percent: int, kind: str) -> DataFrame:
-    """Edges (a, b) that span, with all others, the links inside each group of groups (doc_id, part, parts)."""
+    """Edges (a, b) that span, with all others, the links inside each group of groups (doc_id, grp, mine, others): mine is a chunk, others are those it meets."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column(batch, "text")
             for i, j in slices(offsets):
                 h, b = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((b * 8).astype(np.int32)), pa.py_buffer(h)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("grp").slice(i, j - i), batch.column("parts").slice(i, j - i), raw], names=["doc_id", "grp", "parts", "packed"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("grp").slice(i, j - i), batch.column("mine").slice(i, j - i), batch.column("others").slice(i, j - i), raw], names=["doc_id", "grp", "mine", "others", "packed"])
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["doc_id", "packed"])
@@ -155,15 +165,27 @@ def links(docs: DataFrame, groups: DataFrame, text: str, doc_id: str, size: int,
         return pd.DataFrame({"a": a, "b": b})
 
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(groups, "doc_id")
-    held = texts.select("doc_id", "grp", "parts", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(pack, f"doc_id {kind}, grp {kind}, parts int, packed binary")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    each = held.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = texts.select("doc_id", "grp", "mine", "others", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(pack, f"doc_id {kind}, grp {kind}, mine int, others array<int>, packed binary")
+    each = held.withColumn("other", F.explode("others"))
     each = each.select("doc_id", "grp", "mine", "packed", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     return each.groupBy("grp", "i", "j").applyInPandas(inside, f"a {kind}, b {kind}")
 
 
+def chunked(coarse: DataFrame, sizes: DataFrame, banded: DataFrame, chunk: int, shingles: int) -> DataFrame:
+    """groups of links(), from coarse (id, component), sizes (doc_id, n_shingles) and banded (band, doc_id)."""
+    sized = coarse.join(sizes.select(F.col("doc_id").alias("id"), "n_shingles"), "id")
+    counts = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n_shingles") / shingles)).cast("int").alias("parts"))
+    dealt = coarse.join(counts, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("mine"))
+    dealt = staged(dealt, "dealt")
+    many = dealt.where("parts > 1")
+    met = banded.join(many, "doc_id").select("band", "grp", "mine").distinct().groupBy("band", "grp").agg(F.sort_array(F.collect_set("mine")).alias("met")).select("grp", "met").distinct()
+    others = met.select("grp", F.explode("met").alias("mine"), "met").groupBy("grp", "mine").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("others"))
+    one = dealt.where("parts = 1").select("doc_id", "grp", "mine", F.array(F.lit(0)).alias("others"))
+    return one.union(many.join(others, ["grp", "mine"]).select("doc_id", "grp", "mine", "others"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT,
-                    bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK, shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest id linked with it, over any number of links), kept."""
     kind = dict(docs.dtypes)[doc_id]
     sk = staged(sketched(docs, text, doc_id, bands, rows, size), "sketches")
@@ -172,10 +194,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     reps = full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     keyed = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
-    chain = keyed.join(shared, "band").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    banded = keyed.join(shared, "band")
+    chain = banded.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     coarse = components(chain, "coarse")
-    counts = coarse.groupBy("component").agg(F.count("*").alias("n"))
-    groups = staged(coarse.join(counts, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "groups")
+    groups = staged(chunked(coarse, reps.select("doc_id", "n_shingles"), banded, chunk, shingles), "groups")
     members = staged(full.join(classes, ["n_shingles", "lo", "hi"]).select("doc_id", "rep").distinct(), "members")
     # rows that repeat an id with other texts tie their classes together
     twice = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")

@@ -67,6 +67,43 @@ def test_near_duplicates_in_a_large_group_of_many_chunks(spark):
     assert got == {i: c for i, (_, c) in brute.near(texts).items()}
 
 
+def test_near_duplicates_in_chunks_cut_by_shingles(spark):
+    rng = random.Random(15)
+    texts = {}
+    for g in range(3):
+        base = prose(rng, 300, 10**6).split()
+        for k in range(20):
+            w = list(base)
+            for _ in range(rng.randrange(6)):
+                w[rng.randrange(len(w))] = f"y{rng.random()}"
+            texts[100 * g + k] = " ".join(w)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, list(texts.items())), shingles=1500).collect()}
+    assert got == {i: c for i, (_, c) in brute.near(texts).items()}
+
+
+def test_chunks_meet_only_where_they_share_a_band(spark):
+    coarse = spark.createDataFrame([(i, 0) for i in range(40)] + [(100, 100), (101, 100)], "id long, component long")
+    sizes = spark.createDataFrame([(i, 1000) for i in range(40)] + [(100, 10), (101, 10)], "doc_id long, n_shingles long")
+    pairs = [(i, i + 1) for i in range(39)] + [(100, 101)]
+    banded = spark.createDataFrame([(b, i) for b, p in enumerate(pairs) for i in p], "band long, doc_id long")
+    got = {r.doc_id: r for r in near_dedup.chunked(coarse, sizes, banded, 256, 2000).collect()}
+    assert len(got) == 42 and got[100].others == got[101].others == [0]
+    chunk = {i: got[i].mine for i in range(40)}
+    want = {(chunk[a], chunk[b]) for a, b in pairs[:-1]}
+    want |= {(b, a) for a, b in want} | {(a, a) for a in chunk.values()}
+    assert {(got[i].mine, o) for i in range(40) for o in got[i].others} == want and len(want) < len(set(chunk.values())) ** 2 and max(chunk.values()) > 9
+
+
+def test_forest_counts_the_same_in_ranges(monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 2000, np.uint64)
+    packed = [np.sort(np.r_[base[: 2000 - k * 20], rng.integers(0, 2**64, k * 20, np.uint64)]).tobytes() for k in range(12)]
+    whole = near_dedup.forest(np.arange(12), np.zeros(12, int), packed, 85)
+    monkeypatch.setattr(near_dedup, "RANGE", 900)
+    assert near_dedup.forest(np.arange(12), np.zeros(12, int), packed, 85) == whole and len(whole[0])
+
+
 def test_rows_that_repeat_an_id_tie_their_texts(spark):
     rng = random.Random(3)
     a, b = prose(rng, 60), prose(rng, 60)
