@@ -135,7 +135,7 @@ def clauses(spark, sf_dir) -> DataFrame:
         F.col("core_label").alias("label"), "core_label",
         F.get(F.array(F.lit("core"), F.lit("user_configured"), F.lit("agent_discovered")), (F.col("block_no") % 3).cast("int")).alias("label_source"),
         F.col("core_label").alias("title"),
-        X.compact_summary("text", 80).alias("summary"),
+        X.compact_summary("text", None).alias("summary"),
         F.col("text").alias("raw_text"),
         "page",
         F.round(0.50 + (length % 50) / 100, 2).alias("confidence"),
@@ -150,7 +150,7 @@ def key_facts(spark, sf_dir) -> DataFrame:
     c = clauses(spark, sf_dir)
     return c.select(
         "doc_id", "task_id", F.regexp_replace("clause_id", "^c_", "f_").alias("fact_id"), "label",
-        F.when(F.col("sort_order") % 5 == 0, "").otherwise(X.compact_summary("raw_text", 120)).alias("value"),
+        F.when(F.col("sort_order") % 5 == 0, "").otherwise(X.compact_summary("raw_text", None)).alias("value"),
         "page", "confidence", "sort_order", "block_id",
     )
 

@@ -149,10 +149,10 @@ CTES: dict[str, str] = {
         (SELECT doc_id, string_agg(text, chr(10) ORDER BY block_no) AS text FROM blocks GROUP BY doc_id) t USING (doc_id)""",
     "clauses": f"""SELECT doc_id, task_id, 'c_' || doc_id || '_' || block_no AS clause_id, core_label AS label, core_label,
         (['core', 'user_configured', 'agent_discovered'])[block_no % 3 + 1] AS label_source, core_label AS title,
-        {compact_summary('text', 80)} AS summary, text AS raw_text, page, round(0.5::DOUBLE + (length(text) % 50) / 100.0::DOUBLE, 2) AS confidence,
+        {compact_summary('text', None)} AS summary, text AS raw_text, page, round(0.5::DOUBLE + (length(text) % 50) / 100.0::DOUBLE, 2) AS confidence,
         block_no AS sort_order, length(text) % 4 = 0 AS need_review, block_id FROM blocks WHERE core_label <> '其他重要条款'""",
     "key_facts": f"""SELECT doc_id, task_id, 'f_' || substr(clause_id, 3) AS fact_id, label,
-        CASE WHEN sort_order % 5 = 0 THEN '' ELSE {compact_summary('raw_text', 120)} END AS value, page, confidence, sort_order, block_id FROM clauses""",
+        CASE WHEN sort_order % 5 = 0 THEN '' ELSE {compact_summary('raw_text', None)} END AS value, page, confidence, sort_order, block_id FROM clauses""",
     "kb_docs": """SELECT doc_id, 'doc_' || doc_id AS document_id, source AS name, CASE WHEN lang = 'en' THEN 'policy' ELSE 'template' END AS doc_type,
         CASE WHEN doc_id % 11 = 0 THEN 'abolished' WHEN doc_id % 13 = 0 THEN 'superseded' WHEN doc_id % 4 = 0 THEN 'partially_effective' ELSE 'effective' END AS status,
         (20200101 + 10000 * (doc_id % 5))::BIGINT AS effective_ts, (CASE WHEN doc_id % 7 = 0 THEN 20230101 ELSE 99991231 END)::BIGINT AS abolish_ts,
