@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, query, table
+from .common import fold, query, staged, table
 from .words import SPACE, Words, column, slices
 
 SAMPLE = 6000
@@ -68,16 +68,22 @@ def scaled(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Latent directions, labelled vectors and their labels."""
+    """Latent directions, labelled vectors and their labels.  x are rows of terms(); they are scaled a block at a time, so they stand in memory once."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, rank: int = RANK):
         self.share = float(y.mean()) if len(y) else 0.5
         self.y = y.astype(np.float32)
-        self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-        z = scaled(x * self.idf)
-        values, vectors = np.linalg.eigh((z.T @ z).astype(np.float64))
+        blocks = range(0, len(x), BLOCK)
+        used = sum(((x[i : i + BLOCK] > 0).sum(0) for i in blocks), np.zeros(x.shape[1]))
+        self.idf = (np.log((1 + len(x)) / (1 + used)) + 1).astype(np.float32)
+        gram = np.zeros((x.shape[1], x.shape[1]))
+        for i in blocks:
+            z = scaled(x[i : i + BLOCK] * self.idf)
+            gram += z.T @ z
+        values, vectors = np.linalg.eigh(gram)
         self.directions = vectors[:, np.argsort(-values)[:rank]].astype(np.float32)
-        self.vectors = scaled(z @ self.directions)
+        del gram, vectors
+        self.vectors = np.concatenate([np.zeros((0, self.directions.shape[1]), np.float32), *[scaled(scaled(x[i : i + BLOCK] * self.idf) @ self.directions) for i in blocks]])
 
     def score(self, x: np.ndarray, k: int = NEIGHBOURS, power: float = POWER, prior: float = PRIOR_VOTE) -> np.ndarray:
         if not len(self.y):
@@ -101,15 +107,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
         for batch in batches:
             data, offsets = column(batch, "text")
             for i, j in slices(offsets, rows=BLOCK):
-                x = terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).astype(np.float16)
+                x = terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column("k_id").slice(i, j - i), batch.column("y").slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["k_id", "y", "x"])
 
     # at most `sample` ids: a broadcast of known size
     rows = docs.select(F.col(doc_id).alias("k_id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(ids), "k_id").select("k_id", "y", "text")
     kind = dict(rows.dtypes)["k_id"]
-    got = rows.mapInArrow(run, f"k_id {kind}, y int, x binary").groupBy("k_id").agg(F.min(F.struct("x", "y")).alias("r")).select("k_id", "r.x", "r.y").toArrow().sort_by("k_id")
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
-    return x, np.array(got["y"].to_pylist(), np.int64)
+    held = staged(rows.mapInArrow(run, f"k_id {kind}, y int, x binary").groupBy("k_id").agg(F.min(F.struct("x", "y")).alias("r")).select("k_id", "r.x", "r.y"), "sample")
+    # at most `sample` rows, filled in one after another and put in order of their ids
+    x, y, at = np.zeros((held.count(), TERMS), np.float32), [], []
+    for r in held.coalesce(8).toLocalIterator():
+        x[len(y)] = np.frombuffer(r["x"], np.float32)
+        y.append(r["y"])
+        at.append(r["k_id"])
+    order = sorted(range(len(at)), key=at.__getitem__)
+    return x[order], np.array(y, np.int64)[order]
 
 
 def with_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", held: int | None = 1,

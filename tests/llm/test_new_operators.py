@@ -241,3 +241,24 @@ def test_native_plans_hold_no_python(spark, tmp_path, name):
     folder = write(spark, tmp_path, documents=spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string"), labels=spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
     plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert ("Python" in plan or "Pandas" in plan) == (name == "op12_filter_audit")
+
+
+def test_components_by_rounds_and_by_the_last_task_agree(spark):
+    from auditframe.llm.graph import components
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001 + i) for i in range(200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(150)] + [(5000, 5000), (5001, None)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    up = {}
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    want = {x: top(x) for x in list(up)}
+    for last in (0, 40, 4096):
+        got = components(df, last=last).collect()
+        assert len(got) == len(want) and {r.id: r.component for r in got} == want
+    assert components(df.where("a = b"), last=10).count() == 0
