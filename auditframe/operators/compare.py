@@ -243,8 +243,8 @@ def issue_target(issues: DataFrame, clauses: DataFrame, facts: DataFrame, eviden
     """Best clause with evidence, else best fact with evidence, that an issue speaks about (or among the leading ones only).
 
     issues: task_id, issue_id, problem, clause_location, source_rule_name, matched_title, no_direct_evidence.
-    Only real containments are joined: tokens, hints and titles are looked up as
-    substrings over the distinct texts, so issues and clauses are never paired all with all.
+    Only real containments are joined: tokens, hints and titles of a contract are looked up as
+    substrings in the texts of that contract alone, so work is linear in the contracts.
     """
     key = ["task_id", "issue_id"]
     issues = stage(issues)  # read by every lookup below
@@ -255,8 +255,7 @@ def issue_target(issues: DataFrame, clauses: DataFrame, facts: DataFrame, eviden
     titles = live.select(*key, F.col("matched_title").alias("needle")).where(F.length("needle") > 0)
 
     def scored(target, id_col, hay, needles, extra=None):
-        texts = target.select(F.struct("task_id", id_col).alias("k"), hay.alias("hay"))
-        pairs = substring_pairs(texts, "k", "hay", needles, "needle").select("k.task_id", f"k.{id_col}", "needle")
+        pairs = substring_pairs(target.select("task_id", id_col, hay.alias("hay")), id_col, "hay", needles, "needle", ("task_id",))
         s = pairs.join(needles, ["task_id", "needle"]).select(*key, id_col, "w")
         if extra is not None:
             s = s.unionByName(extra)
@@ -264,9 +263,9 @@ def issue_target(issues: DataFrame, clauses: DataFrame, facts: DataFrame, eviden
 
     hay = F.concat_ws("\n", "title", "summary", "raw_text", "label", "core_label")
     clause_needles = tokens.unionByName(hints.withColumn("w", F.lit(5.0))).unionByName(titles.withColumn("w", F.lit(6.0)))
-    probs = live.select(F.col("problem").alias("pid"), F.col("problem").alias("ptext")).distinct()
-    named = substring_pairs(probs, "pid", "ptext", clauses.where(F.length("title") > 0).select(F.col("title").alias("needle")), "needle")
-    by_title = live.select(*key, F.col("problem").alias("pid")).join(named, "pid").join(clauses.select("task_id", "clause_id", F.col("title").alias("needle")), ["task_id", "needle"])
+    probs = live.select("task_id", F.col("problem").alias("pid"), F.col("problem").alias("ptext")).distinct()
+    named = substring_pairs(probs, "pid", "ptext", clauses.select("task_id", F.col("title").alias("needle")), "needle", ("task_id",))
+    by_title = live.select(*key, F.col("problem").alias("pid")).join(named, ["task_id", "pid"]).join(clauses.select("task_id", "clause_id", F.col("title").alias("needle")), ["task_id", "needle"])
     by_title = by_title.select(*key, "clause_id", F.lit(4.0).alias("w"))
     cs = scored(clauses, "clause_id", hay, clause_needles, by_title).join(clauses.select("task_id", "clause_id", "sort_order"), ["task_id", "clause_id"])
     ev = last_evidence(evidence).select("task_id", "evidence_id", F.col("source_type").alias("_st"), F.col("source_id").alias("_sid"), "page", "text")

@@ -13,7 +13,6 @@ from ..functions import ordered as O
 from ..functions import text as X
 from ..session import stage
 
-LITERAL_LIMIT = 256
 
 
 def effective_on(kb: DataFrame, day: int) -> DataFrame:
@@ -23,36 +22,65 @@ def effective_on(kb: DataFrame, day: int) -> DataFrame:
 # --- containment ------------------------------------------------------------
 
 
+LITERAL_LIMIT = 256
+
+
 def bounded_values(df: DataFrame, column: str, limit: int) -> list | None:
     """The distinct values when there are at most ``limit``; None when there are more."""
     got = df.select(column).where(F.length(column) > 0).distinct().limit(limit + 1).collect()
     return None if len(got) > limit else sorted(r[0] for r in got)
 
 
-def _grams(c: Column, n: int) -> Column:
-    last = F.length(c) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-
-def substring_pairs(texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_col: str, literal_limit: int = LITERAL_LIMIT) -> DataFrame:
-    """(id, needle) for every distinct needle (empty ones aside) that occurs in the text.
-
-    Few needles (checked): one pass over the texts, needles as a literal array.
-    More: each needle is keyed by one of its own character grams (up to three
-    characters), texts state their distinct grams, and an equi join gives the
-    candidates that are then verified.  Nothing is compared all with all.
+GRAM = 3
+#: Rows whose grams are counted to choose keys; the choice decides the work, never the result.
+COUNTED = 20_000
+
+
+def grams(c: Column, sizes: list[int]) -> Column:
+    """Character runs of the given sizes (up to GRAM), in one pass over the characters."""
+    def runs(chars: Column) -> Column:
+        of = lambda n: F.transform(chars, lambda x, i: F.concat(x, *[F.get(chars, i + j) for j in range(1, n)]))
+        return F.array_compact(F.concat(*[of(n) for n in sizes]))
+    # bound once: a plain expression would be split again for each element
+    return F.get(F.transform(F.array(F.split(c, "")), runs), F.lit(0))
+
+
+def rarest_grams(needles: DataFrame, texts: DataFrame, text_col: str, needle_col: str, within: list[str], counted: int = COUNTED) -> tuple[DataFrame, list[int]]:
+    """Each needle with the one of its grams that occurs least in at most `counted` texts (those of smallest hash)."""
+    size = F.least(F.length(needle_col), F.lit(GRAM))
+    sizes = sorted(r[0] for r in needles.select(size.alias("s")).distinct().collect())  # at most GRAM values
+    of = F.when(F.length(needle_col) > GRAM, grams(F.col(needle_col), [GRAM])).otherwise(F.array(needle_col))
+    own = stage(needles.select(*within, needle_col, F.explode(F.array_distinct(of)).alias("_gram")))
+    if not sizes:
+        return own, [1]
+    some = texts.select(F.col(text_col).alias("_t")).orderBy(F.xxhash64("_t")).limit(counted)
+    seen = some.select(F.explode(grams(F.col("_t"), sizes)).alias("_gram")).join(own.select("_gram").distinct(), "_gram", "left_semi")
+    counts = seen.groupBy("_gram").agg(F.count("*").alias("_n"))
+    ranked = own.join(counts, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    least = ranked.groupBy(*within, needle_col).agg(F.min(F.struct("_n", "_gram")).alias("_m"))
+    return least.select(*within, needle_col, F.col("_m._gram").alias("_gram")), sizes
+
+
+def substring_pairs(texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_col: str, within: tuple[str, ...] = (), literal_limit: int = LITERAL_LIMIT) -> DataFrame:
+    """(id, needle) for every distinct needle (null and empty ones aside) that occurs in the text.
+
+    Few needles (checked, and no groups): one pass over the texts, needles as a literal array.  More, with the same result: each needle is
+    keyed by its rarest gram (up to three characters).  Texts state their grams, and row numbers meet needles by an equi join on
+    the keys; then each text meets its own candidates once, by its number, and they are verified.  Texts are never shuffled with their grams.
+    With `within`, columns of both sides, only needles of the same group are looked for, so work is linear in the groups; the result has these
+    columns as well.
     """
-    few = bounded_values(needles, needle_col, literal_limit)
+    within = list(within)
+    few = None if within else bounded_values(needles, needle_col, literal_limit)
     if few is not None:
-        arr = X.literal(few)
-        return texts.select(id_col, F.explode(F.filter(arr, lambda n: F.contains(F.col(text_col), n))).alias(needle_col))
-    n = needles.select(needle_col).where(F.length(needle_col) > 0).distinct()
-    own = F.when(F.length(needle_col) >= 3, _grams(F.col(needle_col), 3)).otherwise(F.array(needle_col))
-    n = n.withColumn("_gram", F.array_min(F.transform(own, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))).getField("g"))
-    grams = F.array_distinct(F.concat(_grams(F.col(text_col), 1), _grams(F.col(text_col), 2), _grams(F.col(text_col), 3)))
-    g = texts.select(id_col, text_col, F.explode(grams).alias("_gram"))
-    hit = g.join(n, "_gram").where(F.contains(text_col, needle_col))
-    return hit.select(id_col, needle_col)
+        return texts.select(id_col, F.explode(F.filter(X.literal(few), lambda n: F.contains(F.col(text_col), n))).alias(needle_col))
+    # read three times; a row number stands for the id, which may be a wide struct
+    rows = stage(texts.where(F.length(text_col) > 0).select(*within, id_col, text_col, F.monotonically_increasing_id().alias("_row")))
+    n = stage(needles.select(*within, needle_col).where(F.length(needle_col) > 0).distinct())
+    keyed, sizes = rarest_grams(n, rows, text_col, needle_col, within)
+    held = rows.select(*within, "_row", F.explode(grams(F.col(text_col), sizes)).alias("_gram"))
+    found = held.join(stage(keyed), [*within, "_gram"]).groupBy("_row").agg(F.collect_set(needle_col).alias("_set"))
+    return rows.join(found, "_row").select(*within, id_col, F.explode(F.filter("_set", lambda x: F.contains(F.col(text_col), x))).alias(needle_col))
 
 
 PLACE = ["template_id", "page_start", "clause_no"]

@@ -130,12 +130,32 @@ def test_evidence_search_against_brute_force(spark):
         assert got[tid] == pick, tid
 
 
-def test_substring_pairs_two_ways_agree(spark):
-    texts = spark.createDataFrame([(1, "第三条 付款 abc"), (2, "付"), (3, ""), (4, "xxabcxx 付款")], "id int, t string")
-    needles = spark.createDataFrame([("付款",), ("付",), ("abc",), ("zzz",), ("c 付",), ("条 付款 a",)], "n string")
-    a = V.substring_pairs(texts, "id", "t", needles, "n").collect()
-    b = V.substring_pairs(texts, "id", "t", needles, "n", literal_limit=0).collect()
-    assert sorted(a) == sorted(b) and len(a) == 8
+def test_substring_pairs_against_brute_force(spark):
+    import random
+    rng = random.Random(3)
+    words = lambda n: "".join(rng.choice("ab 付款条é\U0001F600") for _ in range(n))
+    texts = [(1, "第三条 付款 abc"), (2, "付"), (3, ""), (4, "xxabcxx 付款"), (5, None), (6, "a.b[c"), (7, "ab" * 30000)] + [(i, words(rng.randrange(40))) for i in range(10, 80)]
+    needles = ["付款", "付", "abc", "zzz", "c 付", "条 付款 a", "", None, ".b[", "abab" * 500] + [words(rng.randrange(1, 6)) for _ in range(120)]
+    t, n = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([(x,) for x in needles], "n string")
+    want = sorted((i, x) for i, s in texts if s for x in set(needles) if x and x in s)
+    for limit in (0, 1000):
+        assert sorted(tuple(r) for r in V.substring_pairs(t, "id", "t", n, "n", literal_limit=limit).collect()) == want and len(want) > 200
+
+
+def test_substring_pairs_inside_groups_look_for_own_needles_only(spark):
+    texts = [("g1", 1, "alpha beta"), ("g1", 2, "gamma"), ("g2", 1, "alpha gamma"), (None, 1, "alpha")]
+    needles = [("g1", "alpha"), ("g2", "gamma"), ("g2", "mm"), ("g3", "beta"), (None, "alpha")]
+    got = V.substring_pairs(spark.createDataFrame(texts, "g string, id int, t string"), "id", "t", spark.createDataFrame(needles, "g string, n string"), "n", ("g",)).collect()
+    assert sorted(tuple(r) for r in got) == [("g1", 1, "alpha"), ("g2", 1, "gamma"), ("g2", 1, "mm")]
+
+
+def test_needles_are_keyed_by_their_rarest_gram(spark):
+    texts = spark.createDataFrame([(i, "common words here" + (" rare" if i == 3 else "")) for i in range(9)], "id int, t string")
+    needles = spark.createDataFrame([("words here rare",), ("common",), ("absent words",)], "n string")
+    for counted in (9, 100):
+        keyed, sizes = V.rarest_grams(needles, texts, "t", "n", [], counted)
+        got = {r.n: r._gram for r in keyed.collect()}
+        assert sizes == [3] and set(got) == {"words here rare", "common", "absent words"} and got["words here rare"] in " rare" and got["absent words"] in "absent w"
 
 
 def test_policy_pool_fallback_against_brute_force(spark):
@@ -257,7 +277,8 @@ def test_empty_needles_match_nothing_on_either_path(spark):
     texts = spark.createDataFrame([(1, "abc"), (2, "")], "id int, t string")
     needles = spark.createDataFrame([("",), ("b",), (None,)], "n string")
     for limit in (256, 0):
-        assert [tuple(r) for r in V.substring_pairs(texts, "id", "t", needles, "n", limit).collect()] == [(1, "b")]
+        assert [tuple(r) for r in V.substring_pairs(texts, "id", "t", needles, "n", literal_limit=limit).collect()] == [(1, "b")]
+        assert V.substring_pairs(texts, "id", "t", needles.limit(0), "n", literal_limit=limit).count() == 0
 
 
 def test_indented_task_files_are_read(spark, tmp_path):
