@@ -230,6 +230,12 @@ def read_report(spark: SparkSession, path: str, contract_id: str, buckets: int =
     return spark.read.parquet(path).where((F.col("bucket") == want) & (F.col("contract_id") == contract_id)).drop("bucket")
 
 
+def read_reports(spark: SparkSession, path: str, wanted: DataFrame, buckets: int = 64) -> DataFrame:
+    """The reports of all wanted contracts (contract_id); only their buckets are read."""
+    ids = wanted.select("contract_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("contract_id"), F.lit(buckets)))
+    return spark.read.parquet(path).join(ids, ["bucket", "contract_id"], "left_semi").drop("bucket")
+
+
 def persist_tasks(tasks: DataFrame, path: str) -> None:
     tasks.write.mode("overwrite").json(path)
 

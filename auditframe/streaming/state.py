@@ -65,10 +65,14 @@ def stream_ingest(source: DataFrame, audit: Callable[[DataFrame], DataFrame], ou
     input whose audit gives no row is done as well and a batch looks only into
     the buckets of its hashes.  A batch that is retried writes its folder again
     and ignores its own ledger rows: each input gets exactly one result.
+
+    Last of all the batch is marked as finished; read_ingested() returns finished
+    batches only, so a reader never sees half a batch or one that is written anew.
     """
     ledger = ledger or f"{out.rstrip('/')}-ledger"
     rows = "hash string, epoch long, bucket int"
     source.sparkSession.createDataFrame([], rows).write.mode("ignore").partitionBy("bucket").parquet(ledger)
+    source.sparkSession.createDataFrame([], "epoch long").write.mode("ignore").parquet(f"{out.rstrip('/')}-finished/start")
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -77,34 +81,64 @@ def stream_ingest(source: DataFrame, audit: Callable[[DataFrame], DataFrame], ou
         fresh = fresh.join(done, (F.col("_bucket") == F.col("bucket")) & (F.col(hash_col) == F.col("hash")), "left_anti")
         audit(fresh.drop("_bucket")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         fresh.select(F.col(hash_col).alias("hash"), F.lit(epoch).cast("long").alias("epoch"), F.col("_bucket").alias("bucket")).write.mode("append").partitionBy("bucket").parquet(ledger)
+        spark.range(epoch, epoch + 1).select(F.col("id").alias("epoch")).coalesce(1).write.mode("overwrite").parquet(f"{out.rstrip('/')}-finished/{epoch}")
 
     w = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def read_ingested(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """Results of the finished batches of stream_ingest, with their epoch; none if no batch is finished."""
+    finished = spark.read.schema("epoch long").option("recursiveFileLookup", True).parquet(f"{out.rstrip('/')}-finished").distinct()
+    if finished.isEmpty():
+        return spark.createDataFrame([], f"{schema}, epoch long")
+    return spark.read.schema(f"{schema}, epoch long").parquet(out).join(finished, "epoch", "left_semi")
+
+
 def task_bucket(buckets: int):
     return F.pmod(F.xxhash64("task_id"), F.lit(buckets)).alias("bucket")
 
 
-def reaudit_edits(edits: DataFrame, recompute: Callable[[DataFrame], DataFrame], stage: str, out: str, checkpoint: str, buckets: int = 64, available_now: bool = True):
-    """Stream of field edits: only edited tasks are recomputed; their buckets are rewritten.
+def write_snapshot(rows: DataFrame, out: str, epoch: int, buckets: int, hit: DataFrame | None = None) -> None:
+    """Write rows as the contents of their buckets (those of ``hit``, by default all) from this epoch on.
+
+    New files first, the manifest that points to them last: until its one file is there, readers see the earlier contents, and a crash in
+    between leaves nothing that anyone reads.  Writing an epoch again replaces it.
+    """
+    spark = rows.sparkSession
+    rows.drop("bucket", "epoch").withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/data/epoch={epoch}")
+    hit = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")) if hit is None else hit.select(F.col("bucket").cast("int").alias("bucket")).distinct()
+    hit.withColumn("epoch", F.lit(epoch).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest/{epoch}")
+
+
+def read_snapshot(spark: SparkSession, out: str, schema: str, before: int | None = None) -> DataFrame:
+    """The latest contents of every bucket (or those before an epoch).  The manifest has a row for each bucket and epoch that touched it."""
+    manifest = spark.read.schema("bucket int, epoch long").option("recursiveFileLookup", True).parquet(f"{out}/manifest")
+    if before is not None:
+        manifest = manifest.where(F.col("epoch") < before)
+    current = manifest.groupBy("bucket").agg(F.max("epoch").alias("epoch"))
+    return spark.read.schema(f"{schema}, epoch long, bucket int").parquet(f"{out}/data").join(current, ["bucket", "epoch"], "left_semi").drop("epoch", "bucket")
+
 
-    ``recompute`` gets the edited rows and returns the new result rows of the
-    edited tasks.  Results live in ``out`` partitioned by bucket.  New bucket
-    contents are first written to ``stage`` and then swapped in by a dynamic
-    partition overwrite, so the job never overwrites what it is reading and a
-    repeated batch gives the same result.
+def reaudit_edits(edits: DataFrame, recompute: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, schema: str, buckets: int = 64, available_now: bool = True):
+    """Stream of field edits: only edited tasks are recomputed; their buckets get new contents.
+
+    ``recompute`` gets the edited rows and returns the new result rows of the edited tasks.  Results live in the snapshot ``out``, which
+    write_snapshot() starts (epoch 0; batch n is epoch n + 1) or which is empty before the first edit.  A batch reads the contents before
+    its own epoch, so a repeated batch gives the same result.
     """
+    spark = edits.sparkSession
+    spark.createDataFrame([], "bucket int, epoch long").write.mode("ignore").parquet(f"{out}/manifest/start")
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out}/data/epoch=-1/bucket=0")
+
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         tasks = batch.select("task_id").distinct()
-        old = spark.read.parquet(out)
         hit = tasks.select(task_bucket(buckets)).distinct()
         new = recompute(batch)
+        old = read_snapshot(spark, out, schema, epoch + 1).withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets)))
         keep = old.join(hit, "bucket", "left_semi").join(tasks, "task_id", "left_anti")
-        merged = keep.select(*new.columns, "bucket").unionByName(new.withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets))))
-        merged.write.mode("overwrite").parquet(f"{stage}/epoch={epoch}")
-        spark.read.parquet(f"{stage}/epoch={epoch}").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
+        write_snapshot(keep.select(*new.columns).unionByName(new), out, epoch + 1, buckets, hit)
 
     w = edits.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()

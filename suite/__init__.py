@@ -4,7 +4,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-for _m in ["text", "sources", "structure", "clauses", "retrieval", "vectors", "compare", "rules", "issues", "registry_ops", "runs", "metrics", "state", "jobs"]:
+for _m in ["text", "sources", "structure", "clauses", "retrieval", "vectors", "compare", "rules", "issues", "registry_ops", "runs", "metrics", "state", "streams", "jobs"]:
     try:
         importlib.import_module(f".{_m}", __name__)
     except ModuleNotFoundError as e:

@@ -32,16 +32,55 @@ def test_ingest_each_hash_once(spark, tmp_path):
     assert sorted(r.file_hash for r in spark.read.parquet(out).collect()) == ["h1", "h2", "h3"]
 
 
-def test_reaudit_rewrites_only_edited_tasks(spark, tmp_path):
+def test_readers_see_finished_batches_only(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    spark.createDataFrame([("h1", "abc")], "file_hash string, text string").write.parquet(str(src))
+    stream = spark.readStream.schema("file_hash string, text string").parquet(str(src))
+    S.stream_ingest(stream, lambda d: d, out, str(tmp_path / "cp")).awaitTermination()
+    # a batch that is written but not marked
+    spark.createDataFrame([("h9", "half")], "file_hash string, text string").write.parquet(f"{out}/epoch=7")
+    assert [(r.file_hash, r.epoch) for r in S.read_ingested(spark, out, "file_hash string, text string").collect()] == [("h1", 0)]
+
+
+TASKS = "task_id string, v string"
+
+
+def edit_stream(spark, path, rows):
+    spark.createDataFrame(rows, "task_id string, e string").coalesce(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema("task_id string, e string").option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_reaudit_gives_new_contents_to_edited_tasks_only(spark, tmp_path):
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    S.write_snapshot(spark.createDataFrame([(f"t{i}", "old") for i in range(20)], TASKS), out, 0, 4)
+    again = lambda d: d.select("task_id", F.col("e").alias("v"))
+    S.reaudit_edits(edit_stream(spark, tmp_path / "edits", [("t3", "x"), ("t9", "y")]), again, out, cp, TASKS, 4).awaitTermination()
+    S.reaudit_edits(edit_stream(spark, tmp_path / "edits", [("t3", "z"), ("new", "n")]), again, out, cp, TASKS, 4).awaitTermination()
+    got = {r.task_id: r.v for r in S.read_snapshot(spark, out, TASKS).collect()}
+    assert len(got) == 21 and (got["t3"], got["t9"], got["new"], got["t4"]) == ("z", "y", "n", "old")
+    # contents of another epoch, as a crash before its manifest leaves them, are not read, nor do they hinder the batch when it is repeated
+    spark.createDataFrame([("t4", "lost")], TASKS).withColumn("bucket", F.lit(1)).write.partitionBy("bucket").parquet(f"{out}/data/epoch=3")
+    assert {r.task_id: r.v for r in S.read_snapshot(spark, out, TASKS).collect()} == got
+    S.reaudit_edits(edit_stream(spark, tmp_path / "edits", [("t5", "w")]), again, out, cp, TASKS, 4).awaitTermination()
+    assert {r.task_id: r.v for r in S.read_snapshot(spark, out, TASKS).collect()} == {**got, "t5": "w"}
+
+
+def test_reaudit_starts_from_an_empty_snapshot(spark, tmp_path):
     out = str(tmp_path / "out")
-    base = spark.createDataFrame([(f"t{i}", "old") for i in range(20)], "task_id string, v string")
-    base.select("*", S.task_bucket(4)).write.partitionBy("bucket").parquet(out)
-    edits = tmp_path / "edits"
-    spark.createDataFrame([("t3", "x"), ("t9", "y")], "task_id string, e string").coalesce(1).write.parquet(str(edits))
-    stream = spark.readStream.schema("task_id string, e string").parquet(str(edits))
-    S.reaudit_edits(stream, lambda d: d.select("task_id", F.col("e").alias("v")), str(tmp_path / "stage"), out, str(tmp_path / "cp"), 4).awaitTermination()
-    got = {r.task_id: r.v for r in spark.read.parquet(out).collect()}
-    assert len(got) == 20 and got["t3"] == "x" and got["t9"] == "y" and got["t4"] == "old"
+    S.reaudit_edits(edit_stream(spark, tmp_path / "edits", [("t1", "a")]), lambda d: d.select("task_id", F.col("e").alias("v")), out, str(tmp_path / "cp"), TASKS, 4).awaitTermination()
+    assert [tuple(r) for r in S.read_snapshot(spark, out, TASKS).collect()] == [("t1", "a")]
+
+
+def test_reports_are_read_by_bucket(spark, tmp_path):
+    from auditframe.sources import tables as T
+    path = str(tmp_path / "reports")
+    T.write_reports(spark.createDataFrame([(f"c{i}", i) for i in range(200)], "contract_id string, n long"), path, 8)
+    one = T.read_report(spark, path, "c7", 8)
+    assert [tuple(r) for r in one.collect()] == [("c7", 7)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and plan.count("bucket=") <= 1
+    some = T.read_reports(spark, path, spark.createDataFrame([("c1",), ("c9",), ("c9",), ("none",), (None,)], "contract_id string"), 8)
+    assert sorted(tuple(r) for r in some.collect()) == [("c1", 1), ("c9", 9)]
 
 
 def test_an_input_without_rows_is_audited_once(spark, tmp_path):
