@@ -261,7 +261,7 @@ def _cut(c, n: int | None) -> Column:
 
 def contract_profile(categories: DataFrame, fields: DataFrame, clauses: DataFrame, n_clauses: int | None = None, chars: int | None = None) -> DataFrame:
     """Text profile of a contract: category, subject, payment, clauses (all, or the leading ones)."""
-    c = _leading(clauses, n_clauses, ["sort_order"], order_chunk())
+    c = clauses.withColumn("_p", F.col("sort_order")) if n_clauses is None else _leading(clauses, n_clauses, ["sort_order"], order_chunk())
     line = F.concat(F.lit("- "), "title", F.lit(": "), _cut(F.coalesce(F.nullif("summary", F.lit("")), F.col("raw_text")), chars))
     lines = c.groupBy("task_id").agg(O.joined_list(line, ["_p"], "\n").alias("lines"))
     get = lambda k: F.coalesce(F.nullif(F.try_element_at("fields", F.lit(k)), F.lit("")), F.lit("未提取"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,12 +61,27 @@ def rarest_grams(needles: DataFrame, texts: DataFrame, text_col: str, needle_col
     return least.select(*within, needle_col, F.col("_m._gram").alias("_gram")), sizes
 
 
+def words_holding(texts: DataFrame, row_col: str, text_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
+    """(row, needle) for needles without blanks: such a needle lies inside one word of a text.
+
+    The words of all texts form a vocabulary; needles are looked for in its distinct words only, keyed by their rarest gram, and the
+    (word, needle) pairs found lead back to the rows by an equi join on the word.
+    """
+    words = texts.select(row_col, F.explode(F.array_distinct(F.split(text_col, f"[{X.WS}]+"))).alias("_word"))
+    vocabulary = stage(words.select("_word").where(F.length("_word") > 0).distinct())
+    keyed, sizes = rarest_grams(needles, vocabulary, "_word", needle_col, [])
+    held = vocabulary.select("_word", F.explode(F.array_distinct(grams(F.col("_word"), sizes))).alias("_gram"))
+    hits = held.join(stage(keyed), "_gram").where(F.contains("_word", needle_col)).select("_word", needle_col)
+    return words.join(stage(hits), "_word").select(row_col, needle_col)
+
+
 def substring_pairs(texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_col: str, within: tuple[str, ...] = (), literal_limit: int = LITERAL_LIMIT) -> DataFrame:
     """(id, needle) for every distinct needle (null and empty ones aside) that occurs in the text.
 
-    Few needles (checked, and no groups): one pass over the texts, needles as a literal array.  More, with the same result: each needle is
-    keyed by its rarest gram (up to three characters).  Texts state their grams, and row numbers meet needles by an equi join on
-    the keys; then each text meets its own candidates once, by its number, and they are verified.  Texts are never shuffled with their grams.
+    Few needles (checked, and no groups): one pass over the texts, needles as a literal array.  More, with the same result: needles without
+    blanks are looked for in the distinct words (words_holding).  The others are keyed by their rarest gram (up to three characters); texts
+    state their grams, and row numbers meet needles by an equi join on the keys; then each text meets its own candidates once, by its
+    number, and they are verified.  Texts are never shuffled with their grams.
     With `within`, columns of both sides, only needles of the same group are looked for, so work is linear in the groups; the result has these
     columns as well.
     """
@@ -77,9 +92,17 @@ def substring_pairs(texts: DataFrame, id_col: str, text_col: str, needles: DataF
     # read three times; a row number stands for the id, which may be a wide struct
     rows = stage(texts.where(F.length(text_col) > 0).select(*within, id_col, text_col, F.monotonically_increasing_id().alias("_row")))
     n = stage(needles.select(*within, needle_col).where(F.length(needle_col) > 0).distinct())
-    keyed, sizes = rarest_grams(n, rows, text_col, needle_col, within)
-    held = rows.select(*within, "_row", F.explode(grams(F.col(text_col), sizes)).alias("_gram"))
-    found = held.join(stage(keyed), [*within, "_gram"]).groupBy("_row").agg(F.collect_set(needle_col).alias("_set"))
+    found = None
+    if not within:
+        blank = F.rlike(F.col(needle_col), F.lit(f"[{X.WS}]"))
+        found = words_holding(rows, "_row", text_col, n.where(~blank), needle_col)
+        n = n.where(blank)
+    if within or not n.isEmpty():
+        keyed, sizes = rarest_grams(n, rows, text_col, needle_col, within)
+        held = rows.select(*within, "_row", F.explode(grams(F.col(text_col), sizes)).alias("_gram"))
+        pairs = held.join(stage(keyed), [*within, "_gram"]).select("_row", needle_col)
+        found = pairs if found is None else found.unionByName(pairs)
+    found = found.groupBy("_row").agg(F.collect_set(needle_col).alias("_set"))
     return rows.join(found, "_row").select(*within, id_col, F.explode(F.filter("_set", lambda x: F.contains(F.col(text_col), x))).alias(needle_col))
 
 
@@ -178,30 +201,92 @@ def contract_signatures(schema: DataFrame) -> DataFrame:
     return s.withColumn("signature", F.sha2(F.concat_ws("\x1f", "category", F.array_join("keywords", "\x1e"), F.array_join("flags", "\x1e")), 256))
 
 
-def template_candidates(signatures: DataFrame, kb: DataFrame, day: int) -> DataFrame:
-    """Score of every template per signature: 3 per clause of a fitting category, 1 per keyword contained in a clause.
+def template_lists(sig: DataFrame, kb: DataFrame, day: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What scores are made of: words (signature, keyword, times), hits (template_id, keyword, n), fit (template_id, category, n)
+    and info (template_id and its names).
 
-    Keyword hits are counted once per template, then joined by keyword; the
-    category part uses the distinct category names.  Work grows with distinct
+    Keyword hits are counted once per template, the category part uses the distinct category names: work grows with distinct
     signatures, not with contracts.
     """
     t = effective_on(kb, day).where((F.col("doc_type") == "template") & F.col("template_id").isNotNull())
-    sig = stage(signatures.select("signature", "category", "keywords", "flags").distinct())  # read several times
     words = sig.select("signature", F.explode("keywords").alias("keyword")).groupBy("signature", "keyword").agg(F.count(F.lit(1)).alias("times"))
     hay = t.select(F.struct("template_id", "clause_id").alias("k"), X.joined("title", "content").alias("hay"))
     hits = substring_pairs(hay, "k", "hay", words, "keyword").groupBy(F.col("k.template_id").alias("template_id"), "keyword").agg(F.count(F.lit(1)).alias("n"))
-    by_word = hits.join(words, "keyword").select("signature", "template_id", (F.col("n") * F.col("times")).cast("double").alias("s"))
     names = F.struct("template_name", "category_lv1", "category_lv2")
     info = t.groupBy("template_id").agg(F.min_by(names, _place(t)).alias("i")).select("template_id", "i.*")
     cats = t.groupBy("template_id", F.coalesce("category_lv1", F.lit("")).alias("l1"), F.coalesce("category_lv2", F.lit("")).alias("l2")).agg(F.count(F.lit(1)).alias("n"))
     names = sig.select("category").where(F.col("category") != "").distinct()
     pairs = substring_pairs(cats.select(F.struct("l1", "l2").alias("c"), F.concat_ws("\x1f", "l1", "l2").alias("hay")).distinct(), "c", "hay", names, "category")
     fit = cats.join(pairs.select("c.l1", "c.l2", "category"), ["l1", "l2"]).groupBy("category", "template_id").agg(F.sum("n").alias("n"))
+    return words, hits, fit, info
+
+
+def template_candidates(signatures: DataFrame, kb: DataFrame, day: int) -> DataFrame:
+    """Score of every template per signature: 3 per clause of a fitting category, 1 per keyword contained in a clause."""
+    sig = stage(signatures.select("signature", "category", "keywords", "flags").distinct())  # read several times
+    words, hits, fit, info = template_lists(sig, kb, day)
+    by_word = hits.join(words, "keyword").select("signature", "template_id", (F.col("n") * F.col("times")).cast("double").alias("s"))
     by_cat = fit.join(sig.select("signature", "category"), "category").select("signature", "template_id", (F.col("n") * 3.0).alias("s"))
     total = by_word.unionByName(by_cat).groupBy("signature", "template_id").agg(F.sum("s").alias("score"))
     return total.join(info, "template_id")
 
 
+NAMES = ["template_name", "category_lv1", "category_lv2"]
+#: Levels of template strength for each doubling; they decide which templates share a block, never the result.
+LEVELS = 4
+
+
+def template_blocks(hits: DataFrame, fit: DataFrame, info: DataFrame) -> DataFrame:
+    """template_id, block: templates of the same names (so with equal adjustments) and about the same strength (sum of all their list entries)."""
+    power = hits.select("template_id", "n").unionByName(fit.select("template_id", "n")).groupBy("template_id").agg(F.sum("n").alias("w"))
+    level = F.floor(F.log2(F.col("w").cast("double")) * LEVELS).cast("string")
+    return power.join(info, "template_id").select("template_id", F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in NAMES], level).alias("block"), *NAMES)
+
+
+def block_bounds(sig: DataFrame, words: DataFrame, hits: DataFrame, fit: DataFrame, names: DataFrame, table=P.TEMPLATE_ADJUSTMENTS) -> DataFrame:
+    """signature, block, bound (no rescored template of the block is above it), least (at least so many are candidates).
+
+    hits and fit carry the block; a block's part of a list is summed up by its maximum and its length.
+    """
+    top = lambda df, key: df.groupBy("block", key).agg(F.max("n").alias("m"), F.count(F.lit(1)).alias("least"))
+    by_word = top(hits, "keyword").join(words, "keyword").select("signature", "block", (F.col("m") * F.col("times")).cast("double").alias("score"), "least")
+    by_cat = top(fit, "category").join(sig.select("signature", "category"), "category").select("signature", "block", (F.col("m") * 3.0).alias("score"), "least")
+    sums = by_word.unionByName(by_cat).groupBy("signature", "block").agg(F.sum("score").alias("score"), F.max("least").alias("least"))
+    return template_rescore(sums.join(names, "block"), sig, table).select("signature", "block", F.col("score").alias("bound"), "least")
+
+
+def template_topk(signatures: DataFrame, kb: DataFrame, day: int, k: int = 5, table=P.TEMPLATE_ADJUSTMENTS) -> DataFrame:
+    """The k best rows of template_rescore(template_candidates()) per signature (score, then template_id), without writing that table.
+
+    A threshold search over the lists of template_lists(), whose templates lie in blocks of equal names and like strength.  Each signature
+    first visits its blocks of highest bound until they hold k candidates for certain; the k-th best score found there is its floor, and
+    of the other blocks only those whose bound reaches the floor are visited.  Nothing else can be among the k best, ties included.
+    """
+    sig = stage(signatures.select("signature", "category", "keywords", "flags").distinct())
+    words, hits, fit, info = template_lists(sig, kb, day)
+    words, hits, fit = stage(words), stage(hits), stage(fit)
+    blocks = stage(template_blocks(hits, fit, info))
+    hits, fit = [stage(df.join(blocks.select("template_id", "block"), "template_id")) for df in (hits, fit)]
+    names = blocks.groupBy("block").agg(*[F.min(c).alias(c) for c in NAMES])
+    bounds = stage(block_bounds(sig, words, hits, fit, names, table))
+
+    def best(visits: DataFrame) -> DataFrame:
+        by_word = visits.join(words, "signature").join(hits, ["block", "keyword"]).select("signature", "template_id", (F.col("n") * F.col("times")).cast("double").alias("s"))
+        by_cat = visits.join(sig.select("signature", "category"), "signature").join(fit, ["block", "category"]).select("signature", "template_id", (F.col("n") * 3.0).alias("s"))
+        total = by_word.unionByName(by_cat).groupBy("signature", "template_id").agg(F.sum("s").alias("score"))
+        scored = template_rescore(total.join(blocks.select("template_id", *NAMES), "template_id"), sig, table)
+        return O.top_k(scored, ["signature"], [F.desc("score"), F.col("template_id")], k)
+
+    # a signature's blocks are few (names x levels), so one window may hold them
+    before = Window.partitionBy("signature").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    order = bounds.withColumn("_have", F.coalesce(F.sum("least").over(before), F.lit(0)))
+    first = stage(best(order.where(F.col("_have") < k).select("signature", "block")))
+    floor = first.where(F.col("rank") == k).select("signature", F.col("score").alias("_floor"))
+    rest = order.where(F.col("_have") >= k).join(floor, "signature").where(F.col("bound") >= F.col("_floor")).select("signature", "block")
+    both = first.unionByName(best(rest)).drop("rank")
+    return O.top_k(both, ["signature"], [F.desc("score"), F.col("template_id")], k).drop("rank")
+
+
 def profile_flags(profiles: DataFrame, words: dict = P.PROFILE_WORDS) -> DataFrame:
     return profiles.select("task_id", X.all_keys("profile", words).alias("flags"))
 
@@ -291,12 +376,38 @@ def usage_profile(clauses: DataFrame, variant: str = "registry", n_title: int |
 # --- policy and template basis ----------------------------------------------
 
 
+RICH = 64
+
+
+def shared_letters_topk(sets: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """set, sig, c: per set of characters the k signatures that share most of them (at least two), equal counts by first_id.
+
+    sets: set (sorted distinct characters); texts: sig (distinct characters as a string), first_id, one row a signature.
+    Prefix filter: the k-th best overlap with the RICH signatures of most characters is a floor of each set.  A signature that reaches
+    it holds one of the set's (size - floor + 1) rarest characters, so only their postings are joined, by row numbers; the overlap is
+    then counted on the candidates.
+    """
+    sigs = stage(texts.select("sig", "first_id", F.monotonically_increasing_id().alias("_s")))
+    rich = [r[0] for r in sigs.orderBy(F.desc(F.length("sig")), "sig").select("sig").limit(RICH).collect()]
+    overlap = F.transform(X.literal(rich or [""]), lambda s: F.size(F.filter("set", lambda c: F.contains(s, c))))
+    floor = F.greatest(F.coalesce(F.get(F.sort_array(overlap, asc=False), F.lit(k - 1)), F.lit(0)), F.lit(2))
+    sets = stage(sets.select("set").distinct().withColumn("floor", floor).withColumn("_q", F.monotonically_increasing_id()))
+    letters = sets.select("_q", F.explode("set").alias("ch"))
+    postings = sigs.select("_s", F.explode(F.split("sig", "")).alias("ch"))
+    counts = postings.join(letters.select("ch").distinct(), "ch", "left_semi").groupBy("ch").agg(F.count(F.lit(1)).alias("f"))
+    rarest = letters.join(counts, "ch", "left").groupBy("_q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "ch"))).alias("by_f"))
+    prefix = rarest.join(sets, "_q").select("_q", F.explode(F.slice("by_f", F.lit(1), F.greatest(F.size("by_f") - F.col("floor") + 1, F.lit(0)))).alias("p"))
+    pairs = prefix.select("_q", F.col("p.ch").alias("ch")).join(postings, "ch").select("_q", "_s").distinct()
+    held = F.size(F.filter("set", lambda c: F.contains(F.col("sig"), c)))
+    scored = pairs.join(sets, "_q").join(sigs, "_s").select("set", "sig", "first_id", "floor", held.alias("c")).where(F.col("c") >= F.col("floor"))
+    return O.top_k(scored, ["set"], [F.desc("c"), F.col("first_id")], k, "_g").select("set", "sig", "c")
+
+
 def policy_pool_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
     """Top clauses per distinct query: 5 for the whole query, 1 per term; shared characters where neither occurs.
 
-    Shared characters can only matter when the k-th direct score is at most 1,
-    so only those queries enter the character join.  There, clauses with the
-    same relevant characters score alike and are handled as one group.
+    Shared characters can only matter when the k-th direct score is at most 1, so only those queries are searched by characters.  There,
+    queries of the same characters are one set, and clauses with the same relevant characters score alike and are one signature.
     """
     q = stage(queries.select("query").where(F.col("query") != "").distinct())  # read several times
     norm = F.translate("query", "，。/", "   ")
@@ -308,17 +419,16 @@ def policy_pool_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFra
     lead = O.top_k(direct, ["query"], [F.desc("score"), F.col("k")], k)
     sure = lead.where((F.col("rank") == k) & (F.col("score") > 1)).select("query")
     open_q = q.join(sure, "query", "left_anti")
-    chars = open_q.select("query", F.length("query").alias("n"), F.explode(F.array_distinct(F.filter(F.split("query", ""), lambda c: ~F.rlike(c, F.lit(f"^[{X.WS}]*$"))))).alias("ch"))
-    alphabet = bounded_values(chars, "ch", 20000)
+    letters = F.array_sort(F.array_distinct(F.filter(F.split("query", ""), lambda c: ~F.rlike(c, F.lit(f"^[{X.WS}]*$")))))
+    open_q = stage(open_q.select("query", F.length("query").alias("n"), letters.alias("set")))
+    alphabet = bounded_values(open_q.select(F.explode("set").alias("ch")), "ch", 20000)
     own = F.array_distinct(F.split("hay", ""))
     if alphabet is not None:
         own = F.array_intersect(own, X.literal(alphabet))
-    sig = texts.select("k", F.array_join(F.array_sort(own), "").alias("sig"))
-    sigs = sig.groupBy("sig").agg(F.min("k").alias("first_id"))
-    shared = sigs.select("sig", "first_id", F.explode(F.split("sig", "")).alias("ch")).join(chars, "ch").groupBy("query", "sig", "first_id", "n").agg(F.count(F.lit(1)).alias("c"))
-    shared = shared.where(F.col("c") >= 2).select("query", "sig", "first_id", (F.col("c") / F.col("n")).alias("score"))
+    sig = stage(texts.select("k", F.array_join(F.array_sort(own), "").alias("sig")))
     # a direct hit scores at least 1 and characters at most 1, so the best 2k clauses by characters are enough
-    groups = O.top_k(shared, ["query"], [F.desc("score"), F.col("first_id")], 2 * k, "_g").select("query", "sig", "score")
+    groups = shared_letters_topk(open_q, sig.groupBy("sig").agg(F.min("k").alias("first_id")), 2 * k)
+    groups = groups.join(open_q, "set").select("query", "sig", (F.col("c") / F.col("n")).alias("score"))
     fuzzy = groups.join(O.top_k(sig, ["sig"], ["k"], 2 * k, "_r"), "sig").select("query", "k", "score")
     allc = lead.select("query", "k", "score").unionByName(fuzzy).groupBy("query", "k").agg(F.max("score").alias("score"))
     return O.top_k(allc, ["query"], [F.desc("score"), F.col("k")], k).select("query", "k.clause_id", "score", "rank")

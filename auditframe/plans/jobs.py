@@ -53,7 +53,7 @@ def review_corpus(tasks: DataFrame, sections: DataFrame, clauses: DataFrame, fac
     titles = clauses.groupBy("task_id").agg(F.array_sort(F.collect_list("title")).alias("keywords"))
     flags = V.profile_flags(C.contract_profile(categories, fields, clauses))
     sig = stage(V.contract_signatures(categories.select("task_id", "category").join(titles, "task_id", "left").join(flags, "task_id").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))))
-    matched = stage(V.template_match(sig, V.template_rescore(V.template_candidates(sig, kb, day), sig)))
+    matched = stage(V.template_match(sig, V.template_topk(sig, kb, day)))
     templates = kb.where(F.col("template_id").isNotNull())
     match = stage(K.best_clause_match(clauses, templates, matched))
     missing, weakened = K.missing_clauses(match), K.weakened_clauses(match)

@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from auditframe import params as P
 from auditframe.functions import text as X
+from auditframe.operators import clauses as C
 from auditframe.operators import retrieval as V
 from auditframe.plans import bridge as B
+from auditframe.session import stage
 
 from . import sqlkit as S
-from .clauses import HAY, PROFILE, classified, profile
+from .clauses import HAY, PROFILE, classified, schema
 from .registry import query
 from .sqlkit import DAY
 
@@ -97,8 +99,11 @@ SIG = f"""{PROFILE}, kw AS (SELECT task_id, list(title ORDER BY title) AS keywor
 
 @B.memo
 def signatures(spark, sf):
+    categories = stage(classified(spark, sf))  # read twice
+    fields = C.schema_fields(schema(spark, sf), B.documents(spark, sf))
+    flags = V.profile_flags(C.contract_profile(categories, fields, B.clauses(spark, sf)))
     kw = B.clauses(spark, sf).groupBy("task_id").agg(F.array_sort(F.collect_list("title")).alias("keywords"))
-    s = classified(spark, sf).select("task_id", "category").join(kw, "task_id", "left").join(V.profile_flags(profile(spark, sf)), "task_id")
+    s = categories.select("task_id", "category").join(kw, "task_id", "left").join(flags, "task_id")
     return V.contract_signatures(s.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))))
 
 
@@ -141,11 +146,12 @@ MATCH = f"""{RESC}, t5 AS (SELECT *, row_number() OVER (PARTITION BY signature O
 
 @B.memo
 def matches(spark, sf):
-    s, r = rescored(spark, sf)
+    s = stage(signatures(spark, sf))
+    kb = stage(B.kb_clauses(spark, sf).where(F.col("template_id").isNotNull()).drop("clause_type", "core_label"))  # read several times
     lab = B.load(spark, sf, "labels")
     manual = lab.where("quality = 0").select(F.concat(F.lit("task_"), "doc_id").alias("task_id"), F.concat(F.lit("tpl_"), "doc_id").alias("template_id"))
     choice = lab.select(F.concat(F.lit("task_"), "doc_id").alias("task_id"), F.concat(F.lit("tpl_"), F.col("doc_id") + 1).alias("template_id"), F.when(F.col("toxic") == 1, 0.5).otherwise(0.8).alias("confidence"), F.lit("").alias("reason"))
-    return V.template_match(s, r, manual, choice, B.kb_clauses(spark, sf).where(F.col("template_id").isNotNull()))
+    return V.template_match(s, V.template_topk(s, kb, DAY), manual, choice, kb)
 
 
 @query("template_match", f"WITH {MATCH} SELECT * FROM mt")

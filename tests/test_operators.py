@@ -158,6 +158,87 @@ def test_needles_are_keyed_by_their_rarest_gram(spark):
         assert sizes == [3] and set(got) == {"words here rare", "common", "absent words"} and got["words here rare"] in " rare" and got["absent words"] in "absent w"
 
 
+def test_needles_with_and_without_blanks_take_both_ways(spark):
+    texts = spark.createDataFrame([(1, "pay within\u3000thirty days"), (2, "prepayment thirty  days"), (3, "  "), (4, "thirty days thirty")], "id int, t string")
+    needles = ["pay", "thirty days", "irty", "\u3000", " ", "days thirty", "y w", "none"]
+    n = spark.createDataFrame([(x,) for x in needles], "n string")
+    rows = [(r.id, r.t) for r in texts.collect()]
+    for some in (needles, ["pay", "irty"], ["thirty days", " "]):
+        got = V.substring_pairs(texts, "id", "t", n.where(F.col("n").isin(some)), "n", literal_limit=0).collect()
+        assert sorted(tuple(r) for r in got) == sorted((i, x) for i, t in rows for x in some if x in t)
+
+
+def template_case(spark, seed, n_templates, n_signatures):
+    """Templates of few clauses and of many, with equal scores on purpose, and signatures of repeated keywords."""
+    rng = random.Random(seed)
+    words = ["付款", "验收", "保密", "违约", "数据", "交付"]
+    names = ["技术服务合同", "第三方审计合同", "工程勘察合同", "检测委托合同", None]
+    kb = []
+    for t in range(n_templates):
+        name, lv1 = names[t % 5], ["服务合同类", "买卖合同类", "通用合同类"][t % 3]
+        for i in range(rng.choice([1, 1, 2, 3, 12])):
+            kb.append((f"t{t:03}", f"t{t:03}_{i}", rng.choice(words), " ".join(rng.sample(words, rng.randrange(3))), name, lv1, "工程勘察设计合同" if t % 4 == 0 else None, "template", "active", 0, 99, i, str(i)))
+    cols = "template_id string, clause_id string, title string, content string, template_name string, category_lv1 string, category_lv2 string, doc_type string, status string, effective_ts long, abolish_ts long, page_start int, clause_no string"
+    flags = ["technical", "survey", "audit", "detection", "engineering"]
+    tasks = [(f"c{i}", rng.choice(["服务合同类", "买卖合同类", "无此类", ""]), [rng.choice([*words, "罕见", ""]) for _ in range(rng.randrange(5))], rng.sample(flags, rng.randrange(4))) for i in range(n_signatures)]
+    live = V.P.LIVE_STATUSES[0]
+    kb = spark.createDataFrame(kb, cols).withColumn("status", F.lit(live))
+    return V.contract_signatures(spark.createDataFrame(tasks, "task_id string, category string, keywords array<string>, flags array<string>")), kb
+
+
+def test_template_topk_is_the_head_of_all_rescored_candidates(spark):
+    for seed, n, k in ((1, 60, 5), (2, 7, 5), (3, 40, 1)):
+        sig, kb = template_case(spark, seed, n, 25)
+        every = V.template_rescore(V.template_candidates(sig, kb, 5), sig)
+        cols = sorted(every.columns)
+        want = {}
+        for r in every.select(*cols).collect():
+            want.setdefault(r.signature, []).append(r)
+        want = {s: sorted(rows, key=lambda r: (-r.score, r.template_id))[:k] for s, rows in want.items()}
+        got = V.template_topk(sig, kb, 5, k)
+        assert sorted(got.columns) == cols and len(want) > 10
+        assert sorted(got.select(*cols).collect(), key=str) == sorted((r for rows in want.values() for r in rows), key=str)
+
+
+def test_template_bounds_hold_and_skip_blocks(spark):
+    sig, kb = template_case(spark, 4, 200, 20)
+    one = sig.select("signature", "category", "keywords", "flags").distinct()
+    words, hits, fit, info = V.template_lists(one, kb, 5)
+    blocks = V.template_blocks(hits, fit, info)
+    in_block = blocks.select("template_id", "block")
+    names = blocks.groupBy("block").agg(*[F.min(c).alias(c) for c in V.NAMES])
+    bounds = V.block_bounds(one, words, hits.join(in_block, "template_id"), fit.join(in_block, "template_id"), names)
+    every = V.template_rescore(V.template_candidates(sig, kb, 5), sig).join(in_block, "template_id")
+    real = every.groupBy("signature", "block").agg(F.max("score").alias("best"), F.count("*").alias("n"))
+    both = bounds.join(real, ["signature", "block"], "full").collect()
+    assert all(r.best is not None and r.bound is not None and r.best <= r.bound and r.least <= r.n for r in both)
+    fifth = {s: sorted((r.score for r in every.collect() if r.signature == s), reverse=True)[4] for s in {r.signature for r in both}}
+    visited = sum(r.n for r in both if r.bound >= fifth[r.signature])
+    assert visited < 0.5 * sum(r.n for r in both)
+
+
+def test_template_topk_without_templates_or_signatures(spark):
+    sig, kb = template_case(spark, 5, 6, 6)
+    assert V.template_topk(sig, kb.limit(0), 5).count() == 0 and V.template_topk(sig.limit(0), kb, 5).count() == 0
+    assert V.template_topk(sig, kb, 1000).count() == 0
+
+
+def test_shared_letters_search_against_brute_force(spark):
+    rng = random.Random(8)
+    letter = lambda: chr(97 + min(int(rng.expovariate(0.2)), 25))
+    sigs = sorted({"".join(sorted({letter() for _ in range(rng.randrange(1, 14))})) for _ in range(300)})
+    sets = [sorted({letter() for _ in range(rng.randrange(1, 12))}) for _ in range(40)] + [["q"], [], ["0", "1"]]
+    texts = spark.createDataFrame([(s, i) for i, s in enumerate(sigs)], "sig string, first_id int")
+    got = V.shared_letters_topk(spark.createDataFrame([(s,) for s in sets], "set array<string>"), texts, 4)
+    want = set()
+    for s in {tuple(x) for x in sets}:
+        scored = sorted((-len(set(s) & set(g)), i, g) for i, g in enumerate(sigs))
+        want |= {("".join(s), g, -c) for c, i, g in scored[:4] if -c >= 2}
+    assert {("".join(r.set), r.sig, r.c) for r in got.collect()} == want and len(want) > 100
+    assert V.shared_letters_topk(spark.createDataFrame([], "set array<string>"), texts, 4).count() == 0
+    assert V.shared_letters_topk(spark.createDataFrame([(["a", "b"],)], "set array<string>"), texts.limit(0), 4).count() == 0
+
+
 def test_policy_pool_fallback_against_brute_force(spark):
     pool = [(f"c{i}", t, b) for i, (t, b) in enumerate([("付款", "按期支付"), ("验收", "标准 期限"), ("保密", "内容"), ("支付", "期限与标准"), ("x", "付 期")])]
     p = spark.createDataFrame(pool, "clause_id string, title string, content string")
