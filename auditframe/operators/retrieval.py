@@ -128,7 +128,7 @@ def lexical_topk(kb: DataFrame, queries: DataFrame, k: int, day: int | None = No
             kb = kb.where(F.col(name) == v)
     if day is not None:
         kb = effective_on(kb, day)
-    terms = query_terms(queries)
+    terms = stage(query_terms(queries))  # read several times
     texts = kb.select(_place(kb).alias("k"), X.joined("title", "content").alias("hay"))
     pairs = substring_pairs(texts, "k", "hay", terms, "term")
     scored = pairs.join(terms, "term").groupBy("query_id", "k").agg(F.sum("weight").alias("score"))

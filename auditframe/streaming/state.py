@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from .. import params as P
 
@@ -55,6 +57,86 @@ def task_state_stream(events: DataFrame, sink: Callable[[DataFrame, int], None],
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+#: A task in one of these states gets no more events, as a rule.
+FINISHED = ("completed", "failed")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+class LatestFields(StatefulProcessor):
+    """fold() with a state that ends: the latest value of each field, kept until ``retention_ms`` after the key has finished.
+
+    The state of a key is one row (each field with the position of its event, the number of events); a key sets a timer when it finishes
+    and takes it back when it is opened again before.
+    """
+
+    def __init__(self, key: str, fields: list, order: list, finished: tuple, retention_ms: int):
+        self.key, self.fields, self.order, self.finished, self.retention = key, fields, order, finished, retention_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        at = [T.StructField(f"{f.name}_{o.name}", o.dataType) for f in self.fields for o in self.order]
+        self.schema = T.StructType([*self.fields, *at, *[T.StructField(f"last_{o.name}", o.dataType) for o in self.order], T.StructField("n_events", T.LongType())])
+        self.state = handle.getValueState("latest", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        old = self.state.get()
+        kept = dict(zip(self.schema.names, old)) if old is not None else dict.fromkeys(self.schema.names)
+        kept["n_events"] = kept["n_events"] or 0
+        names = [o.name for o in self.order]
+        last = tuple(kept[f"last_{o}"] for o in names)
+        for row in rows:
+            pos = tuple(row[o] for o in names)
+            last = pos if last[0] is None or pos > last else last
+            kept["n_events"] += 1
+            for f in self.fields:
+                at = tuple(kept[f"{f.name}_{o}"] for o in names)
+                if row[f.name] is not None and (at[0] is None or pos > at):
+                    kept[f.name] = row[f.name]
+                    kept.update(zip((f"{f.name}_{o}" for o in names), pos))
+        kept.update(zip((f"last_{o}" for o in names), last))
+        self.state.update(tuple(kept[n] for n in self.schema.names))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if kept["status"] in self.finished:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.retention)
+        yield Row(**{self.key: key[0], **{f.name: kept[f.name] for f in self.fields}, "n_events": kept["n_events"], "updated_at": last[0]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def task_state_timed(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, retention_ms: int = 24 * 3600 * 1000, finished: tuple = FINISHED, available_now: bool = True):
+    """task_state() as a stream whose finished tasks leave the state store.
+
+    The sink receives the changed tasks of each batch.  Equal to the batch fold as long as no event of a task comes later than
+    ``retention_ms`` after it finished; an event that does opens the task anew, with its own values and count.  ts and event_id hold no nulls.
+    """
+    p = F.col("progress_percent")
+    e = events.where(F.col("task_id").isNotNull()).withColumn("progress_percent", F.when(p.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), p)))).select("task_id", *TASK_FIELDS, "ts", "event_id")
+    fields, order = [e.schema[f] for f in TASK_FIELDS], [e.schema[o] for o in ("ts", "event_id")]
+    out = T.StructType([e.schema["task_id"], *fields, T.StructField("n_events", T.LongType()), T.StructField("updated_at", e.schema["ts"].dataType)])
+    changed = e.groupBy("task_id").transformWithState(LatestFields("task_id", fields, order, finished, retention_ms), out, "Update", "ProcessingTime")
+    w = changed.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    # Timers need this store.  They make Spark run a batch after each batch, so a run over what is there now would never end: there, timers
+    # are looked at in batches with events only.  A query keeps the settings it was started with.
+    settings = {PROVIDER: ROCKSDB, **({NO_DATA_BATCHES: "false"} if available_now else {})}
+    conf = events.sparkSession.conf
+    before = {k: conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            conf.set(k, v)
+        return (w.trigger(availableNow=True) if available_now else w).start()
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
 LEDGER_BUCKETS = 64
 
 

@@ -8,6 +8,7 @@ from auditframe.sources import tables as R
 from auditframe.streaming import state as T
 
 from .registry import query
+from .state import EV, events as task_events, last
 
 
 def as_stream(spark, df, files=3):
@@ -59,3 +60,13 @@ def _(spark, sf):
     good = R.load_tasks(spark, path, "task_id string, created_at long").select("task_id", "created_at", F.lit(False).alias("malformed"))
     bad = R.malformed_tasks(spark, path, "task_id string, created_at long").select(F.regexp_extract("text", '"task_id":"([^"]*)"', 1).alias("task_id"), F.regexp_extract("text", '"created_at":([0-9]+)', 1).cast("long").alias("created_at"), F.lit(True).alias("malformed"))
     return good.unionByName(bad)
+
+
+@query("task_state_timed", f"WITH {EV} SELECT task_id, {last('status')} AS status, {last('progress_percent')}::BIGINT AS progress_percent, {last('current_stage')} AS current_stage, {last('stage_detail')} AS stage_detail, count(*)::BIGINT AS n_events FROM te GROUP BY task_id")
+def _(spark, sf):
+    """Each batch leaves the tasks it changed in a folder of its own; the row of most events is the state."""
+    out = scratch_path(spark, "task-states")
+    e = task_events(spark, sf)
+    T.task_state_timed(as_stream(spark, e), lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"), scratch_path(spark, "states-cp")).awaitTermination()
+    rows = spark.read.schema("task_id string, status string, progress_percent int, current_stage string, stage_detail string, n_events long, epoch long").parquet(out)
+    return rows.groupBy("task_id").agg(F.max_by(F.struct(*T.TASK_FIELDS, "n_events"), "n_events").alias("s")).select("task_id", "s.*")

@@ -22,6 +22,39 @@ def test_state_stream_equals_batch(spark, tmp_path):
     assert all(r.progress_percent is None or 0 <= r.progress_percent <= 100 for r in batch.collect())
 
 
+def run_timed(spark, folder, batches, retention_ms):
+    """Latest row of each task, and the number of state rows after each batch."""
+    latest, sizes = {}, []
+    for rows in batches:
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(str(folder / "src"))
+        stream = spark.readStream.schema(EVENTS).parquet(str(folder / "src"))
+        q = S.task_state_timed(stream, lambda df, epoch: latest.update({r.task_id: r for r in df.collect()}), str(folder / "cp"), retention_ms)
+        q.awaitTermination()
+        sizes.append(q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    return latest, sizes
+
+
+def test_timed_state_equals_batch(spark, tmp_path):
+    rows = [(i, i // 3, f"t{i % 4}", ("completed" if i % 3 else "processing") if i % 5 == 0 else None, (i * 7) % 140 if i % 2 else None, f"s{i}", None) for i in range(40)]
+    # events come out of order, and some repeat a time
+    latest, _ = run_timed(spark, tmp_path, [rows[20:], rows[:20]], 3_600_000)
+    batch = S.task_state(spark.createDataFrame(rows, EVENTS))
+    cols = sorted(batch.columns)
+    assert sorted(tuple(r[c] for c in cols) for r in latest.values()) == sorted(tuple(r) for r in batch.select(*cols).collect())
+
+
+def test_finished_tasks_leave_the_state(spark, tmp_path):
+    of = lambda batch, status: [(100 * batch + i, batch, f"t{batch}_{i}", status, 50, None, None) for i in range(10)]
+    ended = [of(b, "completed") for b in range(3)] + [of(3, "processing"), [(999, 9, "t3_1", None, 60, None, None)]]
+    latest, sizes = run_timed(spark, tmp_path, ended, 0)
+    assert len(latest) == 40 and latest["t3_1"].progress_percent == 60 and latest["t3_1"].n_events == 2
+    # each batch clears the one before; the ten open tasks stay
+    assert max(sizes) <= 30 and sizes[-1] <= 10, sizes
+    # a task that gets an event after its state is gone starts anew
+    again, _ = run_timed(spark, tmp_path, [[(2000, 20, "t0_1", "processing", 10, None, None)]], 0)
+    assert (again["t0_1"].n_events, again["t0_1"].status) == (1, "processing")
+
+
 def test_ingest_each_hash_once(spark, tmp_path):
     src = tmp_path / "src"
     for part in ([("h1", "a"), ("h2", "b")], [("h2", "b"), ("h3", "c")]):
