@@ -2,8 +2,8 @@
 
 Rules (host, path) are written host/path.  A rule fits its host and all subdomains if the path starts with the rule's; of the rules that
 fit, the one with the longest host, then the longest path decides.  Without a rule the vocabulary does: a term counts where neither
-neighbour is a letter or digit (ASCII), so `bet` is not found in `better`; one strict term, or soft terms whose weights, each distinct
-term once, reach `limit`, block the URL.
+neighbour is a letter or digit (ASCII), so `bet` is not found in `better`; one strict term blocks the URL, and so do at least `min_soft`
+distinct soft terms whose weights, each term once, reach `limit`.
 
 Rules and terms are settings, broadcast with the function; the automaton is built once per task.  The hosts' suffixes are looked up in a
 dictionary, so the cost of a URL grows with its length, not with the number of rules.  Null URLs and URLs without `://` have an empty
@@ -23,9 +23,26 @@ from .common import query, table
 #: Fixed values of the contract: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-STRICT = ["porn", "xxx", "casino", "viagra", "escort", "adult-x", "spam-farm", "cheap-pills", "free-bets", "casino-win", "sex", "malware", "warez", "phishing"]
-SOFT = {"adult": 1, "bet": 1, "bets": 1, "win": 1, "pills": 1, "cheap": 1, "free": 1, "ads": 1, "track": 1, "spam": 1, "farm": 1, "poker": 1, "loan": 1, "loans": 1, "slots": 1, "crack": 1, "hot": 1, "nude": 2, "torrent": 1}
-LIMIT = 2
+#: A vocabulary by topic, of general words.  Strict ones hardly stand in a harmless address.
+STRICT = """
+casino casinos roulette blackjack baccarat sportsbook sportsbooks bookmaker bookmakers
+viagra cialis levitra kamagra tramadol phentermine
+porn porno pornography xxx hentai milf camgirl camgirls camsex bdsm erotica striptease
+warez keygen keygens nulled
+""".split()
+#: Weight 2: words of a topic that also have a plain sense; weight 1: words of advertisements everywhere.
+TOPIC = """
+bet bets betting gamble gambling gambler poker slots jackpot jackpots lottery lotto wager bingo
+pills pill pharmacy pharma steroids opioids xanax
+adult adults sex sexy nude nudes escort escorts webcam webcams dating hookup hookups fetish erotic naked
+loan loans payday forex binary
+crack cracked cracks serial torrent torrents hacked cheats malware phishing spyware
+spam clickbait replica replicas counterfeit
+""".split()
+WEAK = "free cheap cheapest discount bonus bonuses win winner winners credit cash prize prizes hot deal deals promo instant guaranteed unlimited unlocked download downloads girls buy online now".split()
+SOFT = {**dict.fromkeys(TOPIC, 2), **dict.fromkeys(WEAK, 1)}
+#: Soft terms block when there are at least MIN_SOFT different ones and their weights reach LIMIT: two weak words do not, a weak and a topical one do.
+MIN_SOFT, LIMIT = 2, 3
 
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -88,9 +105,9 @@ def terms(url: str, a) -> tuple[set[str], dict[str, int]]:
     return strict, soft
 
 
-def judged(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES, strict: list[str] = STRICT, soft: dict[str, int] = SOFT, limit: int = LIMIT) -> DataFrame:
-    """pages with host, path, rule, verdict, n_strict and soft_weight (columns of these names are replaced)."""
-    new = ["host", "path", "rule", "verdict", "n_strict", "soft_weight"]
+def judged(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES, strict: list[str] = STRICT, soft: dict[str, int] = SOFT, limit: int = LIMIT, min_soft: int = MIN_SOFT) -> DataFrame:
+    """pages with host, path, rule, verdict, n_strict, n_soft and soft_weight (columns of these names are replaced)."""
+    new = ["host", "path", "rule", "verdict", "n_strict", "n_soft", "soft_weight"]
     kept = [c for c in pages.columns if c not in new]
     pages = pages.select(*kept, url) if url not in kept else pages.select(*kept)
     by_host = index(rules)
@@ -104,18 +121,18 @@ def judged(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]]
                 hit = rule_for(host, path, by_host)
                 s, w = terms(u or "", a)
                 weight = sum(w.values())
-                verdict = hit[1] if hit else "block" if s or weight >= limit else "allow"
-                for c, v in zip(out, (host, path, hit[0] if hit else None, verdict, len(s), weight)):
+                verdict = hit[1] if hit else "block" if s or (len(w) >= min_soft and weight >= limit) else "allow"
+                for c, v in zip(out, (host, path, hit[0] if hit else None, verdict, len(s), len(w), weight)):
                     c.append(v)
-            kinds = [pa.string()] * 4 + [pa.int64()] * 2
+            kinds = [pa.string()] * 4 + [pa.int64()] * 3
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(out, kinds))], names=[*batch.schema.names, *new])
 
     fields = [T.StructField(n, T.LongType() if n in new[4:] else T.StringType()) for n in new]
     return pages.mapInArrow(run, T.StructType([*pages.schema.fields, *fields]))
 
 
-def _alone(t: str) -> str:
-    return f"regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
+def _words(ts: list[str]) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in ts) + "]"
 
 
 _FITS = ", ".join(f"CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'n': {len(h) * 1000 + len(p)}, 'rule': '{h}{p}', 'verdict': '{v}'}} END" for v, h, p in RULES)
@@ -123,10 +140,11 @@ ORACLE = f"""
 WITH r AS (SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') u,
   CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END rest FROM pages),
 p AS (SELECT page_id, u, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/]*(/.*)?$', 1, 's') path FROM r),
+t AS (SELECT *, list_distinct(regexp_extract_all(u, '[a-z0-9]+')) ws FROM p),
 f AS (SELECT *, list_sort(list_filter([{_FITS}], lambda x: x IS NOT NULL), 'DESC')[1] fit,
-  {' + '.join(f'({_alone(t)})::INT' for t in STRICT)} n_strict, {' + '.join(f'({_alone(t)})::INT * {w}' for t, w in SOFT.items())} soft_weight FROM p)
-SELECT page_id, host, path, fit.rule rule, coalesce(fit.verdict, CASE WHEN n_strict > 0 OR soft_weight >= {LIMIT} THEN 'block' ELSE 'allow' END) verdict,
-  n_strict::BIGINT n_strict, soft_weight::BIGINT soft_weight FROM f
+  len(list_intersect(ws, {_words(STRICT)})) n_strict, len(list_intersect(ws, {_words(TOPIC)})) n_topic, len(list_intersect(ws, {_words(WEAK)})) n_weak FROM t)
+SELECT page_id, host, path, fit.rule rule, coalesce(fit.verdict, CASE WHEN n_strict > 0 OR (n_topic + n_weak >= {MIN_SOFT} AND 2 * n_topic + n_weak >= {LIMIT}) THEN 'block' ELSE 'allow' END) verdict,
+  n_strict::BIGINT n_strict, (n_topic + n_weak)::BIGINT n_soft, (2 * n_topic + n_weak)::BIGINT soft_weight FROM f
 """
 
 

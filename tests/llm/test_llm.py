@@ -312,6 +312,16 @@ def test_url_rules_and_terms(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
+def test_url_terms_are_distinct_and_weighted(spark):
+    paths = {"free/deals": ("allow", 0, 2, 2), "free/bets": ("block", 0, 2, 3), "bets/bets/Bets": ("allow", 0, 1, 2), "poker-pills": ("block", 0, 2, 4), "free/track/farm": ("allow", 0, 1, 1), "Casino": ("block", 1, 0, 0),
+             "casinos.xxx": ("block", 2, 0, 0), "better/sexton": ("allow", 0, 0, 0), "loans_now": ("block", 0, 2, 3), "adult-education": ("allow", 0, 1, 2)}
+    got = url_filter.judged(spark.createDataFrame([(f"https://a.com/{p}",) for p in paths], "url string")).collect()
+    assert {r.url[14:]: (r.verdict, r.n_strict, r.n_soft, r.soft_weight) for r in got} == paths
+    assert not {t for t in url_filter.SOFT if t in url_filter.STRICT} and set(url_filter.SOFT.values()) == {1, 2}
+    one = url_filter.judged(spark.createDataFrame([("https://a.com/a-b/a",)], "url string"), strict=[], soft={"a-b": 1, "a": 1}, limit=2, min_soft=2).first()
+    assert (one.verdict, one.n_soft) == ("block", 2)
+
+
 def test_license_rules(spark):
     mit = "Copyright (c) 2020 X. All rights reserved.\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and so on.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nThe software is provided \"as is\", without warranty of any kind."
     cases = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "text before.\nThis work is licensed under the GNU General Public License, version 3.\nmore": "GPL-3", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", mit: "MIT",
