@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import ordered as O
 from ..functions import text as X
+from ..session import stage
 from .structure import coerce_page, locate_block, nearest_section, page_chunk
 
 
@@ -142,8 +143,12 @@ def build_facts(items: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def fact_dedupe(facts: DataFrame) -> DataFrame:
-    best = O.first_by(facts, ["task_id", "label", "value", "page"], [-F.col("confidence"), F.col("ord")])
-    best = O.numbered(best, ["task_id"], ["page", "label", "value"], "_no", page_chunk())
+    return numbered_facts(O.first_by(facts, ["task_id", "label", "value", "page"], [-F.col("confidence"), F.col("ord")]))
+
+
+def numbered_facts(facts: DataFrame) -> DataFrame:
+    """Distinct facts in the order of page, label and value, with their number as order and id."""
+    best = O.numbered(facts, ["task_id"], ["page", "label", "value"], "_no", page_chunk())
     return best.withColumn("ord", F.col("_no")).withColumn("fact_id", F.format_string("fact_%03d", "_no")).drop("_no")
 
 
@@ -168,17 +173,21 @@ def requested_fields(configs: DataFrame) -> DataFrame:
 
 
 def extract_key_facts(blocks: DataFrame, clauses: DataFrame, overview: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
-    """Overview, page, clause and candidate facts merged; missing overview labels filled."""
+    """Overview, page, clause and candidate facts merged; missing overview labels filled.
+
+    Of equal (label, value, page) the most confident one stays, then overview before page and clause facts before candidates.  The
+    sources are told apart by a tier, so rows are merged once and numbered once, from a written table.
+    """
     shift = 1 << 42
-    own = facts_from_pages(blocks).select(*FACT_COLUMNS, "ord").unionByName(
-        facts_from_clauses(clauses).withColumnRenamed("clause_id", "evidence_id").select(*FACT_COLUMNS, (F.col("ord") + F.lit(shift)).alias("ord")))
-    allf = fact_dedupe(own).select(*FACT_COLUMNS, (F.col("ord") + F.lit(shift)).alias("ord"))
+    tiered = lambda df, tier, ord_: df.select(*FACT_COLUMNS, F.lit(tier).alias("_tier"), ord_.alias("ord"))
+    allf = tiered(facts_from_pages(blocks), 1, F.col("ord")).unionByName(
+        tiered(facts_from_clauses(clauses).withColumnRenamed("clause_id", "evidence_id"), 1, F.col("ord") + F.lit(shift)))
     if overview is not None:
-        allf = overview.select(*FACT_COLUMNS, "ord").unionByName(allf)
+        allf = allf.unionByName(tiered(overview, 0, F.col("ord")))
     if candidates is not None:
-        allf = allf.unionByName(candidates.select(*FACT_COLUMNS, (F.col("ord") + F.lit(2 * shift)).alias("ord")))
-    merged = fact_dedupe(allf).drop("fact_id")
-    return fact_dedupe(required_facts(merged, blocks.select("task_id")))
+        allf = allf.unionByName(tiered(candidates, 2, F.col("ord")))
+    merged = stage(O.first_by(allf, ["task_id", "label", "value", "page"], [-F.col("confidence"), F.col("_tier"), F.col("ord")]).drop("_tier"))
+    return numbered_facts(required_facts(merged, blocks.select("task_id")))
 
 
 def fact_map(facts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import ordered as O
 from ..functions import text as X
+from ..session import stage
 
 PAGE = ["task_id", "page"]
 PAGES_PER_CHUNK = 64
@@ -202,7 +203,7 @@ def page_payload(blocks: DataFrame, max_blocks: int | None = None, max_text: int
 
 # --- sections ---------------------------------------------------------------
 
-def section_candidates(blocks: DataFrame, cap: int | None = None) -> DataFrame:
+def section_marks(blocks: DataFrame) -> DataFrame:
     """Article marks inside blocks, unless the eight characters before name a citation."""
     b = blocks.withColumn("text", X.clean_lines("text")).where(F.col("text").contains("第"))
     marks = F.regexp_extract_all("text", F.lit(P.SECTION_MARK_PATTERN), F.lit(0))
@@ -220,7 +221,12 @@ def section_candidates(blocks: DataFrame, cap: int | None = None) -> DataFrame:
     topic = X.compact_summary(X.sub(topic, "^[ ：:，,、]+|[ ：:，,、]+$"), 24)
     from_ = F.greatest(start - 20, F.lit(0))
     evidence = X.compact_summary(F.substr("text", from_ + 1, end + 80 - from_), 120)
-    c = c.select("task_id", "page", "block_no", "block_id", "mark_no", code.alias("section_code"), topic.alias("topic"), evidence.alias("evidence_text"))
+    return c.select("task_id", "page", "block_no", "block_id", "mark_no", code.alias("section_code"), topic.alias("topic"), evidence.alias("evidence_text"))
+
+
+def section_candidates(blocks: DataFrame, cap: int | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """Article marks as numbered sections; marks: those of section_marks, if they are there already."""
+    c = section_marks(blocks) if marks is None else marks
     c = O.numbered(c, ["task_id"], ["page", "block_no", "mark_no"], "sort_order", page_chunk())
     c = c if cap is None else c.where(F.col("sort_order") <= cap)
     has_topic = F.length("topic") > 0
@@ -302,20 +308,20 @@ def local_sections(blocks: DataFrame) -> DataFrame:
 
 def reconstruct_sections(blocks: DataFrame, window_candidates: DataFrame | None = None, merged: DataFrame | None = None) -> DataFrame:
     """Window and structural candidates, deduped; merged list if it passes the gate; local headings otherwise."""
-    c = section_candidates(blocks)
+    # each numbering reads its input twice, so what is costly to make is written first
+    c = section_candidates(blocks, marks=stage(section_marks(blocks)))
     if window_candidates is not None:
         head = coerced_sections(window_candidates, blocks).withColumn("_tier", F.lit(0))
         c = head.unionByName(c.withColumn("_tier", F.lit(1)))
         c = c.withColumn("ord", F.col("_tier") * F.lit(1 << 40) + F.col("ord")).drop("_tier")
-    c = section_candidate_dedupe(c)
-    use = c
+    c = use = stage(section_candidate_dedupe(c))
     if merged is not None:
         merged = coerced_sections(merged, blocks)
         good = section_merge_gate(merged, c).where("accepted").select("task_id")
         use = merged.join(good, "task_id", "left_semi").unionByName(c.join(good, "task_id", "left_anti"))
-    built = build_sections(use)
-    local = local_sections(blocks).join(built.select("task_id").distinct(), "task_id", "left_anti")
-    return built.select(*SECTION_COLUMNS).unionByName(local)
+    built = stage(build_sections(use).select(*SECTION_COLUMNS))
+    local = local_sections(blocks.join(built.select("task_id").distinct(), "task_id", "left_anti"))
+    return built.unionByName(local)
 
 
 def section_tree(sections: DataFrame) -> DataFrame:
