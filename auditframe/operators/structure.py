@@ -246,7 +246,8 @@ def _best_sections(items: DataFrame) -> DataFrame:
     rest = [c for c in items.columns if c not in keys]
     order = F.struct((-F.col("confidence")).alias("a"), (-F.size("block_ids")).alias("b"), (-F.length("summary")).alias("c"), F.col("ord").alias("d"))
     best = items.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_b"), F.min("ord").alias("_seen"))
-    best = best.select("task_id", "_b.*", "_seen").withColumn("title", F.substring("title", 1, 120))
+    # numbering reads its input twice, so the grouped rows are written first
+    best = stage(best.select("task_id", "_b.*", "_seen").withColumn("title", F.substring("title", 1, 120)))
     best = O.numbered(best, ["task_id"], ["page", "sort_order", "level", "title", "_seen"], "_no", page_chunk())
     return best.withColumn("sort_order", F.col("_no")).withColumn("ord", F.col("_no")).drop("_no", "_seen")
 
@@ -293,14 +294,13 @@ SECTION_COLUMNS = ["task_id", "section_id", "title", "level", "page", "summary",
 
 def local_sections(blocks: DataFrame) -> DataFrame:
     """Heading-like blocks as sections; a task without any gets one default section."""
-    h = blocks.withColumn("title", X.clean_lines("text")).where(X.is_heading("title"))
+    h = stage(blocks.select("task_id", "page", "block_no", X.clean_lines("text").alias("title")).where(X.is_heading("title")))
+    starts = blocks.groupBy("task_id").agg(F.min("page").alias("page")).join(h.select("task_id").distinct(), "task_id", "left_anti")
     h = O.numbered(h, ["task_id"], ["page", "block_no"], "sort_order", page_chunk())
     found = h.select("task_id", F.format_string("section_%03d", "sort_order").alias("section_id"), F.substring("title", 1, 120).alias("title"),
                      X.heading_level("title").alias("level"), "page", X.compact_summary("title", 80).alias("summary"),
                      F.lit(0.55).alias("confidence"), "sort_order", X.section_code("title").alias("section_code"))
-    # one aggregate over the blocks tells which tasks have no heading and where they start
-    none = blocks.groupBy("task_id").agg(F.min("page").alias("page"), F.max(X.is_heading("text").cast("int")).alias("_any")).where(F.col("_any") == 0)
-    default = none.select("task_id", F.lit("section_001").alias("section_id"), F.lit("合同正文").alias("title"), F.lit(1).alias("level"), "page",
+    default = starts.select("task_id", F.lit("section_001").alias("section_id"), F.lit("合同正文").alias("title"), F.lit(1).alias("level"), "page",
                           F.lit("未稳定识别到显式章节标题，建议人工复核。").alias("summary"), F.lit(0.35).alias("confidence"),
                           F.lit(1).cast("long").alias("sort_order"), F.lit(None).cast("string").alias("section_code"))
     return found.unionByName(default)
@@ -308,18 +308,17 @@ def local_sections(blocks: DataFrame) -> DataFrame:
 
 def reconstruct_sections(blocks: DataFrame, window_candidates: DataFrame | None = None, merged: DataFrame | None = None) -> DataFrame:
     """Window and structural candidates, deduped; merged list if it passes the gate; local headings otherwise."""
-    # each numbering reads its input twice, so what is costly to make is written first
     c = section_candidates(blocks, marks=stage(section_marks(blocks)))
     if window_candidates is not None:
         head = coerced_sections(window_candidates, blocks).withColumn("_tier", F.lit(0))
         c = head.unionByName(c.withColumn("_tier", F.lit(1)))
         c = c.withColumn("ord", F.col("_tier") * F.lit(1 << 40) + F.col("ord")).drop("_tier")
-    c = use = stage(section_candidate_dedupe(c))
+    c = use = section_candidate_dedupe(c)
     if merged is not None:
         merged = coerced_sections(merged, blocks)
         good = section_merge_gate(merged, c).where("accepted").select("task_id")
         use = merged.join(good, "task_id", "left_semi").unionByName(c.join(good, "task_id", "left_anti"))
-    built = stage(build_sections(use).select(*SECTION_COLUMNS))
+    built = build_sections(use).select(*SECTION_COLUMNS)
     local = local_sections(blocks.join(built.select("task_id").distinct(), "task_id", "left_anti"))
     return built.unionByName(local)
 
