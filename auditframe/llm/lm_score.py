@@ -213,9 +213,10 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: i
         counts.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value")))
 
     n_chunks = max(1, -(-(whole["size"] or 0) // chunk_bytes))
-    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_chunks)).cast("int")).repartition(n_chunks, "chunk")
+    # chunk c is partition c, so that every task gets one chunk
+    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_chunks)).cast("int")).repartitionById(n_chunks, F.col("chunk"))
     keys = dealt.groupBy("chunk").applyInArrow(distinct_keys, "chunk int, kind byte, key long")
-    fetched = keys.join(values, ["kind", "key"], "left").select("chunk", "kind", "key", F.coalesce("value", F.lit(0.0)).alias("value"))
+    fetched = keys.join(values, ["kind", "key"], "left").select("chunk", "kind", "key", F.coalesce("value", F.lit(0.0)).alias("value")).repartitionById(n_chunks, F.col("chunk"))
     made = dealt.groupBy("chunk").cogroup(fetched.groupBy("chunk")).applyInArrow(sums, f"doc_id {kind}, held_out boolean, n_words long, known long, base double, score double")
     spread = F.log10(F.lit(float(n + v + 1)))
     return made.select("doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("known") + (1 if ends else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
