@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from .common import query, table
 
 V = r"(?: (?:version|v) ?| )(\d+(?:\.\d+)*)"
+FREE = r"this (?:program|library|software) is free software you can redistribute it and or modify it under the terms of the gnu "
+GPL_TAIL = r"general public license(?: as published by the free software foundation)?(?: either)?" + f"(?:{V})?.*"
 #: (identifier, pattern of a whole normalised sentence); the first that fits names the sentence.
 SENTENCES = [
     ("copyright", r"(?:copyright|c copyright|portions copyright)\b.*"),
@@ -46,14 +48,30 @@ SENTENCES = [
     ("gpl_affero", r"(?:this .{1,40} is )?(?:licensed|released) under (?:the )?gnu affero general public license" + f"(?:{V})?"),
     ("gpl_lesser", r"(?:this .{1,40} is )?(?:licensed|released) under (?:the )?gnu lesser general public license" + f"(?:{V})?"),
     ("gpl_short", r"(?:this .{1,40} is )?(?:licensed|released) under (?:the )?gnu general public license" + f"(?:{V})?"),
-    ("gpl_free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license(?: as published by the free software foundation)?(?: either)?" + f"(?:{V})?.*"),
+    ("agpl_free", FREE + "affero " + GPL_TAIL),
+    ("lgpl_free", FREE + "(?:lesser|library) " + GPL_TAIL),
+    ("gpl_free", FREE + GPL_TAIL),
+    ("gpl_hope", r"this (?:program|library|software) is distributed in the hope that it will be useful.*"),
+    ("gpl_copy", r"you should have received a copy of the gnu (?:affero |lesser |library )?general public license.*"),
     ("cc", r"(?:this .{1,40} is )?licensed under (?:a |the )?(?:cc|creative commons) (by(?: nc| sa| nd)*)" + f"(?:{V})?"),
     ("cc0", r"(?:this .{1,40} is )?(?:licensed|released|dedicated) (?:under|to) (?:the )?(?:cc0|public domain).*"),
+    ("isc_grant", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc_asis", r"the software is provided as is and the author disclaims all warranties with regard to this software.*"),
+    ("zlib_asis", r"this software is provided as is without any express or implied warranty"),
+    ("zlib_liable", r"in no event will the authors be held liable.*"),
+    ("zlib_grant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions.*"),
+    ("boost_short", r"distributed under the boost software license" + f"(?:{V})?.*"),
+    ("boost_grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public license" + f"(?:{V})?.*"),
+    ("artistic_short", r"(?:this .{1,40} is )?(?:released|licensed|distributed) under (?:the )?(?:terms of the )?artistic license" + f"(?:{V})?"),
+    ("isc_short", r"(?:this .{1,40} is )?(?:released|licensed|distributed) under (?:the )?(?:terms of the )?isc license"),
+    ("bsd_short", r"(?:this .{1,40} is )?(?:released|licensed|distributed) under (?:the |a )?(?:terms of the )?(?:bsd )?([23]) clause (?:bsd )?license"),
     ("mpl", r"this source code form is subject to the terms of the mozilla public license" + f"(?:{V})?"),
     ("other", r"(?:this .{1,60} is )?(?:licensed|sublicensed) under .*"),
 ]
 #: A known sentence holds at least one of these words.
-ANCHORS = ["copyright", "reserved", "license", "licensed", "sublicensed", "released", "distributed", "dedicated", "permission", "redistribution", "redistributions", "endorse", "warranty"]
+ANCHORS = ["copyright", "reserved", "license", "licensed", "sublicensed", "released", "distributed", "dedicated", "permission", "redistribution", "redistributions", "endorse", "warranty", "warranties", "liable"]
 #: (licence, identifiers in order); earlier rules win.  {} stands for the value of the first sentence.
 RULES = [
     ("Apache-{}", ["apache_short", "apache_comply", "apache_obtain", "apache_asis"]),
@@ -66,12 +84,28 @@ RULES = [
     ("AGPL-{}", ["gpl_affero"]),
     ("LGPL-{}", ["gpl_lesser"]),
     ("GPL-{}", ["gpl_short"]),
+    ("AGPL-{}", ["agpl_free", "gpl_hope", "gpl_copy"]),
+    ("AGPL-{}", ["agpl_free"]),
+    ("LGPL-{}", ["lgpl_free", "gpl_hope", "gpl_copy"]),
+    ("LGPL-{}", ["lgpl_free"]),
+    ("GPL-{}", ["gpl_free", "gpl_hope", "gpl_copy"]),
     ("GPL-{}", ["gpl_free"]),
+    ("ISC", ["isc_grant", "isc_asis"]),
+    ("ISC", ["isc_short"]),
+    ("Zlib", ["zlib_asis", "zlib_liable", "zlib_grant"]),
+    ("Zlib", ["zlib_asis", "zlib_grant"]),
+    ("BSL-{}", ["boost_short"]),
+    ("BSL-1.0", ["boost_grant"]),
+    ("Unlicense", ["unlicense"]),
+    ("EPL-{}", ["epl"]),
+    ("Artistic-{}", ["artistic_short"]),
+    ("BSD-{}-Clause", ["bsd_short"]),
     ("CC-{}", ["cc"]),
     ("CC0", ["cc0"]),
     ("MPL-{}", ["mpl"]),
 ]
-SILENT = {"copyright", "all_rights"}
+#: Alone these name no licence and are not reported either.
+SILENT = {"copyright", "all_rights", "gpl_hope", "gpl_copy", "zlib_liable"}
 GAP_WORDS = 4
 
 _ANCHOR = re.compile("|".join(sorted(ANCHORS, key=len, reverse=True)))
