@@ -368,3 +368,22 @@ def test_indented_task_files_are_read(spark, tmp_path):
     schema = "task_id string, n int"
     assert [r.task_id for r in T.load_tasks(spark, str(tmp_path), schema, indented=True).collect()] == ["t1"]
     assert T.malformed_tasks(spark, str(tmp_path), schema, indented=True).count() == 1
+
+
+def test_merged_facts_prefer_confidence_then_source_then_order(spark):
+    cols = "task_id string, label string, value string, page long, confidence double, evidence_id string, notes string, ord long"
+    blocks = spark.createDataFrame([("t", 1, 1, "b1", "合同编号：AB-20240001"), ("u", 1, 1, "b2", "其他")], "task_id string, page long, block_no long, block_id string, text string")
+    clauses = spark.createDataFrame([], "task_id string, clause_id string, page long, confidence double, sort_order long, label string, core_label string, raw_text string, summary string, structured_fields map<string,string>")
+    over = spark.createDataFrame([("t", "合同编号", "AB-20240001", 1, 0.88, "over", None, 5), ("t", "甲", "x", 2, 0.5, "over", None, 1)], cols)
+    cand = spark.createDataFrame([("t", "甲", "x", 2, 0.5, "late", None, 0), ("t", "甲", "x", 2, 0.4, "weak", None, 1), ("t", "乙", "y", 1, 0.3, "first", None, 2), ("t", "乙", "y", 1, 0.3, "second", None, 3), ("t", "合同编号", "AB-20240001", 1, 0.2, "weak", None, 4)], cols)
+    got = C.extract_key_facts(blocks, clauses, over, cand).collect()
+    of = {(r.task_id, r.label, r.value): r.evidence_id for r in got}
+    assert of[("t", "合同编号", "AB-20240001")] == "over" and of[("t", "甲", "x")] == "over" and of[("t", "乙", "y")] == "first"
+    assert len(of) == len(got) and {r.task_id for r in got} == {"t", "u"}
+    for t in "tu":
+        own = sorted((r for r in got if r.task_id == t), key=lambda r: (r.page, r.label, r.value))
+        assert [r.fact_id for r in own] == [f"fact_{i:03d}" for i in range(1, len(own) + 1)] and [r.ord for r in own] == list(range(1, len(own) + 1))
+    # without any candidate or overview the page's own number stays
+    alone = {(r.label, r.evidence_id) for r in C.extract_key_facts(blocks, clauses).where("task_id = 't'").collect()}
+    assert ("合同编号", "b1") in alone
+    assert C.extract_key_facts(blocks.limit(0), clauses).count() == 0
