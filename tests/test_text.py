@@ -57,3 +57,31 @@ def test_bound_is_never_below_ratio(spark):
     rows = [("付款条件验收", "验收付款"), ("", ""), ("abc", ""), ("abcabc" * 40, "bcabca" * 40)]
     df = spark.createDataFrame(rows, "a string, b string").select(X.seq_ratio_bound("a", "b").alias("u"), M.seq_ratio("a", "b").alias("r"))
     assert all(r.u + 1e-9 >= r.r for r in df.collect())
+
+
+def test_blank_classes_agree_with_patterns(spark):
+    import re
+    from itertools import product
+    pieces = ["a", " ", "  ", "\t", "\r", "\n", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "b. "]
+    texts = ["".join(p) for p in product(pieces, repeat=3)] + ["a" + " " * 9 + "\n" * 4 + "b" * 30, None]
+    w, b = f"[{X.WS}]", f"[{X.BREAKS}]"
+
+    def lines(v):
+        return re.sub(f"^{w}+|{w}+$", "", re.sub(f"{w}*{b}{w}*", "\n", (v or "").replace("\u3000", " ").replace("\r", "\n")))
+
+    def clean(v):
+        x = re.sub("\r\n?", "\n", (v or "").translate({0x3000: " ", 0xA0: " ", 0x200B: None}))
+        return re.sub(f"\\A{w}+|{w}+\\Z", "", re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", x)))
+
+    def one(v):
+        return re.sub(f"\\A{w}+|{w}+\\Z", "", re.sub(f"{w}+", " ", lines(v)))
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    rows = df.select("v", X.clean_lines("v").alias("l"), X.clean_lines(F.concat("v", F.lit(""))).alias("l2"), X.compact_summary("v", None).alias("s"), X.clean_text("v").alias("c")).collect()
+    assert [r for r in rows if (r.l, r.s, r.c) != (lines(r.v), one(r.v), clean(r.v)) or r.l2 != lines(r.v)] == []
+
+
+def test_one_line_texts_run_no_pattern_of_runs(spark):
+    """A text of single blanks is tested once; the patterns of blank runs stand behind that test, and bounds cut before patterns."""
+    df = spark.createDataFrame([("a b",)], "v string")
+    plan = df.select(X.compact_summary("v", 20).alias("o"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "case when rlike" in plan and "substring" in plan and "translate" not in plan and plan.count("rlike") == 1
