@@ -85,3 +85,37 @@ def test_one_line_texts_run_no_pattern_of_runs(spark):
     df = spark.createDataFrame([("a b",)], "v string")
     plan = df.select(X.compact_summary("v", 20).alias("o"))._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "case when rlike" in plan and "substring" in plan and "translate" not in plan and plan.count("rlike") == 1
+
+
+def test_ratio_by_text_search():
+    import random
+    from difflib import SequenceMatcher
+
+    from auditframe.functions import similarity as M
+    r = random.Random(5)
+    make = lambda n: "".join(r.choice(["ab ", "abc", "条", "付款", "xyz", "\0", "\1"]) if r.random() < 0.9 else chr(r.randrange(0x4E00, 0x4E40)) for _ in range(n))
+    texts = ["", "a", "ab" * 300, *[make(r.choice([3, 30, 90, 240])) for _ in range(60)]]
+    texts += [t[: len(t) // 2] + make(5) + t[len(t) // 3:] for t in texts]
+    for a in texts * 3:
+        b, least = r.choice(texts), r.random()
+        want = SequenceMatcher(None, a, b).ratio()
+        assert M.ratio_to(a, b, M.places(b)) == want
+        got = M.ratio_to(a, b, M.places(b), least)
+        assert got == want or got == -1 and want < least
+        assert M.ratio_to(a, a, M.places(a)) == 1.0
+
+
+def test_hopeless_pairs_are_left_early():
+    from auditframe.functions import similarity as M
+    assert M.ratio_to("ab" * 50, "ba" + "c" * 20, M.places("ba" + "c" * 20), 0.9) == -1  # too short to reach 0.9
+
+
+def test_char_counts_of_any_text():
+    from collections import Counter
+
+    from auditframe.functions import similarity as M
+    texts = ["", "abca", "条款a", "\U0001F600x", "\ud800"]
+    m, n = M.char_counts(texts)
+    chars = sorted({c for t in texts for c in t})
+    assert list(n) == [len(t) for t in texts] and [[Counter(t)[c] for c in chars] for t in texts] == m.tolist()
+    assert M.char_counts(["", ""])[0].sum() == 0
