@@ -128,6 +128,9 @@ def test_evidence_search_against_brute_force(spark):
                     if v > best:
                         best, pick = v, (page, cand)
         assert got[tid] == pick, tid
+    # the first search is written and not run again by what reads it: only the second one is left in the plan
+    plan = K.locate_evidence_text(t, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
 
 
 def test_substring_pairs_against_brute_force(spark):
