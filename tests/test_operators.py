@@ -102,6 +102,17 @@ def test_best_clauses_against_brute_force():
             assert got[t["clause_id"]][0] == pick["clause_id"] and abs(got[t["clause_id"]][2] - best) < 1e-9
 
 
+def test_ocr_quality_at_the_limit(spark):
+    """A page whose scores average exactly 0.82 or 0.9 is not below it, in whatever order its lines are summed."""
+    pages = [s for s in itertools.product([x / 100 for x in (70, 76, 78, 80, 83, 85, 90, 95, 97, 99)], repeat=4) if round(sum(s) * 100) in (328, 360)]
+    limit = [0.9 if round(sum(s) * 100) == 360 else 0.82 for s in pages]
+    rows = [("t", n, "x" if limit[n] == 0.9 else "a longer line", v) for n, s in enumerate(pages) for v in s] + [("t", -1, "x", float("nan"))]
+    assert {m for s, m in zip(pages, limit) if (s[0] + s[1] + s[2] + s[3]) / 4 < m} == {0.82, 0.9}
+    got = {r.page: r for r in D.ocr_quality(spark.createDataFrame(rows, "task_id string, page long, text string, score double")).collect()}
+    assert got[-1].mean_score != got[-1].mean_score
+    assert all(got[n].mean_score == m and not got[n].needs_enhancement for n, m in enumerate(limit))
+
+
 def test_evidence_search_against_brute_force(spark):
     rnd = random.Random(3)
     words = ["付款", "验收", "alpha", "beta", "违约", "gamma"]
