@@ -71,13 +71,23 @@ def learn_centroids(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.
     return c
 
 
+def _sample(kb: DataFrame, key: str, sample: int) -> DataFrame:
+    """One row (hash, key, vector) per id of the `sample` smallest hashes, zero vectors left out.
+
+    The ids are chosen without their vectors: an ordered limit sends that many rows of every partition to the driver.
+    """
+    some = kb.where(F.exists("vector", lambda v: v != 0)).select(F.xxhash64(key).alias("_h"), key, "vector")
+    ids = some.select("_h", key).orderBy("_h", key).limit(sample).distinct()
+    return some.join(F.broadcast(ids), ["_h", key], "left_semi").dropDuplicates(["_h", key])
+
+
 def build_index(kb: DataFrame, key: str = "clause_id", cells: int | None = None, sample: int = SAMPLE, chunk: int = CHUNK) -> VectorIndex:
     """Index all rows of kb (key, vector and any further columns); cells: by default the square root of the rows, MAX_CELLS at most."""
     kb = _usable(kb.withColumn("vector", F.col("vector").cast("array<double>")))
     sizes = kb.groupBy(F.size("vector").alias("s")).count().orderBy(F.desc("count"), F.desc("s")).collect()
     size, n = (sizes[0]["s"], sizes[0]["count"]) if sizes else (1, 0)
     kb = kb.where(F.size("vector") == size)
-    some = kb.where(F.exists("vector", lambda v: v != 0)).select(key, "vector").orderBy(F.xxhash64(key), key).limit(sample).toPandas()
+    some = _sample(kb, key, sample).toPandas().sort_values(["_h", key])
     wanted = min(MAX_CELLS, max(1, round(n**0.5))) if cells is None else cells
     centroids = learn_centroids(_units(np.stack(some["vector"]).astype(float))[0], wanted) if len(some) else np.zeros((0, size))
     held = kb.sparkSession.sparkContext.broadcast(centroids)  # MAX_CELLS * size numbers

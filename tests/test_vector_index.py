@@ -71,3 +71,13 @@ def test_edge_rows_of_the_index(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, None, 1), (3, [float("nan"), 1.0], 1), (4, [None, 1.0], 1), (5, [1.0, 2.0, 3.0], 1), (6, [0.0, 1.0], 1)]
     ix = VI.build_index(spark.createDataFrame(rows, KIND))
     assert answers(VI.index_topk(ix, q, 3, ["clause_id"])) == {1: [(1, 1.0), (1, 1.0), (6, 0.0)]}
+
+
+def test_sample_chooses_ids_without_vectors(spark):
+    """The ids of smallest hash, one row each, and no ordered limit over rows that carry their vectors."""
+    df = spark.createDataFrame([(i, [float(i % 3), 0.0]) for i in range(300)], "clause_id long, vector array<double>").repartition(7)
+    some = VI._sample(df, "clause_id", 40)
+    want = df.where(F.col("vector")[0] != 0).orderBy(F.xxhash64("clause_id"), "clause_id").limit(40).collect()
+    assert [r.clause_id for r in sorted(some.collect(), key=lambda r: r._h)] == [r.clause_id for r in want]
+    limits = [line for line in some._jdf.queryExecution().executedPlan().toString().splitlines() if "TakeOrdered" in line]
+    assert limits and not any("vector" in line for line in limits)
