@@ -102,6 +102,55 @@ def test_best_clauses_against_brute_force():
             assert got[t["clause_id"]][0] == pick["clause_id"] and abs(got[t["clause_id"]][2] - best) < 1e-9
 
 
+def test_ratios_of_many_pairs_against_difflib():
+    rnd = random.Random(2)
+    mk = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    a = [mk(n, letters) for n in (0, 1, 7, 60, 230, 500) for letters in ("ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz付款验收\U00020000")]
+    b = [mk(n, letters) for n in (0, 1, 7, 60, 199, 200, 450) for letters in ("a", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz付款" + "".join(map(chr, range(0x4E00, 0x4E40))))]
+    b += a + [t[len(t) // 3:] + mk(9, "abc") + t[:len(t) // 3] for t in a]
+    ia, jb = zip(*itertools.product(range(len(a)), range(len(b))))
+    want = [difflib.SequenceMatcher(None, a[i], b[j]).ratio() for i, j in zip(ia, jb)]
+    assert M.ratios_of(a, b)(ia, jb).tolist() == want
+    m = M.POINTS
+    try:
+        M.POINTS = 50  # pairs of more points go one by one
+        assert M.ratios_of(a, b)(ia[::7], jb[::7]).tolist() == want[::7]
+    finally:
+        M.POINTS = m
+
+
+def test_contracts_of_one_template_share_few_units_of_work(spark, monkeypatch):
+    """200 contracts of one template of 40 clauses: a row for each pack and chunk of the template, not for each contract and chunk; results as by brute force."""
+    rnd = random.Random(4)
+    words = ["付款", "验收", "违约", "alpha ", "beta ", "责任"]
+    mk = lambda n: "".join(rnd.choice(words) for _ in range(n))
+    titles = ["付款条件", "验收标准", "违约责任", "争议解决"]
+    con = [(f"task_{t}", f"c_{t}_{n}", n, rnd.choice(titles), mk(rnd.randint(0, 60)), rnd.choice(["payment", "x"])) for t in range(200) for n in range(t % 5)]
+    tpl = [("tpl", f"t_{n}", n, "第一条 " + rnd.choice(titles) if n % 3 else rnd.choice(titles), mk(rnd.randint(0, 60)), rnd.choice(["general", "payment"]), 1) for n in range(40)]
+    c = spark.createDataFrame(con, "task_id string, clause_id string, sort_order long, title string, raw_text string, core_label string")
+    t = spark.createDataFrame(tpl, "template_id string, clause_id string, ord long, title string, content string, clause_type string, page_start long")
+    matched = spark.createDataFrame([(f"task_{n}", "tpl") for n in range(200)], "task_id string, template_id string")
+    units, spread = [], K.spread
+    monkeypatch.setattr(K, "spread", lambda df, *keys: units.append(df.count()) or spread(df, *keys))
+    norm = lambda x: x.replace(" ", "")
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = {}
+    for task, cid, n, title, raw, label in con:
+        for _, tid, _, tt, text, kind, _ in tpl:
+            s = ratio(norm(tt), norm(title)) * 0.65 + ratio(text, raw) * 0.35
+            s += 0.2 if kind == label else 0.0
+            s += 0.2 if kind == "general" and tt in title else 0.0
+            if s >= P.MISSING_BELOW and (s, -n) > want.get((task, tid), (0.0, 0, ""))[:2]:
+                want[task, tid] = (s, -n, cid)
+    for sizes in ((1 << 18, 2048, 1024), (500, 2048, 1024), (1 << 18, 7, 3)):
+        for name, v in zip(("PACK_CHARS", "PACK_CLAUSES", "PACK_TASKS"), sizes):
+            monkeypatch.setattr(K, name, v)
+        got = K.best_clause_match(c, t, matched).collect()
+        assert len(got) == len({(r.task_id, r.template_clause_id) for r in got}) == 200 * 40
+        assert {(r.task_id, r.template_clause_id): (r.score, r.clause_id) for r in got if r.clause_id} == {k: (v[0], v[2]) for k, v in want.items()}
+    assert units[0] == 1
+
+
 def test_ocr_quality_at_the_limit(spark):
     """A page whose scores average exactly 0.82 or 0.9 is not below it, in whatever order its lines are summed."""
     pages = [s for s in itertools.product([x / 100 for x in (70, 76, 78, 80, 83, 85, 90, 95, 97, 99)], repeat=4) if round(sum(s) * 100) in (328, 360)]
