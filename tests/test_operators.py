@@ -151,6 +151,39 @@ def test_contracts_of_one_template_share_few_units_of_work(spark, monkeypatch):
     assert units[0] == 1
 
 
+def test_needles_with_blanks_are_found_by_their_parts(spark, monkeypatch):
+    rnd = random.Random(6)
+    words = ["第1页", "第12页", "付款", "付款条件", "alpha", "alphabet", "仲裁"]
+    texts = [(n, rnd.choice(["", " ", "\n"]).join(rnd.choice(words) + rnd.choice([" ", "  ", "\n"]) for _ in range(rnd.randint(0, 5)))) for n in range(60)]
+    needles = [f"{a}{gap}{b}" for a in words[:4] for gap in (" ", "  ") for b in words[3:]] + words + [" ", "  ", " 付款", "付款 ", "no 付款", "第1页\n仲裁", ""]
+    keyed, grams = [], V.rarest_grams
+    monkeypatch.setattr(V, "rarest_grams", lambda n, *rest: keyed.extend(r[0] for r in n.collect()) or grams(n, *rest))
+    t, n = spark.createDataFrame(texts, "id long, hay string"), spark.createDataFrame([(x,) for x in needles], "needle string")
+    got = [tuple(r) for r in V.substring_pairs(t, "id", "hay", n, "needle", literal_limit=3).collect()]
+    assert sorted(got) == sorted((i, x) for i, h in texts for x in needles if x and x in h)
+    assert not [x for x in keyed if x.strip() and (" " in x or "\n" in x)]
+
+
+def test_queries_with_the_same_hits_are_scored_once(spark, monkeypatch):
+    """300 queries whose only needle that occurs is the same: no table of each query with each of 400 clauses is written."""
+    pool = [(f"c{n:03d}", "付款条件" if n % 4 else "仲裁", f"条款 {n}") for n in range(400)]
+    p = spark.createDataFrame(pool, "clause_id string, title string, content string")
+    queries = [f"第{n}页 付款条件" for n in range(299)] + ["付款条件 仲裁 条款"]
+    written, stage = [], V.stage
+    monkeypatch.setattr(V, "stage", lambda df: written.append(stage(df)) or written[-1])
+    got = {}
+    for r in V.policy_pool_topk(spark.createDataFrame([(q,) for q in queries], "query string"), p).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r.clause_id, r.score)
+    assert max(df.count() for df in written) <= 5000
+    for q in queries:
+        terms = q.split()
+        score = {c: sum(x in f"{a}\n{b}" for x in terms) + 5 * (q in f"{a}\n{b}") for c, a, b in pool}
+        letters = {ch for ch in q if ch.strip()}
+        fuzzy = {c: n / len(q) for c, a, b in pool for n in [len(letters & set(a + b))] if n >= 2}
+        best = sorted(((max(score[c], fuzzy.get(c, 0)), c) for c in score), key=lambda x: (-x[0], x[1]))[:3]
+        assert [(c, s) for s, c in best] == [got[q][n] for n in (1, 2, 3)]
+
+
 def test_ocr_quality_at_the_limit(spark):
     """A page whose scores average exactly 0.82 or 0.9 is not below it, in whatever order its lines are summed."""
     pages = [s for s in itertools.product([x / 100 for x in (70, 76, 78, 80, 83, 85, 90, 95, 97, 99)], repeat=4) if round(sum(s) * 100) in (328, 360)]
